@@ -22,7 +22,8 @@ def colour_class(position: Column | str, step: float = fixed.COLOUR_STEP) -> Col
     """0-based class between colour breaks ``step`` apart; the upper end belongs to the last class."""
     column = F.col(position) if isinstance(position, str) else position
     last = round(1 / step) - 1
-    return F.least(F.floor(column / step), F.lit(last)).cast("int")
+    # least() skips NULL, so positions off the scale are kept out of it
+    return F.when(column.isNotNull(), F.least(F.floor(column / step), F.lit(last))).cast("int")
 
 
 def with_colour(

@@ -85,15 +85,20 @@ def density_points(
     stat: str = "mean",
     key: str = "cod_uf",
     out: str = "media_retencao",
+    density_state: tuple[str, str] = ("UF", "uf_sigla"),
 ) -> DataFrame:
-    """Density table inner joined to the state mean (or median) of the rate: the points of the density chart."""
+    """Density table inner joined to the state mean (or median) of the rate: the points of the density chart.
+
+    The density table's state code column leaves under a new name (``density_state``), since Spark does not tell ``UF``
+    from the rates' ``uf``.
+    """
     if stat == "mean":
         table = group_means(rates, by, value, out)
     elif stat == "median":
         table = medians(rates, by, {out: value})
     else:
         raise ValueError("stat must be 'mean' or 'median'")
-    return density.join(table, key)
+    return density.withColumnRenamed(*density_state).join(table, key)
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
