@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiometric.functions import category_number, missing_to_null, percent_label
-from regiometric.operators.quantiles import exact_quantiles, medians
+from regiometric.operators.quantiles import RATE_DOMAIN, exact_quantiles, medians
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+Domain = tuple[float, float] | None
 
 
 def group_means(df: DataFrame, by: Sequence[str], value: str, out: str = "media", strict: bool = True) -> DataFrame:
@@ -23,29 +24,41 @@ def group_means(df: DataFrame, by: Sequence[str], value: str, out: str = "media"
 
 
 def group_medians(
-    df: DataFrame, by: Sequence[str], value: str, out: str = "mediana", strict: bool = False, label: str | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    out: str = "mediana",
+    strict: bool = False,
+    label: str | None = None,
+    domain: Domain = RATE_DOMAIN,
 ) -> DataFrame:
     """Median per group, missing values left out or (``strict``) making the group's median NULL; optional % label."""
-    result = medians(df, by, {out: value}, strict)
+    result = medians(df, by, {out: value}, strict, domain)
     return result if label is None else result.withColumn(label, percent_label(out))
 
 
-def overall(df: DataFrame, value: str, exclude: Column | None = None, strict: bool = True) -> DataFrame:
+def overall(
+    df: DataFrame,
+    value: str,
+    exclude: Column | None = None,
+    strict: bool = True,
+    domain: Domain = RATE_DOMAIN,
+) -> DataFrame:
     """One row: ``n``, ``media`` and ``mediana`` of the whole table, without rows for which ``exclude`` holds.
 
     Rows where ``exclude`` is NULL (no state known) do not count as different and are left out too.
     """
     kept = df if exclude is None else df.filter(~exclude)
-    stats = exact_quantiles(kept, [], value, {"mediana": 0.5})
+    stats = exact_quantiles(kept, [], value, {"mediana": 0.5}, domain)
     whole = (F.col("n_missing") == 0) if strict else F.lit(True)
     return stats.select(
         "n", F.when(whole, F.col("mean")).alias("media"), F.when(whole, F.col("mediana")).alias("mediana")
     )
 
 
-def six_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def six_numbers(df: DataFrame, by: Sequence[str], value: str, domain: Domain = RATE_DOMAIN) -> DataFrame:
     """Minimum, first quartile, median, mean, third quartile, maximum and the number of missing values per group."""
-    stats = exact_quantiles(df, by, value, QUARTILES)
+    stats = exact_quantiles(df, by, value, QUARTILES, domain)
     return stats.select(*by, "min", "q1", "median", "mean", "q3", "max", "n_missing")
 
 
@@ -54,14 +67,19 @@ def _in_view(df: DataFrame, value: str, clip: tuple[float, float] | None) -> Dat
 
 
 def box_stats(
-    df: DataFrame, by: Sequence[str], value: str, clip: tuple[float, float] | None = None, reach: float = 1.5
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    clip: tuple[float, float] | None = None,
+    reach: float = 1.5,
+    domain: Domain = RATE_DOMAIN,
 ) -> DataFrame:
     """Hinges, median, whiskers and outlier count per group.
 
     Whiskers end at the most extreme values within ``reach`` interquartile ranges of the hinges. ``clip`` drops values
     outside an axis range beforehand, as a chart with fixed axis limits does.
     """
-    fenced = _fenced(df, by, value, clip, reach)
+    fenced = _fenced(df, by, value, clip, reach, domain)
     inside = F.col("_value").between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(*by).agg(
         F.max("n").alias("n"),
@@ -75,19 +93,24 @@ def box_stats(
 
 
 def box_outliers(
-    df: DataFrame, by: Sequence[str], value: str, clip: tuple[float, float] | None = None, reach: float = 1.5
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    clip: tuple[float, float] | None = None,
+    reach: float = 1.5,
+    domain: Domain = RATE_DOMAIN,
 ) -> DataFrame:
     """The rows whose value lies beyond the whiskers of their group."""
-    fenced = _fenced(df, by, value, clip, reach)
+    fenced = _fenced(df, by, value, clip, reach, domain)
     return fenced.filter(~F.col("_value").between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 
 def _fenced(
-    df: DataFrame, by: Sequence[str], value: str, clip: tuple[float, float] | None, reach: float
+    df: DataFrame, by: Sequence[str], value: str, clip: tuple[float, float] | None, reach: float, domain: Domain
 ) -> DataFrame:
     shown = _in_view(df, value, clip)
     spread = F.lit(reach) * (F.col("q3") - F.col("q1"))
-    hinges = exact_quantiles(shown, by, value, QUARTILES).select(
+    hinges = exact_quantiles(shown, by, value, QUARTILES, domain).select(
         *[F.col(key).alias(f"_h_{key}") for key in by],
         "n", "q1", "median", "q3",
         (F.col("q1") - spread).alias("_low"),

@@ -12,6 +12,7 @@ the first or last bin, and the answer stays exact for any data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from regiometric.functions import missing_to_null
 
 BINS = 65536
+RATE_DOMAIN = (0.0, 1.0)
 _STATS = ("n", "n_missing", "mean", "min", "max")
 
 
@@ -28,21 +30,47 @@ def _bin(value: Column, low: Column, high: Column) -> Column:
 
 
 def _ranks(p: float, n: Column) -> tuple[Column, Column, Column]:
+    """0-based ranks on both sides of the quantile's position, and how far it lies towards the upper one."""
     position = F.lit(float(p)) * (n - 1)
     return F.floor(position), F.ceil(position), position - F.floor(position)
 
 
+def _holds(rank: Column) -> Column:
+    """Whether the row covers a rank: ``_before`` values come before it, ``_after`` up to its end."""
+    return (rank >= F.col("_before")) & (rank < F.col("_after"))
+
+
+def _holds_any(probs: Mapping[str, float]) -> Column:
+    ranks = [rank for p in probs.values() for rank in _ranks(p, F.col("n"))[:2]]
+    return reduce(lambda a, b: a | b, [_holds(rank) for rank in ranks])
+
+
+def _running(column: str, keys: Sequence[str], order: Column) -> Column:
+    window = Window.partitionBy(*keys).orderBy(order)
+    return F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _join(rows: DataFrame, picked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the picked bins; NULL groups match. The join key holds the bin, so a large group is spread."""
+    side = picked.withColumnsRenamed({key: f"_p{key}" for key in keys})
+    match = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_p{key}")) for key in keys])
+    return rows.join(side, match).drop(*[f"_p{key}" for key in keys])
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    domain: tuple[float, float] | None = (0.0, 1.0),
+    domain: tuple[float, float] | None = RATE_DOMAIN,
+    levels: int = 1,
 ) -> DataFrame:
     """One row per group: ``by``, ``n``, ``n_missing``, ``mean``, ``min``, ``max`` and one column per probability.
 
     NULL and NaN are missing and do not take part; a group of missing values only has NULL statistics. An empty ``by``
     gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum.
+    ``levels=2`` divides the wanted bins once more between their own extremes, for measures with long tails whose
+    values crowd into few bins.
     """
     keys = list(by) or ["_all"]
     rows = df.select(*by, missing_to_null(value).alias("_v"))
@@ -53,95 +81,96 @@ def exact_quantiles(
         low, high = span.select("low").scalar(), span.select("high").scalar()
     else:
         low, high = F.lit(float(domain[0])), F.lit(float(domain[1]))
-    rows = rows.withColumn("_bin", F.when(F.col("_v").isNotNull(), _bin(F.col("_v"), low, high)))
+    rows = rows.withColumn("_b0", F.when(F.col("_v").isNotNull(), _bin(F.col("_v"), low, high)))
 
-    # counts per bin, at most BINS + 1 rows per group from here to ``ranked``; the missing values are bin NULL
-    counted = rows.groupBy(*keys, "_bin").agg(
+    # at most BINS rows per group, and one for its missing values (bin NULL)
+    counted = rows.groupBy(*keys, "_b0").agg(
         F.count("_v").alias("_n"),
         F.count_if(F.col("_v").isNull()).alias("_missing"),
         F.sum("_v").alias("_sum"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
     )
     group = Window.partitionBy(*keys)
-    upto = group.orderBy(F.col("_bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.select(
-        *keys,
-        F.col("_bin").alias("_wanted_bin"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(upto).alias("_after"),
-        F.sum("_n").over(group).alias("n"),
-        F.sum("_missing").over(group).alias("n_missing"),
-        F.sum("_sum").over(group).alias("_total"),
-        F.min("_min").over(group).alias("min"),
-        F.max("_max").over(group).alias("max"),
-    ).withColumn("mean", F.try_divide(F.col("_total"), F.col("n").cast("double")))
-
-    def holds(rank: Column, before: Column, after: Column) -> Column:
-        return (rank >= before) & (rank < after)
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        lower, upper, _ = _ranks(p, F.col("n"))
-        for rank in (lower, upper):
-            wanted = wanted | holds(rank, F.col("_before"), F.col("_after"))
-    columns = [*keys, "_wanted_bin", "_before", *_STATS]
-    picked = ranked.filter(F.col("_wanted_bin").isNotNull() & wanted).select(*columns)
-    hollow = ranked.filter((F.col("n") == 0) & F.col("_wanted_bin").isNull()).select(*columns)
-
-    # rows of the wanted bins, repeated values folded into one row with a count
-    near = rows.join(
-        picked.withColumnsRenamed({key: f"_p_{key}" for key in keys}),
-        _match(keys) & (F.col("_bin") == F.col("_wanted_bin")),
-    ).drop(*[f"_p_{key}" for key in keys])
-    folded = near.groupBy(*keys, "_bin", "_v").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(name).alias(name) for name in ("_before", *_STATS)]
+    ranked = (
+        counted.withColumn("_after", _running("_n", keys, F.col("_b0").asc_nulls_first()))
+        .withColumns(
+            {
+                "_before": F.col("_after") - F.col("_n"),
+                "n": F.sum("_n").over(group),
+                "n_missing": F.sum("_missing").over(group),
+                "_total": F.sum("_sum").over(group),
+                "min": F.min("_low").over(group),
+                "max": F.max("_high").over(group),
+            }
+        )
+        .withColumn("mean", F.try_divide(F.col("_total"), F.col("n").cast("double")))
+    )
+    columns = [*keys, "_b0", "_before", "_low", "_high", *_STATS]
+    picked = ranked.filter(F.col("_b0").isNotNull() & _holds_any(probs)).select(*columns)
+    hollow = ranked.filter((F.col("n") == 0) & F.col("_b0").isNull()).select(*columns)
+
+    path = [*keys, "_b0"]
+    near = _join(rows, picked, path)
+    carried = ["_before", *_STATS]
+    for level in range(1, levels):
+        near = near.withColumn(f"_b{level}", _bin(F.col("_v"), F.col("_low"), F.col("_high")))
+        finer = near.groupBy(*path, f"_b{level}").agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_v").alias("_low"),
+            F.max("_v").alias("_high"),
+            *[F.max(name).alias(name) for name in carried],
+        )
+        finer = finer.withColumn("_after", F.col("_before") + _running("_n", path, F.col(f"_b{level}")))
+        finer = finer.withColumn("_before", F.col("_after") - F.col("_n")).filter(_holds_any(probs))
+        path = [*path, f"_b{level}"]
+        near = _join(near.drop(*carried, "_low", "_high"), finer.drop("_after", "_n"), path)
+
+    # repeated values folded into one row with a count, so a value held by many rows is one row here
+    folded = near.groupBy(*path, "_v").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max(name).alias(name) for name in carried]
     )
-    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = folded.withColumn("_after", F.col("_before") + F.sum("_n").over(within)).withColumn(
+    placed = folded.withColumn("_after", F.col("_before") + _running("_n", path, F.col("_v"))).withColumn(
         "_before", F.col("_after") - F.col("_n")
     )
-    found = []
-    for i, p in enumerate(probs.values()):
-        lower, upper, _ = _ranks(p, F.col("n"))
-        for side, rank in (("l", lower), ("u", upper)):
-            hit = F.when(holds(rank, F.col("_before"), F.col("_after")), F.col("_v"))
-            found.append(F.max(hit).alias(f"_{side}{i}"))
-    ends = placed.groupBy(*keys).agg(*[F.max(name).alias(name) for name in _STATS], *found)
-    answers = []
+    ends, answers = [], []
     for i, (name, p) in enumerate(probs.items()):
-        _, _, weight = _ranks(p, F.col("n"))
+        lower, upper, weight = _ranks(p, F.col("n"))
+        ends += [
+            F.max(F.when(_holds(lower), F.col("_v"))).alias(f"_l{i}"),
+            F.max(F.when(_holds(upper), F.col("_v"))).alias(f"_u{i}"),
+        ]
         answers.append((F.col(f"_l{i}") + weight * (F.col(f"_u{i}") - F.col(f"_l{i}"))).alias(name))
-    full = ends.select(*keys, *_STATS, *answers)
+    found = placed.groupBy(*keys).agg(*[F.max(name).alias(name) for name in _STATS], *ends)
+    full = found.select(*keys, *_STATS, *answers)
     empty = hollow.select(*keys, *_STATS, *[F.lit(None).cast("double").alias(name) for name in probs])
     return full.unionByName(empty).select(*by, *_STATS, *probs)
 
 
-def _match(keys: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for key in keys:
-        test = test & F.col(key).eqNullSafe(F.col(f"_p_{key}"))
-    return test
-
-
 def medians(
     df: DataFrame,
     by: Sequence[str],
     values: Mapping[str, str],
     strict: bool = False,
-    domain: tuple[float, float] | None = (0.0, 1.0),
+    domain: tuple[float, float] | None = RATE_DOMAIN,
 ) -> DataFrame:
-    """Medians of several columns per group, ``{output: column}``.
+    """Medians of one or several columns per group, ``{output: column}``.
 
     ``strict=False`` leaves missing values out; ``strict=True`` gives NULL to a group that has any.
     """
-    measure = "_measure"
+
+    def median(tall: DataFrame, out: str) -> DataFrame:
+        if strict:
+            tall = tall.withColumn(out, F.when(F.col("n_missing") == 0, F.col(out)))
+        return tall
+
+    if len(values) == 1:
+        [(out, column)] = values.items()
+        return median(exact_quantiles(df, by, column, {out: 0.5}, domain), out).select(*by, out)
     stacked = df.select(*by, *[missing_to_null(column).alias(out) for out, column in values.items()]).unpivot(
-        list(by), list(values), measure, "_value"
+        list(by), list(values), "_measure", "_value"
     )
-    tall = exact_quantiles(stacked, [*by, measure], "_value", {"median": 0.5}, domain)
-    if strict:
-        tall = tall.withColumn("median", F.when(F.col("n_missing") == 0, F.col("median")))
+    tall = median(exact_quantiles(stacked, [*by, "_measure"], "_value", {"_median": 0.5}, domain), "_median")
     return tall.groupBy(*by).agg(
-        *[F.max(F.when(F.col(measure) == out, F.col("median"))).alias(out) for out in values]
+        *[F.max(F.when(F.col("_measure") == out, F.col("_median"))).alias(out) for out in values]
     )

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -86,9 +87,11 @@ def density_points(
     key: str = "cod_uf",
     out: str = "media_retencao",
     density_state: tuple[str, str] = ("UF", "uf_sigla"),
+    how: str = "inner",
 ) -> DataFrame:
-    """Density table inner joined to the state mean (or median) of the rate: the points of the density chart.
+    """Density table joined to the state mean (or median) of the rate: the points of the density chart.
 
+    ``how="left"`` keeps states without a rate.
     The density table's state code column leaves under a new name (``density_state``), since Spark does not tell ``UF``
     from the rates' ``uf``.
     """
@@ -98,7 +101,7 @@ def density_points(
         table = medians(rates, by, {out: value})
     else:
         raise ValueError("stat must be 'mean' or 'median'")
-    return density.withColumnRenamed(*density_state).join(table, key)
+    return density.withColumnRenamed(*density_state).join(table, key, how)
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,7 +110,7 @@ def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: Pearson ``r`` and the number ``n`` of complete pairs."""
-    return _complete(df, [x, y]).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    return _complete(df, [x, y]).agg(missing_to_null(F.corr(x, y)).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def correlation_interval(df: DataFrame, x: str, y: str, level_z: float = 1.959963984540054) -> DataFrame:
@@ -178,7 +181,17 @@ def ols(df: DataFrame, response: str, features: Sequence[str]) -> DataFrame:
     kept = [feature for feature in dict.fromkeys(features) if feature != response]
     dropped = [feature for feature in features if feature == response]
     points = _complete(df, [response, *kept])
+    # fit and summary go over the points several times
     vectors = VectorAssembler(inputCols=kept, outputCol="_features").transform(points).select("_features", response)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = _terms(vectors, response, kept, dropped)
+    finally:
+        vectors.unpersist()
+    return df.sparkSession.createDataFrame(rows, OLS_SCHEMA)
+
+
+def _terms(vectors: DataFrame, response: str, kept: list[str], dropped: list[str]) -> list[tuple]:
     model = LinearRegression(featuresCol="_features", labelCol=response, solver="normal").fit(vectors)
     summary = model.summary
     n, k = summary.numInstances, len(kept)
@@ -197,11 +210,10 @@ def ols(df: DataFrame, response: str, features: Sequence[str]) -> DataFrame:
     else:
         errors = t_values = p_values = [None] * (k + 1)
     figures = (n, free, r2, summary.r2adj if free > 0 else None, residual, f_value, dropped)
-    rows = [
+    return [
         (term, *values, *figures)
         for term, *values in zip(["(Intercept)", *kept], estimates, errors, t_values, p_values)
     ]
-    return df.sparkSession.createDataFrame(rows, OLS_SCHEMA)
 
 
 def pair_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
@@ -215,7 +227,7 @@ def pair_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
     cells = []
     for i, (x, y) in enumerate(pairs):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        cells += [F.corr(x, y).alias(f"_r{i}"), F.count_if(both).alias(f"_n{i}")]
+        cells += [missing_to_null(F.corr(x, y)).alias(f"_r{i}"), F.count_if(both).alias(f"_n{i}")]
     if by is None:
         table = measures.agg(*cells).select(F.lit("all").alias("level"), F.lit(None).cast("string").alias("group"), "*")
     else:

@@ -78,13 +78,15 @@ def cross_report(
     census: DataFrame,
     densities: Mapping[str, str],
     state: str = "uf",
+    panels: Mapping[str, str] | None = None,
     models: Mapping[str, tuple[str, Sequence[str]]] | None = None,
     exclude_state: str | None = None,
 ) -> dict[str, DataFrame]:
     """Comparison of several occupations.
 
     ``rates`` maps column names to rate tables; ``densities`` maps profession names of the council table to column
-    names. ``models`` maps a name to (response, features) over the state table; each runs jobs. ``exclude_state`` is a
+    names. ``panels`` says which rate is drawn against which density; by default the first with the first, and so on.
+    ``models`` maps a name to (response, features) over the state table; each runs jobs. ``exclude_state`` is a
     state code left out of the state table.
     """
     names = list(rates)
@@ -103,7 +105,7 @@ def cross_report(
         "densities": per_state,
         "states": table,
     }
-    for name, density in zip(names, densities.values()):
+    for name, density in (panels or dict(zip(names, densities.values()))).items():
         report[f"line_{name}"] = relate.simple_line(table, name, density)
     for name, (response, features) in (models or {}).items():
         report[f"model_{name}"] = relate.ols(table, response, features)

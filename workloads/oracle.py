@@ -637,9 +637,10 @@ ORACLE: dict[str, str] = {
     "corr_matrix": _with(
         "wide",
         _pair_rows(
-            """SELECT 'all' AS level, NULL AS "group", '{x}' AS x, '{y}' AS y, ROUND(corr({x}, {y}), 6) AS r,
+            """SELECT 'all' AS level, NULL AS "group", '{x}' AS x, '{y}' AS y, ROUND(CASE WHEN NOT isnan(corr({x}, {y})) THEN corr({x}, {y}) END, 6) AS r,
                       COUNT({x} + {y}) AS n FROM wide
-               UNION ALL SELECT 'group', regiao, '{x}', '{y}', ROUND(corr({x}, {y}), 6), COUNT({x} + {y})
+               UNION ALL SELECT 'group', regiao, '{x}', '{y}',
+                      ROUND(CASE WHEN NOT isnan(corr({x}, {y})) THEN corr({x}, {y}) END, 6), COUNT({x} + {y})
                FROM wide GROUP BY regiao"""
         ),
     ),

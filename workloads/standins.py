@@ -8,6 +8,8 @@ the whole tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,24 @@ SETTINGS = MartSettings(
 )
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table; the footer is read for the schema once per session."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dated(spark: SparkSession, sf: str, name: str, date: str, within: tuple[str, str] | None) -> DataFrame:
+    """A table, of which only days from ``within[0]`` to before ``within[1]`` are read where a range is given.
+
+    The period columns are derived from the date, so their filters alone would not reach the parquet statistics.
+    """
+    df = table(spark, sf, name)
+    if within is None:
+        return df
+    first, end = (F.to_timestamp_ntz(F.lit(day), F.lit("yyyy-MM-dd")) for day in within)
+    return df.filter((F.col(date) >= first) & (F.col(date) < end))
+
+
 def region_code(suppkey: str) -> Column:
     return (F.lit(10000) + F.col(suppkey)).cast("string")
 
@@ -116,8 +132,8 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def registry(spark: SparkSession, sf: str) -> DataFrame:
-    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+def registry(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    lines, orders = table(spark, sf, "lineitem"), dated(spark, sf, "orders", "o_orderdate", within)
     plain = municipality_code("l_suppkey", "l_linenumber")
     number = F.when(F.col("l_returnflag") == "A", "1").when(F.col("l_returnflag") == "N", "2").otherwise("3")
     bond = F.concat(F.lit("0"), F.substring("o_orderpriority", 1, 1), F.lit("0"), number, F.lit("00"))
@@ -158,16 +174,16 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def admissions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+def admissions(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    return dated(spark, sf, "lineitem", "l_shipdate", within).select(
         F.year("l_shipdate").alias("ANO"),
         municipality_code("l_suppkey", "l_linenumber").alias("MUNIC_RES"),
         F.col("l_quantity").cast("bigint").alias("TOTAL"),
     )
 
 
-def education(spark: SparkSession, sf: str) -> DataFrame:
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def education(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    lines, part = dated(spark, sf, "lineitem", "l_shipdate", within), table(spark, sf, "part")
     territory = regions(spark, sf).select("s_suppkey", "cod_regsaud", "regiao_saude", "uf_sigla")
     return (
         lines.join(part, lines.l_partkey == part.p_partkey)
@@ -187,8 +203,8 @@ def education(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def beds(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+def beds(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    return dated(spark, sf, "lineitem", "l_shipdate", within).select(
         municipality_code("l_suppkey", "l_linenumber").alias("CODUFMUN"),
         period("l_shipdate").alias("COMPETEN"),
         (F.lit(60) + F.col("l_partkey") % 30).cast("string").alias("CODLEITO"),
@@ -197,8 +213,8 @@ def beds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bed_totals(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
+def bed_totals(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    lines = dated(spark, sf, "lineitem", "l_shipdate", within)
     territory = regions(spark, sf).select("s_suppkey", "cod_regsaud", "regiao_saude", "uf_sigla")
     return lines.join(territory, lines.l_suppkey == territory.s_suppkey).select(
         F.year("l_shipdate").alias("ano"),
@@ -210,8 +226,8 @@ def bed_totals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def establishments(spark: SparkSession, sf: str) -> DataFrame:
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def establishments(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    lines, part = dated(spark, sf, "lineitem", "l_shipdate", within), table(spark, sf, "part")
     return lines.join(part, lines.l_partkey == part.p_partkey).select(
         municipality_code("l_suppkey", "l_linenumber").alias("CODUFMUN"),
         period("l_shipdate").alias("COMPETEN"),
@@ -245,9 +261,9 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def deaths(spark: SparkSession, sf: str) -> DataFrame:
+def deaths(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
     return (
-        table(spark, sf, "lineitem")
+        dated(spark, sf, "lineitem", "l_shipdate", within)
         .filter(F.col("l_returnflag") == "R")
         .select(
             F.year("l_shipdate").cast("string").alias("ano"),
@@ -257,8 +273,8 @@ def deaths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def gdp(spark: SparkSession, sf: str) -> DataFrame:
-    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def gdp(spark: SparkSession, sf: str, within: tuple[str, str] | None = None) -> DataFrame:
+    lines, part = dated(spark, sf, "lineitem", "l_shipdate", within), table(spark, sf, "part")
     rare = (F.col("p_size") == 50) & (F.month("l_shipdate") == 1)
     return lines.join(part, lines.l_partkey == part.p_partkey).select(
         F.year("l_shipdate").alias("ano"),
@@ -358,18 +374,20 @@ def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mart_tables(spark: SparkSession, sf: str) -> MartTables:
+    month = (f"{YEAR}-{MONTH:02d}-01", f"{YEAR}-{MONTH + 1:02d}-01")
+    year, gdp_year = (f"{YEAR}-01-01", f"{YEAR + 1}-01-01"), (f"{GDP_YEAR}-01-01", f"{GDP_YEAR + 1}-01-01")
     return MartTables(
         rates=rates(spark, sf),
         population=population(spark, sf),
         hierarchy=hierarchy(spark, sf),
-        admissions=admissions(spark, sf),
-        education=education(spark, sf),
-        beds=beds(spark, sf),
-        bed_totals=bed_totals(spark, sf),
-        establishments=establishments(spark, sf),
+        admissions=admissions(spark, sf, year),
+        education=education(spark, sf, year),
+        beds=beds(spark, sf, month),
+        bed_totals=bed_totals(spark, sf, year),
+        establishments=establishments(spark, sf, month),
         unit_types=unit_types(spark, sf),
-        professionals=registry(spark, sf),
+        professionals=registry(spark, sf, month),
         distances=distances(spark, sf),
-        deaths=deaths(spark, sf),
-        gdp=gdp(spark, sf),
+        deaths=deaths(spark, sf, year),
+        gdp=gdp(spark, sf, gdp_year),
     )
