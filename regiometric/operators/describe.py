@@ -127,14 +127,20 @@ def _fenced(
 
 
 def category_order(
-    df: DataFrame, category: str, value: str, descending: bool = True, out: str = "ord", exclude: Column | None = None
+    df: DataFrame,
+    category: str,
+    value: str,
+    descending: bool = True,
+    out: str = "ord",
+    exclude: Column | None = None,
+    domain: Domain = RATE_DOMAIN,
 ) -> DataFrame:
     """Categories with the median of ``value`` and their 1-based position by it; equal medians go by name.
 
     The numbering window holds one row per category (macro-regions, states), not per region.
     """
     kept = df if exclude is None else df.filter(~exclude)
-    table = medians(kept, [category], {"mediana": value}, domain=None)
+    table = medians(kept, [category], {"mediana": value}, domain=domain)
     first = F.desc_nulls_last("mediana") if descending else F.asc_nulls_last("mediana")
     return table.withColumn(out, F.row_number().over(Window.orderBy(first, F.asc_nulls_last(category))))
 
@@ -157,5 +163,5 @@ def state_box(
     """Box statistics per state with the state's position by macro-region number, largest number first."""
     kept = df if exclude is None else df.filter(~exclude)
     numbered = kept.withColumn("regiao_order", category_number(macro_region, numbers))
-    order = category_order(numbered, state, "regiao_order")
+    order = category_order(numbered, state, "regiao_order", domain=(0, max(numbers.values())))
     return with_order(box_stats(kept, [state], value, clip), order, state)

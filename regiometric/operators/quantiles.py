@@ -63,15 +63,17 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     domain: tuple[float, float] | None = RATE_DOMAIN,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """One row per group: ``by``, ``n``, ``n_missing``, ``mean``, ``min``, ``max`` and one column per probability.
 
     NULL and NaN are missing and do not take part; a group of missing values only has NULL statistics. An empty ``by``
     gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum.
-    ``levels=2`` divides the wanted bins once more between their own extremes, for measures with long tails whose
-    values crowd into few bins.
+    With two ``levels`` the wanted bins are divided once more between their own extremes, for measures whose values
+    crowd into few bins; that is the default where no domain is given.
     """
+    if levels is None:
+        levels = 2 if domain is None else 1
     keys = list(by) or ["_all"]
     rows = df.select(*by, missing_to_null(value).alias("_v"))
     if not by:
