@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiometric.functions import category_number, missing_to_null, percent_label
 from regiometric.operators.quantiles import RATE_DOMAIN, exact_quantiles, medians
+from regiometric.session import checked_broadcast, cut_lineage
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 Domain = tuple[float, float] | None
@@ -73,13 +75,15 @@ def box_stats(
     clip: tuple[float, float] | None = None,
     reach: float = 1.5,
     domain: Domain = RATE_DOMAIN,
+    staged: bool = False,
 ) -> DataFrame:
     """Hinges, median, whiskers and outlier count per group.
 
     Whiskers end at the most extreme values within ``reach`` interquartile ranges of the hinges. ``clip`` drops values
-    outside an axis range beforehand, as a chart with fixed axis limits does.
+    outside an axis range beforehand, as a chart with fixed axis limits does. ``staged`` (see ``exact_quantiles``) also
+    computes the hinges at once and broadcasts them if the groups are few, so that the rows are only scanned.
     """
-    fenced = _fenced(df, by, value, clip, reach, domain)
+    fenced = _fenced(df, by, value, clip, reach, domain, staged)
     inside = F.col("_value").between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(*by).agg(
         F.max("n").alias("n"),
@@ -99,26 +103,33 @@ def box_outliers(
     clip: tuple[float, float] | None = None,
     reach: float = 1.5,
     domain: Domain = RATE_DOMAIN,
+    staged: bool = False,
 ) -> DataFrame:
     """The rows whose value lies beyond the whiskers of their group."""
-    fenced = _fenced(df, by, value, clip, reach, domain)
+    fenced = _fenced(df, by, value, clip, reach, domain, staged)
     return fenced.filter(~F.col("_value").between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 
 def _fenced(
-    df: DataFrame, by: Sequence[str], value: str, clip: tuple[float, float] | None, reach: float, domain: Domain
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    clip: tuple[float, float] | None,
+    reach: float,
+    domain: Domain,
+    staged: bool,
 ) -> DataFrame:
     shown = _in_view(df, value, clip)
     spread = F.lit(reach) * (F.col("q3") - F.col("q1"))
-    hinges = exact_quantiles(shown, by, value, QUARTILES, domain).select(
+    hinges = exact_quantiles(shown, by, value, QUARTILES, domain, staged=staged).select(
         *[F.col(key).alias(f"_h_{key}") for key in by],
         "n", "q1", "median", "q3",
         (F.col("q1") - spread).alias("_low"),
         (F.col("q3") + spread).alias("_high"),
     )
-    test = F.lit(True)
-    for key in by:
-        test = test & F.col(key).eqNullSafe(F.col(f"_h_{key}"))
+    if staged:
+        hinges = checked_broadcast(cut_lineage(hinges))
+    test = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_h_{key}")) for key in by])
     return (
         shown.withColumn("_value", missing_to_null(value))
         .join(hinges, test)

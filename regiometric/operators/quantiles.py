@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiometric.functions import missing_to_null
+from regiometric.session import checked_broadcast, cut_lineage
 
 BINS = 65536
 RATE_DOMAIN = (0.0, 1.0)
@@ -64,6 +65,7 @@ def exact_quantiles(
     probs: Mapping[str, float],
     domain: tuple[float, float] | None = RATE_DOMAIN,
     levels: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """One row per group: ``by``, ``n``, ``n_missing``, ``mean``, ``min``, ``max`` and one column per probability.
 
@@ -71,6 +73,10 @@ def exact_quantiles(
     gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum.
     With two ``levels`` the wanted bins are divided once more between their own extremes, for measures whose values
     crowd into few bins; that is the default where no domain is given.
+
+    ``staged`` is for tables so large that their rows should not be shuffled: the counting pass runs at once, and the
+    few wanted bins are then broadcast (if they are few indeed) to the second pass over the rows. Otherwise all of it
+    is one lazy plan.
     """
     if levels is None:
         levels = 2 if domain is None else 1
@@ -109,11 +115,14 @@ def exact_quantiles(
         .withColumn("mean", F.try_divide(F.col("_total"), F.col("n").cast("double")))
     )
     columns = [*keys, "_b0", "_before", "_low", "_high", *_STATS]
-    picked = ranked.filter(F.col("_b0").isNotNull() & _holds_any(probs)).select(*columns)
-    hollow = ranked.filter((F.col("n") == 0) & F.col("_b0").isNull()).select(*columns)
+    missing_only = (F.col("n") == 0) & F.col("_b0").isNull()
+    chosen = ranked.filter((F.col("_b0").isNotNull() & _holds_any(probs)) | missing_only).select(*columns)
+    if staged:
+        chosen = cut_lineage(chosen)
+    picked, hollow = chosen.filter(F.col("n") > 0), chosen.filter(F.col("n") == 0)
 
     path = [*keys, "_b0"]
-    near = _join(rows, picked, path)
+    near = _join(rows, checked_broadcast(picked) if staged else picked, path)
     carried = ["_before", *_STATS]
     for level in range(1, levels):
         near = near.withColumn(f"_b{level}", _bin(F.col("_v"), F.col("_low"), F.col("_high")))

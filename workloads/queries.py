@@ -405,7 +405,7 @@ def box_stats_of_lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines.join(where, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "regiao", (F.col("l_extendedprice") / 100000).alias("valor")
     )
-    return rounded(describe.box_stats(rows, ["regiao"], "valor", clip=(0.0, 0.6)), BOX)
+    return rounded(describe.box_stats(rows, ["regiao"], "valor", clip=(0.0, 0.6), staged=True), BOX)
 
 
 @register
