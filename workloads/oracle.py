@@ -60,7 +60,7 @@ _CTES = {
     "people": """
         SELECT CAST(10000 + s_suppkey AS VARCHAR) AS cod_regsaud,
                CAST(floor(s_acctbal) AS BIGINT) + 2000 AS populacao
-        FROM supplier WHERE s_suppkey % 17 <> 16""",
+        FROM supplier WHERE s_acctbal >= 0""",
     "lines": f"""
         SELECT *, {_MUNICIPALITY} AS code, {_CHECKED} AS codedv, year(l_shipdate) AS ano,
                strftime(l_shipdate, '%Y%m') AS period
@@ -72,7 +72,7 @@ _CTES = {
     "units": f"SELECT * FROM (VALUES {_UNITS}) AS v(tipo, descricao)",
     "distances": """
         SELECT cod_municipio, cod_regsaud, regiao_saude, abs(s_acctbal) / 4 + j AS km,
-               CASE WHEN h.s_suppkey % 11 <> 0 AND (h.s_suppkey + j) % 3 <> 0 THEN 'sim' ELSE 'não' END AS road
+               CASE WHEN s_acctbal > j * 1500 THEN 'sim' ELSE 'não' END AS road
         FROM hierarchy h JOIN supplier s ON h.s_suppkey = s.s_suppkey""",
     "access": """
         SELECT cod_regsaud, regiao_saude, ROUND(AVG(km), 4) AS dist_media_capital_km,
@@ -87,7 +87,7 @@ _CTES = {
                CAST(COUNT(*) FILTER (l_returnflag <> 'R') AS DOUBLE) / COUNT(*) AS rate
         FROM lineitem GROUP BY ALL""",
     "enriched": "SELECT * FROM rates LEFT JOIN regions ON code = cod_regsaud",
-    "gaps": "SELECT * REPLACE (CASE WHEN CAST(code AS BIGINT) % 13 <> 0 THEN rate END AS rate) FROM enriched",
+    "gaps": "SELECT * REPLACE (CASE WHEN rate <= 0.69 THEN rate END AS rate) FROM enriched",
     "two_places": """
         SELECT regiao, uf, regiao_saude AS nome_regiao_saude, code, (200 * k + n) // (2 * n) AS percent FROM enriched""",
     "hinges": """
@@ -104,7 +104,7 @@ _CTES = {
         FROM (SELECT DISTINCT code FROM occupation WHERE p = '1-URGENT') a
         {" ".join(
             f"LEFT JOIN occupation r{i} ON r{i}.code = a.code AND r{i}.p = '{p}'"
-            + (f" AND CAST(r{i}.code AS BIGINT) % 19 <> {i}" if i else "")
+            + (f" AND r{i}.rate <= 0.74" if i else "")
             for i, p in enumerate(st.OCCUPATIONS.values())
         )}
         LEFT JOIN regions g ON g.cod_regsaud = a.code""",
@@ -501,8 +501,8 @@ ORACLE: dict[str, str] = {
     ),
     "polygons_from_geojson": """
         SELECT CAST(10000 + s_suppkey AS VARCHAR) AS reg_id,
-               CASE WHEN s_suppkey % 5 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
-               CAST(CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons,
+               CASE WHEN s_acctbal < 1000 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
+               CAST(CASE WHEN s_acctbal < 1000 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons,
                ROUND(CAST(s_suppkey * 53 % 500 AS DOUBLE) / 10 - 76, 6) AS x,
                ROUND(CAST(s_suppkey * 37 % 400 AS DOUBLE) / 10 - 35, 6) AS y
         FROM supplier""",
@@ -654,11 +654,11 @@ ORACLE: dict[str, str] = {
     "map_layer": _with(
         "enriched",
         """SELECT CAST(10000 + s.s_suppkey AS VARCHAR) AS reg_id,
-                  CASE WHEN s.s_suppkey % 5 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
-                  CAST(CASE WHEN s.s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons, uf,
+                  CASE WHEN s.s_acctbal < 1000 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
+                  CAST(CASE WHEN s.s_acctbal < 1000 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons, uf,
                   ROUND(rate, 6) AS retencao_geral, 4326 AS srid, ROUND(rate, 6) AS colour_position,
                   CAST(floor(rate * 4) AS INTEGER) AS colour_class
-           FROM supplier s LEFT JOIN enriched e ON e.s_suppkey = s.s_suppkey AND CAST(e.code AS BIGINT) % 2 = 0""",
+           FROM supplier s LEFT JOIN enriched e ON e.s_suppkey = s.s_suppkey AND rate <= 0.67""",
     ),
     "colour_bucket": """
         SELECT CASE WHEN v BETWEEN 0 AND 1 THEN CAST(least(floor(v * 4), 3) AS INTEGER) END AS colour_class,

@@ -535,9 +535,9 @@ def pair_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def map_layer(spark: SparkSession, sf: str) -> DataFrame:
-    """Every second region has a rate; polygons without one stay."""
+    """Regions of high rates are left out of the rate table; their polygons stay."""
     polygons = sources.parse_features(st.feature_lines(spark, sf))
-    some = enriched(spark, sf).filter(F.col("cod_regiao_saude").cast("bigint") % 2 == 0)
+    some = enriched(spark, sf).filter(F.col(RATE) <= 0.67)
     layer = geo.map_layer(polygons, some).select(
         "reg_id", "geometry_type", F.size("polygons").cast("bigint").alias("n_polygons"), "uf", RATE, "srid",
         "colour_position", "colour_class",

@@ -164,9 +164,10 @@ def bond_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
+    """Inhabitants per region; regions of suppliers in debt are not listed."""
     return (
         table(spark, sf, "supplier")
-        .filter(F.col("s_suppkey") % 17 != 16)
+        .filter(F.col("s_acctbal") >= 0)
         .select(
             region_code("s_suppkey").alias("cod_regsaud"),
             (F.floor("s_acctbal") + 2000).cast("bigint").alias("populacao"),
@@ -253,7 +254,7 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
     numbered = table(spark, sf, "supplier").withColumn(
         "_k", F.explode(F.sequence(F.lit(1), F.lit(MUNICIPALITIES)))
     )
-    road = (F.col("s_suppkey") % 11 != 0) & ((F.col("s_suppkey") + F.col("_k")) % 3 != 0)
+    road = F.col("s_acctbal") > F.col("_k") * 1500
     return numbered.select(
         municipality_code("s_suppkey", "_k").alias("cod_municipio"),
         (F.abs("s_acctbal") / 4 + F.col("_k")).alias("km"),
@@ -299,15 +300,14 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rates_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Rates with every 13th region missing its value."""
-    gap = F.col("regiao_saude").cast("bigint") % 13 == 0
-    return rates(spark, sf).withColumn("retencao_geral", F.when(~gap, F.col("retencao_geral")))
+    """Rates of which the highest are missing."""
+    return rates(spark, sf).withColumn("retencao_geral", F.when(F.col("retencao_geral") <= 0.69, F.col("retencao_geral")))
 
 
 def occupation_rates(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """One rate table per order priority, cut from one aggregate that is written once.
 
-    Tables after the first lack some regions.
+    Tables after the first lack the regions of their highest rates.
     """
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     every = cut_lineage(
@@ -318,7 +318,7 @@ def occupation_rates(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     tables = {}
     for i, (name, priority) in enumerate(OCCUPATIONS.items()):
         rows = every.filter(F.col("o_orderpriority") == priority).drop("o_orderpriority")
-        tables[name] = rows if i == 0 else rows.filter(F.col("regiao_saude").cast("bigint") % 19 != i)
+        tables[name] = rows if i == 0 else rows.filter(F.col("retencao_geral") <= 0.74)
     return tables
 
 
@@ -350,7 +350,7 @@ def density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One GeoJSON feature per supplier as text: a square, or two squares for every fifth supplier."""
+    """One GeoJSON feature per supplier as text: a square, or two squares where the balance is low."""
     x, y = F.col("s_suppkey") * 53 % 500 / 10 - 76, F.col("s_suppkey") * 37 % 400 / 10 - 35
 
     def ring(shift: float) -> Column:
@@ -367,7 +367,7 @@ def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     two = F.array(F.array(ring(0.0)), F.array(ring(2.0)))
-    text = F.when(F.col("s_suppkey") % 5 == 0, feature("MultiPolygon", two)).otherwise(
+    text = F.when(F.col("s_acctbal") < 1000, feature("MultiPolygon", two)).otherwise(
         feature("Polygon", F.array(ring(0.0)))
     )
     return table(spark, sf, "supplier").select(text.alias("value"))
