@@ -2,6 +2,7 @@
 
 from regiometric.functions.codes import (
     classify_prefix,
+    code_of,
     municipality_code,
     numeric_code,
     period_equals,
@@ -12,7 +13,7 @@ from regiometric.functions.labels import category_number, p_label, percent_label
 from regiometric.functions.numbers import missing_to_null, percent_of, ratio
 
 __all__ = [
-    "category_number", "classify_prefix", "missing_to_null", "municipality_code", "numeric_code", "p_label",
+    "category_number", "classify_prefix", "code_of", "missing_to_null", "municipality_code", "numeric_code", "p_label",
     "percent_label", "percent_of", "period_equals", "period_year", "r_label", "ratio", "recode", "strip_all",
     "strip_lead", "text_code",
 ]

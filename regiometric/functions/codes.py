@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiometric import fixed
@@ -19,6 +19,11 @@ def text_code(column: Column | str) -> Column:
     return F.nullif(F.trim(_col(column).cast("string")), F.lit(""))
 
 
+def code_of(df: DataFrame, column: str) -> Column:
+    """A code column of ``df`` for comparison with text codes: text as it is, other types turned into text."""
+    return F.col(column) if dict(df.dtypes)[column] == "string" else text_code(column)
+
+
 def numeric_code(column: Column | str) -> Column:
     """A code as a whole number; malformed text gives NULL instead of failing the job."""
     return _col(column).cast("string").try_cast("bigint")

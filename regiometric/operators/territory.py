@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiometric.functions import code_of
+
 
 def region_dimension(hierarchy: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct combinations of ``columns``, e.g. one row per health region from one row per municipality."""
@@ -30,17 +32,17 @@ def attach_region(
     """Left join of facts to the hierarchy by municipality code; unknown codes get NULL territory columns.
 
     ``prefix=None`` compares whole codes, ``prefix=6`` the first six characters of the fact's code, which also catches
-    codes that carry a check digit.
+    codes that carry a check digit. Codes stored as numbers are compared as text.
     """
-    side = hierarchy.select(F.col(hierarchy_code).alias("_municipality"), *keep)
-    fact_code = F.col(code) if prefix is None else F.substring(F.col(code), 1, prefix)
+    side = hierarchy.select(code_of(hierarchy, hierarchy_code).alias("_municipality"), *keep)
+    fact_code = code_of(facts, code) if prefix is None else F.substring(code_of(facts, code), 1, prefix)
     return facts.join(side, fact_code == F.col("_municipality"), "left").drop("_municipality")
 
 
 def attach_dictionary(facts: DataFrame, dictionary: DataFrame, code: str, key: str, label: str, out: str) -> DataFrame:
     """Left join to a code dictionary; codes absent from it get a NULL label."""
-    side = dictionary.select(F.col(key).alias("_key"), F.col(label).alias(out))
-    return facts.join(side, F.col(code) == F.col("_key"), "left").drop("_key")
+    side = dictionary.select(code_of(dictionary, key).alias("_key"), F.col(label).alias(out))
+    return facts.join(side, code_of(facts, code) == F.col("_key"), "left").drop("_key")
 
 
 def enrich_rates(
@@ -60,8 +62,10 @@ def enrich_rates(
     side = region_dimension(hierarchy, dimension).withColumnsRenamed(
         {region_key: "_region", "regiao_saude": names["name"]}
     )
+    side = side.withColumn("_region", code_of(side, "_region"))
     return (
-        rates.withColumnRenamed(rate_key, names["code"])
+        rates.withColumn(rate_key, code_of(rates, rate_key))
+        .withColumnRenamed(rate_key, names["code"])
         .join(side, F.col(names["code"]) == F.col("_region"), "left")
         .drop("_region")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiometric import fixed
@@ -24,17 +24,19 @@ def occupation_report(
     n: int = 10,
     clip: tuple[float, float] | None = None,
     test: bool = True,
+    stat: str = "mean",
+    excluded_state: str | None = fixed.FEDERAL_DISTRICT,
 ) -> dict[str, DataFrame]:
     """Everything one occupation's charts and tables show.
 
-    Statistics by state leave the Federal District out, as it has a single region. Box statistics use rows inside
-    ``clip`` only. Parts that need ``density`` or ``polygons`` are present when those are given; ``test=False`` leaves
+    Statistics by state leave ``excluded_state`` out (a state with a single region; ``None`` keeps all). Box statistics
+    use rows inside ``clip`` only. ``stat`` is the rate's statistic in the density chart, mean or median. Parts that need ``density`` or ``polygons`` are present when those are given; ``test=False`` leaves
     out the correlation test and the ranking, the two parts that run jobs while the report is put together. Most parts
     read ``enriched``: cache it when it is costly to compute and many parts are wanted.
     """
     enriched = enrich_rates(rates, hierarchy)
     named = enriched.withColumn("macro", strip_lead("regiao"))
-    district = F.col("uf") == fixed.FEDERAL_DISTRICT
+    district = None if excluded_state is None else F.col("uf") == excluded_state
     listed = enriched.select(
         "regiao", "uf", "nome_regiao_saude", RATE, F.bround(F.col(RATE) * 100, 0).alias("retencao")
     )
@@ -48,15 +50,15 @@ def occupation_report(
         "macro_summary": describe.six_numbers(enriched, ["regiao"], RATE),
         "state_means": describe.group_means(enriched, ["uf"], RATE),
         "overall": describe.overall(enriched, RATE),
-        "overall_without_district": describe.overall(enriched, RATE, district),
+        "overall_of_states": describe.overall(enriched, RATE, district),
         "state_medians": describe.group_medians(
-            enriched.filter(~district), ["uf", "regiao"], RATE, strict=True, label="rotulo"
+            _without(enriched, district), ["uf", "regiao"], RATE, strict=True, label="rotulo"
         ),
         "state_box": describe.state_box(enriched, "uf", "regiao", RATE, fixed.MACRO_REGION_ORDER, district, clip),
         "capitals": geo.capital_points(hierarchy),
     }
     if density is not None:
-        points = relate.density_points(density, enriched).filter(~district)
+        points = _without(relate.density_points(density, enriched, stat=stat), district)
         report["density_points"] = points
         report["density_line"] = relate.simple_line(points, "media_retencao", density_value)
         if test:
@@ -71,6 +73,10 @@ def occupation_report(
     return report
 
 
+def _without(df: DataFrame, excluded: Column | None) -> DataFrame:
+    return df if excluded is None else df.filter(~excluded)
+
+
 def cross_report(
     rates: Mapping[str, DataFrame],
     hierarchy: DataFrame,

@@ -187,3 +187,12 @@ def test_pivot_of_unique_cells(spark, rows):
     long = spark.createDataFrame([("SP", "Médicos", 1.5), ("SP", "Enf", 2.0), ("RJ", "Enf", 3.0)], "u string, p string, v double")
     wide = ind.pivot_first(long, ["u"], "p", "v", {"Médicos": "razao_medicos", "Enf": "razao_enf"})
     assert rows(wide) == [("RJ", None, 3.0), ("SP", 1.5, 2.0)]
+
+
+def test_numeric_codes_are_compared_as_text(spark, hierarchy):
+    facts = spark.createDataFrame([(350010, 1), (3500303, 2)], "m int, v int")
+    assert attach_region(facts, hierarchy, "m").filter("cod_regsaud IS NULL").count() == 1
+    assert attach_region(facts, hierarchy, "m", prefix=6).filter("cod_regsaud IS NULL").count() == 0
+    numbered = hierarchy.withColumn("cod_regsaud", F.col("cod_regsaud").cast("int"))
+    rates = spark.createDataFrame([(35001, 0.5)], "regiao_saude int, retencao_geral double")
+    assert enrich_rates(rates, numbered, ["cod_regsaud", "regiao_saude"]).first()["nome_regiao_saude"] == "Norte"

@@ -125,3 +125,24 @@ def test_density_points_inner_and_left(spark, rows):
     ]
     with pytest.raises(ValueError):
         relate.density_points(density, rates, stat="mode")
+
+
+def test_least_squares_with_terms_that_others_determine(spark):
+    data = [(float(i), 2.0 * i + 1, 3.0, float(i * i % 7), float(i % 3)) for i in range(12)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, y double")
+    full = {r["term"]: r for r in relate.ols(df, "y", ["a", "b", "c", "d"]).collect()}
+    reduced = {r["term"]: r for r in relate.ols(df, "y", ["a", "d"]).collect()}
+    assert list(full) == ["(Intercept)", "a", "b", "c", "d"]
+    for name in reduced:
+        assert full[name]["estimate"] == pytest.approx(reduced[name]["estimate"])
+        assert full[name]["p_value"] == pytest.approx(reduced[name]["p_value"])
+    assert full["b"]["estimate"] is None and full["c"]["std_error"] is None and full["b"]["df_residual"] == 9
+    constant = relate.ols(df, "c", ["a"]).collect()
+    assert constant[0]["estimate"] == pytest.approx(3.0) and constant[0]["p_value"] is None
+
+
+def test_least_squares_needs_rows_and_features(spark):
+    with pytest.raises(ValueError, match="missing"):
+        relate.ols(points(spark).filter("x > 2"), "y", ["x"])
+    with pytest.raises(ValueError, match="feature"):
+        relate.ols(points(spark), "y", ["y"])

@@ -36,7 +36,7 @@ def test_occupation_report(spark, hierarchy, rates):
     assert {r["retencao"] for r in report["bottom"].collect()} == {30.0, 35.0, 40.0}
     assert {r["macro"]: r["rotulo"] for r in report["macro_medians"].collect()}["Centro-Oeste"] == "99%"
     assert {r["macro"]: r["ord"] for r in report["macro_order"].collect()}["Norte"] == 2
-    assert report["overall_without_district"].first()["n"] == 12
+    assert report["overall_of_states"].first()["n"] == 12
     assert "Distrito Federal" not in {r["uf"] for r in report["state_medians"].collect()}
     assert {r["uf"]: r["ord"] for r in report["state_box"].collect()} == {"Bahia": 1, "Acre": 2, "São Paulo": 3, "Paraná": 4}
     assert report["density_points"].count() == 4
@@ -50,7 +50,8 @@ def test_occupation_report(spark, hierarchy, rates):
 
 
 def test_occupation_report_without_jobs_and_optional_tables(hierarchy, rates):
-    report = occupation_report(rates, hierarchy, test=False)
+    report = occupation_report(rates, hierarchy, test=False, excluded_state=None)
+    assert report["state_medians"].count() == 5 and report["overall_of_states"].first()["n"] == 13
     assert {"density_points", "map", "ranking"}.isdisjoint(report)
 
 
