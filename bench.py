@@ -10,8 +10,8 @@ from regiometric import spark_session
 from workloads.queries import REGISTRY
 
 HEADLINES = [
-    "region_mart_full", "share_by_class", "headcount_distinct", "jobs_per_person", "wide_types", "bed_sums_in_list",
-    "training_places", "gdp_by_region", "mean_distance_override", "class_share_zero_fill", "rank_first", "top10_ties",
+    "region_mart", "share_by_class", "headcount_distinct", "jobs_per_person", "wide_types", "bed_sums_in_list",
+    "training_supply", "gdp_by_region", "mean_distance_override", "class_share_zero_fill", "rank_first", "top10_ties",
     "group_median_strict", "six_number", "box_stats_of_lines", "state_box", "rates_wide", "state_medians_vs_density",
     "corr_test", "corr_matrix", "multi_ols", "fitted_line", "map_layer", "colour_bucket",
 ]

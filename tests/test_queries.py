@@ -32,7 +32,7 @@ def test_entry(spark):
     assert driver.queries().keys() == driver.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", ["region_mart_full", "share_by_class", "box_stats", "state_medians_vs_density", "map_layer"])
+@pytest.mark.parametrize("name", ["region_mart", "share_by_class", "box_stats", "state_medians_vs_density", "map_layer"])
 def test_plans_hold_no_python_and_no_cross_join(spark, plan, name):
     df = REGISTRY[name](spark, FOLDER)
     df.collect()

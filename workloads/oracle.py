@@ -433,7 +433,7 @@ ORACLE: dict[str, str] = {
         "lines_region",
         "SELECT cod_regsaud, regiao_saude, COUNT(DISTINCT l_partkey) AS total_ies FROM lines_region GROUP BY ALL",
     ),
-    "training_places": _with(
+    "training_supply": _with(
         "lines_region",
         """SELECT cod_regsaud, regiao_saude, CAST(ano AS INTEGER) AS ano, uf_sigla, p_type AS curso,
                   CAST(SUM(l_quantity) AS BIGINT) AS matriculas_ies, CAST(SUM(l_linenumber) AS BIGINT) AS ingressos_ies,
@@ -474,7 +474,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT g.*, populacao, ROUND(PIB_1000 * 1000 / populacao, 6) AS PIB_percapita
             FROM ({_GDP_SHARES}) g LEFT JOIN people p ON p.cod_regsaud = g.cod_regsaud""",
     ),
-    "region_mart_full": _mart(),
+    "region_mart": _mart(),
     "code_normalise": """
         WITH raw AS (SELECT CAST(520000 + l_suppkey * 7 % 20000 AS VARCHAR) AS six, l_linenumber AS j FROM lineitem),
              codes AS (SELECT CASE WHEN j % 2 = 0 THEN six || CAST(j AS VARCHAR) ELSE six END AS codigo FROM raw)
@@ -519,12 +519,12 @@ ORACLE: dict[str, str] = {
     "malformed_municipalities": _with(
         "hierarchy", "SELECT COUNT(*) AS n_rows, 0::BIGINT AS n_missing, COUNT(*) AS n_malformed FROM hierarchy"
     ),
-    "enrich_rates_with_territory": _with(
+    "enrich_rates": _with(
         "enriched",
         """SELECT code AS cod_regiao_saude, ROUND(rate, 6) AS retencao_geral, regiao, cod_uf, uf,
                   regiao_saude AS nome_regiao_saude FROM enriched""",
     ),
-    "region_dimension_distinct": _with("regions", "SELECT regiao, cod_uf, uf, cod_regsaud, regiao_saude FROM regions"),
+    "region_dimension": _with("regions", "SELECT regiao, cod_uf, uf, cod_regsaud, regiao_saude FROM regions"),
     "rank_first": _with(
         "two_places",
         """SELECT uf, nome_regiao_saude, CAST(percent AS DOUBLE) / 100 AS retencao_geral, code AS cod_regiao_saude,

@@ -34,7 +34,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(query: Query) -> Query:
-    REGISTRY[query.__name__] = query
+    REGISTRY[query.__name__.removeprefix("query_")] = query
     return query
 
 
@@ -153,7 +153,7 @@ def training_institutions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register
-def training_places(spark: SparkSession, sf: str) -> DataFrame:
+def query_training_supply(spark: SparkSession, sf: str) -> DataFrame:
     totals = {
         "matriculas_ies": "qt_matricula_total",
         "ingressos_ies": "qt_ingresso_total",
@@ -218,7 +218,7 @@ def gdp_by_region(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register
-def region_mart_full(spark: SparkSession, sf: str) -> DataFrame:
+def query_region_mart(spark: SparkSession, sf: str) -> DataFrame:
     mart = region_mart(st.mart_tables(spark, sf), st.SETTINGS)
     return rounded(mart, ["obitos_1000_hab", "PIB_percapita"])
 
@@ -315,12 +315,12 @@ def malformed_municipalities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register
-def enrich_rates_with_territory(spark: SparkSession, sf: str) -> DataFrame:
+def query_enrich_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(enriched(spark, sf), [RATE])
 
 
 @register
-def region_dimension_distinct(spark: SparkSession, sf: str) -> DataFrame:
+def query_region_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return region_dimension(st.hierarchy(spark, sf), ["regiao", "cod_uf", "uf", "cod_regsaud", "regiao_saude"])
 
 
