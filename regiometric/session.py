@@ -25,6 +25,7 @@ def spark_session(app_name: str = "regiometric", master: str | None = None, **co
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({key.replace("_", "."): value for key, value in conf.items()})

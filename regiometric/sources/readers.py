@@ -11,9 +11,15 @@ from regiometric.functions import numeric_code, text_code
 from regiometric.sources import schemas
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A parquet table; column choice and filters further on reach the scan."""
-    df = spark.read.parquet(path)
+def read_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str | None = None
+) -> DataFrame:
+    """A parquet table; column choice and filters further on reach the scan.
+
+    Give the ``schema`` of tables partitioned by a code: without it Spark takes folder names like ``202201`` for numbers.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
     return df if columns is None else df.select(*columns)
 
 

@@ -32,6 +32,21 @@ def test_entry(spark):
     assert driver.queries().keys() == driver.oracle_sql().keys()
 
 
+@pytest.mark.parametrize("name", ["region_mart", "class_share_with_dictionary", "box_stats", "state_medians_vs_density"])
+def test_results_do_not_depend_on_broadcasts(spark, plan, connection, name):
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in settings:
+        spark.conf.set(setting, "-1")
+    try:
+        assert compare(spark, connection, FOLDER, name) is None
+        df = REGISTRY[name](spark, FOLDER)
+        df.collect()
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
+
+
 @pytest.mark.parametrize("name", ["region_mart", "share_by_class", "box_stats", "state_medians_vs_density", "map_layer"])
 def test_plans_hold_no_python_and_no_cross_join(spark, plan, name):
     df = REGISTRY[name](spark, FOLDER)

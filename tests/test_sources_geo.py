@@ -3,6 +3,7 @@ import json
 import pytest
 
 from regiometric import fixed, sources
+from regiometric.functions import period_equals
 from regiometric.operators import geo
 from regiometric.session import cut_lineage, shared_dir
 from regiometric.sources import schemas
@@ -89,6 +90,17 @@ def test_writers(spark, tmp_path, rows):
     assert rows(sources.read_csv(spark, str(tmp_path / "c"), "k string, n int", ";")) == [("a", 1), ("b", 2)]
 
 
+def test_registry_partitioned_by_period(spark, tmp_path, plan):
+    path = str(tmp_path / "registry")
+    people = [("202201", "350010", "SP", "p1", "223505", "0101"), ("202202", "350010", "SP", "p2", "223505", "0101")]
+    sources.write_parquet(spark.createDataFrame(people, schemas.PROFESSIONALS), path, partition_by=["COMPETEN"])
+    df = sources.read_parquet(spark, path, schema=schemas.PROFESSIONALS).filter(period_equals("COMPETEN", 2022, 2))
+    assert [r["CPF_PROF"] for r in df.collect()] == ["p2"]
+    assert df.schema["COMPETEN"].dataType.simpleString() == "string"
+    filters = plan(df).split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "= 202202" in filters and "cast" not in filters
+
+
 def test_every_schema_parses(spark):
     for name, ddl in vars(schemas).items():
         if name.isupper():
