@@ -119,6 +119,8 @@ def _fenced(
     domain: Domain,
     staged: bool,
 ) -> DataFrame:
+    if not by:
+        raise ValueError("box statistics are taken per group")
     shown = _in_view(df, value, clip)
     spread = F.lit(reach) * (F.col("q3") - F.col("q1"))
     hinges = exact_quantiles(shown, by, value, QUARTILES, domain, staged=staged).select(

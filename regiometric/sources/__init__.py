@@ -9,9 +9,9 @@ from regiometric.sources.readers import (
     rejected_codes,
     with_text_codes,
 )
-from regiometric.sources.sinks import write_csv, write_parquet
+from regiometric.sources.sinks import write_csv, write_parquet, write_report
 
 __all__ = [
     "parse_features", "read_csv", "read_geojson", "read_jdbc", "read_parquet", "read_rates_csv", "rejected_codes",
-    "with_text_codes", "write_csv", "write_parquet",
+    "with_text_codes", "write_csv", "write_parquet", "write_report",
 ]

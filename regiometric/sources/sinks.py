@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -15,3 +15,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
     """A CSV folder with a header in each file, readable by spreadsheet programs."""
     df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+
+
+def write_report(report: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """Every table of a report as a parquet folder of its name, and its ranking as CSV too.
+
+    Parts share their first steps; cache ``report["enriched"]`` beforehand where those are costly.
+    """
+    for name, df in report.items():
+        write_parquet(df, f"{path}/{name}", mode=mode)
+    if "ranking" in report:
+        write_csv(report["ranking"].orderBy("Ranking"), f"{path}/ranking_csv", mode=mode)

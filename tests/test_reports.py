@@ -1,7 +1,7 @@
 import pytest
 
 from regiometric.plans import cross_report, occupation_report
-from regiometric.sources import parse_features, schemas
+from regiometric.sources import parse_features, schemas, write_report
 
 
 def place(code, region, name, uf, code_uf, macro):
@@ -25,7 +25,7 @@ def rates(spark):
     return spark.createDataFrame([(f"35{i:03d}", 0.3 + 0.05 * i) for i in range(12)] + [("53001", 0.99)], schemas.RATES)
 
 
-def test_occupation_report(spark, hierarchy, rates):
+def test_occupation_report(spark, hierarchy, rates, tmp_path):
     density = spark.createDataFrame([("35", "SP", 2.0), ("41", "PR", 1.5), ("29", "BA", 1.7), ("12", "AC", 2.4), ("53", "DF", 9.0)], schemas.DENSITY)
     polygons = parse_features(spark.createDataFrame(
         [('{"properties": {"reg_id": 35003}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [0, 0]]]}}',)], "value string"
@@ -45,6 +45,10 @@ def test_occupation_report(spark, hierarchy, rates):
     ranking = {r["Ranking"]: r["nome_regiao_saude"] for r in report["ranking"].collect()}
     assert ranking[1] == "Distrito Federal" and ranking[13] == "R0"
     assert report["map"].first()["colour_class"] == 1
+    write_report({"ranking": report["ranking"], "map": report["map"]}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "map")).count() == 1
+    lines = spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "ranking_csv"))
+    assert lines.columns == ["Ranking", "uf", "nome_regiao_saude", "retencao_geral"] and lines.count() == 13
     assert report["macro_box"].count() == report["macro_summary"].count() == 5
     assert report["state_means"].count() == 5 and report["capitals"].count() == 0
 

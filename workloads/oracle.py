@@ -253,7 +253,7 @@ def _box(rows: str, by: str, value: str, tables: str, order: str = "") -> str:
         f"""SELECT b.{by}, MAX(h.n) AS n, {", ".join(f"ROUND(MAX(h.{q}), 6) AS {q}" for q in _BOX[:3])},
                    ROUND(MIN(v) FILTER (v BETWEEN lo AND hi), 6) AS whisker_low,
                    ROUND(MAX(v) FILTER (v BETWEEN lo AND hi), 6) AS whisker_high,
-                   COUNT(*) FILTER (NOT v BETWEEN lo AND hi) AS n_outliers{", MAX(o.ord) AS ord" if order else ""}
+                   COUNT(*) FILTER (NOT v BETWEEN lo AND hi) AS n_outliers{", CAST(MAX(o.ord) AS INTEGER) AS ord" if order else ""}
             FROM b JOIN h ON b.{by} = h.{by} {order} GROUP BY ALL""",
         b=rows,
         h=f"""SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
