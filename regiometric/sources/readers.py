@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from regiometric.functions import numeric_code, text_code
 from regiometric.sources import schemas
@@ -24,25 +25,25 @@ def read_parquet(
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """A delimited table with a header and surrounding blanks trimmed. The schema is given, never inferred.
+    """The columns of ``schema`` from a delimited table with a header, surrounding blanks trimmed.
 
-    Columns are taken by position; malformed numbers become NULL. Spreadsheets are read in this form.
+    Columns are found by name, in any order, and further ones are ignored. Types are those given, never inferred, and
+    malformed numbers become NULL. Spreadsheets are read in this form.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    text = (
+        spark.read.option("header", True)
         .option("sep", sep)
-        .option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "PERMISSIVE")
         .csv(path)
     )
+    fields = StructType.fromDDL(schema).fields
+    return text.select(*[F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name) for field in fields])
 
 
 def read_rates_csv(spark: SparkSession, path: str) -> DataFrame:
     """An exported rate table (``;`` between fields) without its unnamed index column."""
-    return read_csv(spark, path, schemas.RATES_CSV, sep=";").drop("_index")
+    return read_csv(spark, path, schemas.RATES, sep=";")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, options: Mapping[str, str] | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ def test_rate_files_with_index_column(spark, tmp_path, rows):
 
 def test_comma_files_and_rejected_codes(spark, tmp_path):
     path = tmp_path / "people.csv"
-    path.write_text("cod_regsaud,populacao\n35001,10\nx1,20\n,30\n", encoding="utf-8")
+    path.write_text("nome,populacao,cod_regsaud\na,10,35001\nb,20,x1\nc,30,\n", encoding="utf-8")
     df = sources.read_csv(spark, str(path), schemas.POPULATION)
     assert df.schema["populacao"].dataType.simpleString() == "bigint"
     assert tuple(sources.rejected_codes(df, "cod_regsaud").first()) == (3, 1, 1)
