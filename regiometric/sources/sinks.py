@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """A parquet folder; partition registries by period so that later reads skip the other periods."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """A parquet folder; partition registries by period so that later reads skip the other periods.
+
+    With ``partition_by`` rows are gathered by those columns first, so that not every task writes a file into every
+    folder; Spark splits a value that holds many rows and merges small ones.
+    """
+    gathered = df.hint("rebalance", *[F.col(name) for name in partition_by]) if partition_by else df
+    gathered.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
