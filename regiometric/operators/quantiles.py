@@ -64,22 +64,20 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     domain: tuple[float, float] | None = RATE_DOMAIN,
-    levels: int | None = None,
+    levels: int = 2,
     staged: bool = False,
 ) -> DataFrame:
     """One row per group: ``by``, ``n``, ``n_missing``, ``mean``, ``min``, ``max`` and one column per probability.
 
     NULL and NaN are missing and do not take part; a group of missing values only has NULL statistics. An empty ``by``
     gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum.
-    With two ``levels`` the wanted bins are divided once more between their own extremes, for measures whose values
-    crowd into few bins; that is the default where no domain is given.
+    With two ``levels`` the wanted bins are divided once more between their own extremes, so that values which crowd
+    into few bins, or lie outside the domain, still spread over tasks.
 
     ``staged`` is for tables so large that their rows should not be shuffled: the counting pass runs at once, and the
     few wanted bins are then broadcast (if they are few indeed) to the second pass over the rows. Otherwise all of it
     is one lazy plan.
     """
-    if levels is None:
-        levels = 2 if domain is None else 1
     keys = list(by) or ["_all"]
     rows = df.select(*by, missing_to_null(value).alias("_v"))
     if not by:
