@@ -149,7 +149,9 @@ def exact_quantiles(
             F.max(F.when(_holds(lower), F.col("_v"))).alias(f"_l{i}"),
             F.max(F.when(_holds(upper), F.col("_v"))).alias(f"_u{i}"),
         ]
-        answers.append((F.col(f"_l{i}") + weight * (F.col(f"_u{i}") - F.col(f"_l{i}"))).alias(name))
+        low_end, high_end = F.col(f"_l{i}"), F.col(f"_u{i}")
+        between = F.when(low_end == high_end, low_end).otherwise(low_end + weight * (high_end - low_end))
+        answers.append(between.alias(name))
     found = placed.groupBy(*keys).agg(*[F.max(name).alias(name) for name in _STATS], *ends)
     full = found.select(*keys, *_STATS, *answers)
     empty = hollow.select(*keys, *_STATS, *[F.lit(None).cast("double").alias(name) for name in probs])
