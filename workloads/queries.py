@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,7 @@ from regiometric.operators import describe, geo, keys, ranking, relate
 from regiometric.operators import indicators as ind
 from regiometric.operators.territory import attach_dictionary, enrich_rates, region_dimension
 from regiometric.plans import cross_report, occupation_report, region_mart
-from regiometric.session import shared_dir
+from regiometric.session import scratch_dir as scratch
 from workloads import standins as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +50,6 @@ def enriched(spark: SparkSession, sf: str, rates: DataFrame | None = None) -> Da
     return enrich_rates(st.rates(spark, sf) if rates is None else rates, st.hierarchy(spark, sf))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # -- registry and territory indicators ---------------------------------------------------------------------------
 
 
