@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing
+from regiometric.llm import chat, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register
+def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document it is linked to."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @register
 def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation formatted, and what is read back from the formatted text and its segments."""
