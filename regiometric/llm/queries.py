@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing, simhash
+from regiometric.llm import chat, packing, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,6 +30,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@register
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's word counts and the digest of what is kept of it."""
+    return substrings.remove_repeated(table(spark, sf, "documents"))
+
+
 @register
 def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation formatted, and what is read back from the formatted text and its segments."""
