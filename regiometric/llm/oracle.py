@@ -31,4 +31,18 @@ ORACLE: dict[str, str] = {
             bool_and(known) AND bool_or(after IS NULL AND role IN ('user', 'assistant')) AS valid_order
         FROM loss GROUP BY conv_id
     """,
+    "op7_warc_chunks": """
+        WITH sized AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), linked AS (
+            SELECT *, CASE WHEN payload_bytes >= 100
+                THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first
+            FROM sized
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to
+        FROM linked
+    """,
 }

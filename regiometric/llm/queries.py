@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing, simhash, substrings
+from regiometric.llm import chat, packing, simhash, substrings, warc
+from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -57,6 +58,14 @@ def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def op7_warc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    folder = scratch_dir(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_archives(spark, folder)
+
+
 @register
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's pieces, one sequence each."""
