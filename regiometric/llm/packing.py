@@ -7,8 +7,10 @@ a sequence of its own. A training job draws each batch from one bucket.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,21 @@ from regiometric.llm.words import slices
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
+SIGMA = "\u03a3"  # its lower case depends on its place in a word
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one above 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def binary_pieces(total: int, most: int = MAX_LENGTH) -> np.ndarray:
     """Lengths of the pieces of a document of ``total`` tokens, in order; ``most`` is a power of two."""
     whole, rest = divmod(total, most)
@@ -31,50 +44,93 @@ def binary_pieces(total: int, most: int = MAX_LENGTH) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids of texts, with the ids of words that were seen lately kept.
+    """Token ids of texts, with the ids of the words and word parts that were seen lately kept.
 
-    Spaces and line feeds always end a token, so a text is encoded word by word with the same result. The store is
-    emptied when it is full, which costs time and changes nothing.
+    Spaces and line feeds always end a token, so a text is encoded word by word with the same result. A new word goes
+    through the tokenizer's own normaliser, pre-tokenizer and model; parts that several words share, such as a word with
+    and without a comma, go through the model once. The stores are emptied when they are full, which costs time and
+    changes nothing.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [str(token.content) for token in added]
+        if any("|" not in mark for mark in self.marks):
+            raise ValueError("added tokens are expected to hold a vertical bar")
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.tails: dict[str, list[str]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1 << 16, dtype=np.int64)
+
+    def _pieces(self, word: str) -> list[str]:
+        """What the normaliser and the pre-tokenizer make of a word."""
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _ids(self, word: str) -> list[int]:
+        if "|" in word and any(mark in word for mark in self.marks):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        size = len(word)
+        while size and not word[size - 1].isalpha():
+            size -= 1
+        stem, tail = word[:size], word[size:]
+        plain = stem.lower()
+        simple = stem.isalpha() and plain.isalpha() and SIGMA not in stem
+        if simple and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            # letters only: one piece, as bytes in the tokenizer's alphabet
+            pieces = [plain if stem.isascii() else "".join(map(BYTE_LETTERS.__getitem__, plain.encode()))]
+            if tail:
+                after = self.tails.get(tail)
+                if after is None:
+                    after = self.tails[tail] = self._pieces(tail)
+                pieces += after
+        else:
+            pieces = self._pieces(word)
+        ids: list[int] = []
+        for piece in pieces:
+            found = self.parts.get(piece)
+            if found is None:
+                found = self.parts[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
+            ids += found
+        return ids
 
     def _learn(self, words: list[str]) -> None:
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                begin = self.ends[-1]
-                stop = begin + len(coded.ids)
-                while stop > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[begin:stop] = coded.ids
-                self.known[word] = len(self.ends) - 1
-                self.ends.append(stop)
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text as unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [word for word in set(words) if word not in known]
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                self.clear()
-                known, new = self.known, list(set(words))
-            self._learn(new)
-        picked = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        ends = np.array(self.ends)
-        begins, lengths = ends[picked], ends[picked + 1] - ends[picked]
-        shift = np.repeat(begins - np.cumsum(lengths) + lengths, lengths)
-        return self.flat[shift + np.arange(len(shift))]
+        while len(self.known) + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        at = len(self.known)
+        begin = int(self.ends[at])
+        flat: list[int] = []
+        for word in words:
+            flat += self._ids(word)
+            self.known[word] = at
+            at += 1
+            self.ends[at] = begin + len(flat)
+        while begin + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[begin : begin + len(flat)] = flat
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts as unsigned 32-bit numbers."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        counts = np.array([len(words) for words in split])
+        words = list(chain.from_iterable(split))
+        new = [word for word in set(words) if word not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.clear()
+            new = list(set(words))
+        self._learn(new)
+        picked = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        begins, lengths = self.ends[picked], self.ends[picked + 1] - self.ends[picked]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+        return np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
 
 
 def pack_power_of_two(
@@ -100,8 +156,9 @@ def pack_power_of_two(
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 rows, starts, lengths, checks, totals, parts = [], [], [], [], [], []
-                for row, value in enumerate(batch.column("text").to_pylist()):
-                    ids = np.append(encoder.encode(value or ""), np.uint32(end_id)).astype("<u4")
+                texts = [value or "" for value in batch.column("text").to_pylist()]
+                for row, found in enumerate(encoder.encode(texts)):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     sizes = binary_pieces(len(ids), most)
                     begin = 0
                     for size in sizes.tolist():
