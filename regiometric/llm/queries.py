@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing, simhash, substrings, warc
+from regiometric.llm import chat, packing, quality, simhash, substrings, warc
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,9 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     packed = packing.pack_power_of_two(table(spark, sf, "documents"), path, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@register
+def op10_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality score by a factorisation machine."""
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
