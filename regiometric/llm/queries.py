@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing, quality, simhash, substrings, warc
+from regiometric.llm import chat, packing, quality, simhash, substrings, toxicity, warc
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, sf, "documents"))
 
 
+@register
+def op5_toxicity_wfst(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's toxicity by the finite-state grammar."""
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register
 def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation formatted, and what is read back from the formatted text and its segments."""
