@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, packing, quality, simhash, substrings, toxicity, warc
+from regiometric.llm import chat, neighbours, packing, quality, simhash, substrings, toxicity, warc
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+@register
+def op9_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
 @register
 def op10_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality score by a factorisation machine."""
