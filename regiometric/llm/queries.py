@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, neighbours, packing, quality, simhash, substrings, toxicity, warc
+from regiometric.llm import chat, language_model, neighbours, packing, quality, simhash, substrings, toxicity, warc
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@register
+def op2_recurrent_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log-likelihood under the recurrent model and the base model."""
+    return language_model.score_documents(table(spark, sf, "documents"))
+
+
 @register
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's word counts and the digest of what is kept of it."""
