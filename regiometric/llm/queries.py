@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, language_model, neighbours, packing, quality, simhash, substrings, toxicity, warc
+from regiometric.llm import chat, decontaminate, language_model, neighbours, packing, quality, simhash, substrings, toxicity, warc
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeated(table(spark, sf, "documents"))
 
 
+@register
+def op4_qgram_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and benchmark item that it holds, with the place and the number of edits."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @register
 def op5_toxicity_wfst(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's toxicity by the finite-state grammar."""
