@@ -198,6 +198,25 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def probe_table(benchmark: DataFrame, item_column: str = "item_id") -> DataFrame:
+    """``item``, ``number``, ``probe``: the distinct probes of all items that are long enough."""
+    items = benchmark.select(F.col(item_column).alias("item"), F.col("text").alias("text"))
+    kind = items.schema["item"].dataType.simpleString()
+    probes = items.mapInArrow(_probe_rows, f"item {kind}, number long, probe string")
+    return probes.filter(F.length("probe") >= Q).distinct()
+
+
+def index_parts(probes: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """Items and probes in parts of about ``INDEX_CHARS`` characters, which is what goes to all tasks at a time."""
+    chars = probes.agg(F.sum(F.length("probe")).alias("n")).collect()[0].n or 0
+    parts = max(1, -(-chars // INDEX_CHARS))
+    for part in range(parts):
+        mine = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(parts)) == part).orderBy("item", "number", "probe")
+        rows = mine.collect()
+        if rows:
+            yield [row.item for row in rows], [row.probe for row in rows]
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -208,29 +227,23 @@ def leaks(
     """One row per document row and benchmark item found in it: ids, ``start`` and ``stop`` in the text, ``edits`` and
     ``probes`` (how many of the item's probes were found); the place and edits are those of the best probe.
 
-    A probe counts as found within ``EDITS`` of its length, upper case and white space aside; longer items are found if
-    one of their probes is. Items of fewer than ``Q`` characters, null or empty ones match nothing; repeated items are
-    found as one if their ids agree. A null text holds nothing. Repeated documents give a row each. Other columns are ignored. The index of the
-    probes goes to all tasks; a benchmark of more than ``INDEX_CHARS`` characters is searched in parts of that size.
+    A probe counts as found within ``EDITS`` of its length, case and white space aside; longer items are found if one
+    of their probes is. Items of fewer than ``Q`` characters, null or empty ones match nothing; repeated items are found
+    as one if their ids agree. A null text holds nothing. Repeated documents give a row each. Other columns are
+    ignored. The index of the probes goes to all tasks; a benchmark of more than ``INDEX_CHARS`` characters is searched
+    in parts of that size.
     """
-    items = benchmark.select(F.col(item_column).alias("item"), F.col("text").alias("text"))
-    kind = items.schema["item"].dataType.simpleString()
-    probes = items.mapInArrow(_probe_rows, f"item {kind}, number long, probe string")
-    probes = probes.filter(F.length("probe") >= Q).distinct()
-    chars = probes.agg(F.sum(F.length("probe")).alias("n")).collect()[0].n or 0
-    parts = max(1, -(-chars // INDEX_CHARS))
-    source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    id_kind = source.schema["id"].dataType.simpleString()
-    item_type = items.limit(0).toArrow().schema.field("item").type
-    schema = f"row long, id {id_kind}, item {kind}, start long, stop long, edits long"
-    found = None
-    for part in range(parts):
-        mine = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(parts)) == part).orderBy("item", "number", "probe").collect()
-        if not mine:
-            continue
-        given = [row.item for row in mine], [row.probe for row in mine]
+    probes = probe_table(benchmark, item_column)
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text")
+    )
+    item_type = probes.select("item").limit(0).toArrow().schema.field("item").type
+    kinds = [frame.schema[name].dataType.simpleString() for frame, name in ((source, "id"), (probes, "item"))]
+    schema = "row long, id {}, item {}, start long, stop long, edits long".format(*kinds)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for part in index_parts(probes):
 
-        def search(batches: Iterator[pa.RecordBatch], given: tuple = given) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], given: tuple = part) -> Iterator[pa.RecordBatch]:
             index = Probes(*given)
             for whole in batches:
                 for batch in slices(whole, "text", 2 << 20):
@@ -241,13 +254,25 @@ def leaks(
                     columns = [batch.column("row").take(at), batch.column("id").take(at), item, *values]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "id", "item", "start", "stop", "edits"])
 
-        numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-        one = numbered.mapInArrow(search, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
+        found = found.unionByName(source.mapInArrow(search, schema))
     best = F.min(F.struct("edits", "start", "stop")).alias("best")
     merged = found.groupBy("row", "id", "item").agg(best, F.count_distinct("start").alias("probes"))
     return merged.select(
         F.col("id").alias(id_column), F.col("item").alias(item_column), "best.start", "best.stop", "best.edits", "probes"
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that hold no benchmark item in the sense of ``leaks``; nothing is shuffled."""
+    for part in index_parts(probe_table(benchmark)):
+
+        def keep(batches: Iterator[pa.RecordBatch], given: tuple = part) -> Iterator[pa.RecordBatch]:
+            index = Probes(*given)
+            for whole in batches:
+                for batch in slices(whole, text, 2 << 20):
+                    clean = np.ones(batch.num_rows, dtype=bool)
+                    clean[find_leaks(batch.column(text).to_pylist(), index)["text"]] = False
+                    yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
