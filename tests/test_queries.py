@@ -29,7 +29,7 @@ def test_entry(spark):
 
     df = driver.entry(spark)
     assert len(df.columns) == 68 and df.count() == 10
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert REGISTRY.keys() <= driver.queries().keys() and ORACLE.keys() <= driver.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", ["region_mart", "class_share_with_dictionary", "box_stats", "state_medians_vs_density"])
