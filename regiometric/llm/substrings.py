@@ -9,8 +9,8 @@ path. A repeated window is a repeated minimiser too, so a join by minimiser find
 * pieces of a minimiser with several contexts branch. Each distinct one is opened into single edges once, and edges are
   counted by content.
 
-Repeated pieces and edges go back to their source coordinates, where they merge into spans. Windows, pieces and edges
-are compared by 128-bit hashes of their words (pieces of one minimiser by 64 bits and length in the branching test).
+Repeated pieces and edges go back to their source coordinates, where they merge into spans. Edges are compared by
+128-bit hashes of their words, pieces by 64 bits of their minimiser and 64 of their content.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.words import SECOND_BASE, Runs, Words, find_words, hash_words, slices
+from regiometric.session import stage
 
 WINDOW = 35
 SEED_WORDS = 8
@@ -53,14 +54,13 @@ def _seed_hashes(words: Words, hashes: np.ndarray, seed: int) -> tuple[np.ndarra
 
 
 def path_pieces(words: Words, window: int = WINDOW, seed: int = SEED_WORDS) -> dict[str, np.ndarray]:
-    """Pieces of every text: text number, first window, number of windows, minimiser and 128-bit content hash."""
+    """Pieces of every text: text number, first window, number of windows, and hashes of minimiser and content."""
     hashes = hash_words(words)
     counts = np.diff(words.first)
-    none = {k: np.zeros(0, dtype=np.int64) for k in ("text", "start", "windows", "seed", "c1", "c2")}
+    none = {k: np.zeros(0, dtype=np.int64) for k in ("text", "start", "windows", "seed", "c1")}
     if not (counts >= window).any():
         return none
     seeds, runs = _seed_hashes(words, hashes, seed)
-    second = Runs.of(hashes, SECOND_BASE)
     place = sliding_minimum(seeds, window - seed + 1)
     text_of = words.text_of()
     starts = np.arange(len(place))
@@ -80,7 +80,6 @@ def path_pieces(words: Words, window: int = WINDOW, seed: int = SEED_WORDS) -> d
         "windows": size,
         "seed": seeds[place[first]].view(np.int64),
         "c1": runs.hash(begin, span).view(np.int64),
-        "c2": second.hash(begin, span).view(np.int64),
     }
 
 
@@ -99,12 +98,12 @@ def _keyed(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(given, value), "k2": F.xxhash64(value, F.lit("|"), given)})
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
+def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """Windows whose word sequence starts in two places or more, as ``k1``, ``k2``, ``start``, ``windows`` in a row.
 
-    ``docs`` has the keys ``k1``, ``k2`` and the text. A row may be listed more than once.
+    ``base`` has the keys ``k1``, ``k2`` and ``text``. A row may be listed more than once. The opened texts are found by
+    a join with ``base`` as it is, so that a caller's own join of it by the keys can use the same exchange.
     """
-    source = docs.select(*KEYS, F.col(text).alias("text"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,27 +133,27 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW,
                     [*keys, *map(pa.array, values)], [*KEYS, "start", "copies", "c1", "c2"]
                 )
 
-    found = source.mapInArrow(pieces, "k1 long, k2 long, start long, windows long, seed long, c1 long, c2 long")
+    found = base.select(*KEYS, "text").mapInArrow(pieces, "k1 long, k2 long, start long, windows long, seed long, c1 long")
     seeds = (
         found.groupBy("seed")
         .agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high"))
         .filter("n > 1")
         .select("seed", (F.col("low") != F.col("high")).alias("branches"))
     )
-    placed = found.join(seeds, "seed")
+    placed = stage(found.join(seeds, "seed"), "pieces")
     whole = placed.filter("not branches").select(*KEYS, "start", "windows")
     branching = placed.filter("branches")
-    content = ["seed", "c1", "c2"]
+    content = ["seed", "c1"]
     distinct = branching.groupBy(*content).agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEYS, "start", "windows")).alias("at")
     )
+    distinct = stage(distinct, "contents")
     copied = branching.join(distinct.filter("copies > 1").select(*content), content).select(*KEYS, "start", "windows")
     opened = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("at.start", "at.windows", "copies")).alias("opened")
     )
-    single = source.join(opened, KEYS).mapInArrow(
-        edges, "k1 long, k2 long, start long, copies long, c1 long, c2 long"
-    )
+    schema = "k1 long, k2 long, start long, copies long, c1 long, c2 long"
+    single = base.join(opened, KEYS).mapInArrow(edges, schema)
     again = single.groupBy("c1", "c2").agg(F.sum("copies").alias("n")).filter("n > 1").select("c1", "c2")
     lone = single.filter("copies = 1").join(again, ["c1", "c2"])
     return whole.unionByName(copied).unionByName(lone.select(*KEYS, "start", F.lit(1).cast("long").alias("windows")))
@@ -223,7 +222,7 @@ def remove_repeated(
     row = F.struct(*[F.col(name).alias(f"f{i}") for i, name in enumerate(carried)])
     base = _keyed(docs.select(F.col(text).alias("text"), F.col(id_column).alias("id"), row.alias("row")), "text", "id")
     base = base.select(*KEYS, "row", "text")
-    spans = repeated_windows(base, "text", window).groupBy(*KEYS).agg(
+    spans = repeated_windows(base, window).groupBy(*KEYS).agg(
         F.collect_set(F.struct("start", "windows")).alias("spans")
     )
 
