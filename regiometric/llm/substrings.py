@@ -140,6 +140,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
         .filter("n > 1")
         .select("seed", (F.col("low") != F.col("high")).alias("branches"))
     )
+    seeds = stage(seeds, "seeds")  # so that the join's sides are plain and a crowded seed can be split
     placed = stage(found.join(seeds, "seed"), "pieces")
     whole = placed.filter("not branches").select(*KEYS, "start", "windows")
     branching = placed.filter("branches")
