@@ -348,7 +348,8 @@ def fit(docs: DataFrame, counts: Counts) -> Net:
         yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], ["net"])
 
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text")
-    return Net.load(one.mapInArrow(run, "net binary").collect()[0].net)
+    trained = one.mapInArrow(run, "net binary").collect()
+    return Net.load(trained[0].net) if trained else new_net(counts)
 
 
 def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_column: str = "doc_id") -> DataFrame:
@@ -380,7 +381,8 @@ def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_colu
                 )
                 rows.append((
                     batch.column("id"), np.diff(words.first), np.bincount(text[listed], minlength=n),
-                    np.bincount(text, logs, minlength=n), np.bincount(text, inside, minlength=n),
+                    np.bincount(text, logs, minlength=n).astype(float),
+                    np.bincount(text, inside, minlength=n).astype(float),
                     pa.ListArray.from_arrays(pa.array(cuts), unlisted),
                 ))
                 ids.append(_with_ends(found, words.first).astype(np.int32))

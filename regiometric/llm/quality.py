@@ -199,10 +199,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(batches)
-    if rows.num_rows == 0:
+    given = [batch for batch in batches if batch.num_rows]
+    if not given:
         return
-    rows = rows.sort_by("doc_id").combine_chunks()
+    rows = pa.Table.from_batches(given).sort_by("doc_id").combine_chunks()
     stats = rows.column("stats").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     counts = rows.column("bin").combine_chunks().value_lengths().to_numpy()
     f = Features(

@@ -202,7 +202,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` that join all fingerprints of ``fps`` (distinct, column ``fp``) within three bits.
+    """Links ``a``, ``b`` whose components are those of the fingerprints of ``fps`` (distinct, column ``fp``) within three
+    bits; the ends of one link may be joined by way of others.
 
     An anchor where more than ``BLOCK_HOMES`` fingerprints live is split into salts: each of those fingerprints goes to
     one salt, and the anchor's other rows to all of them.

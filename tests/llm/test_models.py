@@ -179,8 +179,8 @@ def test_state_is_carried_over_windows_and_lanes(monkeypatch):
 
 def test_training_lowers_the_loss():
     net = lm.new_net(some_counts())
-    ids = np.tile(np.array([3, 900, 17, 2060, 40, lm.END]), 3000)
-    fresh = np.tile(np.array([True] + [False] * 5), 3000)
+    ids = np.tile(np.array([3, 900, 17, 2060, 40, lm.END]), 30_000)
+    fresh = np.tile(np.array([True] + [False] * 5), 30_000)
     before = lm.neural_scores(net, ids[:60], np.array([6] * 10)).sum()
     lm.train(net, ids, fresh, epochs=1)
     assert lm.neural_scores(net, ids[:60], np.array([6] * 10)).sum() > before + 20
