@@ -25,8 +25,12 @@ def code_of(df: DataFrame, column: str) -> Column:
 
 
 def numeric_code(column: Column | str) -> Column:
-    """A code as a whole number; malformed text gives NULL instead of failing the job."""
-    return _col(column).cast("string").try_cast("bigint")
+    """A code as a whole number, also where it is written as a decimal without a fraction (``11001.0``).
+
+    Anything else gives NULL instead of failing the job.
+    """
+    text = F.trim(_col(column).cast("string"))
+    return F.regexp_extract(text, r"^([+-]?[0-9]+)(?:[.]0*)?$", 1).try_cast("bigint")
 
 
 def municipality_code(column: Column | str) -> Column:

@@ -44,7 +44,7 @@ def with_colour(
 def map_layer(
     polygons: DataFrame,
     rates: DataFrame,
-    value: str = "retencao_geral",
+    value: str = "rate",
     polygon_key: str = "reg_id",
     rate_key: str = "cod_regiao_saude",
     limits: tuple[float, float] | None = fixed.COLOUR_LIMITS,

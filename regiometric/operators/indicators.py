@@ -156,12 +156,15 @@ def types_wide(
 def pivot_first(
     df: DataFrame, keys: Sequence[str], names_from: str, values_from: str, columns: Mapping[str, str]
 ) -> DataFrame:
-    """Long to wide for tables with one value per key and name; absent cells are NULL.
+    """Long to wide for tables with one value per key and name; absent cells are NULL, a repeated cell is an error."""
 
-    Check uniqueness with ``keys.duplicate_keys(df, [*keys, names_from])``; repeated cells keep their largest value.
-    """
-    wide = df.groupBy(*keys).pivot(names_from, list(columns)).agg(F.max(values_from))
-    return wide.select(*keys, *[F.col(f"`{name}`").alias(out) for name, out in columns.items()])
+    def cell(name: str, out: str) -> Column:
+        here = F.col(names_from) == name
+        repeated = F.raise_error(F.lit(f"more than one value for {name} in a row of {', '.join(keys)}"))
+        value = F.max(F.when(here, F.col(values_from)))
+        return F.when(F.count_if(here) > 1, repeated).otherwise(value).alias(out)
+
+    return df.groupBy(*keys).agg(*[cell(name, out) for name, out in columns.items()])
 
 
 def jobs_per_professional(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -16,30 +15,29 @@ from pyspark.sql import functions as F
 
 from regiometric import fixed
 from regiometric.functions import missing_to_null, p_label, r_label, ratio, recode
+from regiometric.functions.tails import f_upper, t_two_sided
 from regiometric.operators.describe import group_means
 from regiometric.operators.indicators import pivot_first
 from regiometric.operators.quantiles import medians
 
 OLS_SCHEMA = (
     "term string, estimate double, std_error double, t_value double, p_value double, n bigint, df_residual bigint, "
-    "r2 double, r2_adjusted double, residual_error double, f_value double, dropped_terms array<string>"
+    "r2 double, r2_adjusted double, residual_error double, f_value double, dropped_terms array<string>, n_features bigint"
 )
 
 
-def rates_wide(rates: Mapping[str, DataFrame], key: str = "regiao_saude", value: str = "retencao_geral") -> DataFrame:
-    """One column per rate table, for the keys of the first table; keys other tables lack get NULL.
+def rates_wide(rates: Mapping[str, DataFrame], key: str = "regiao_saude", value: str = "rate") -> DataFrame:
+    """One column per rate table, for the rows of the first table; keys other tables lack get NULL.
 
-    Gives what a chain of left joins gives for unique keys (check with ``keys.key_report``), with one shuffle instead
-    of one per table.
+    A chain of left joins on one key: every table is shuffled once and the joined rows stay where they are. A key that
+    a table repeats gives a row per combination. NULL keys match each other.
     """
-    first = next(iter(rates))
-    tagged = [
-        df.select(key, F.lit(name).alias("_rate"), F.col(value).alias("_value")) for name, df in rates.items()
-    ]
-    cells = [F.max(F.when(F.col("_rate") == name, F.col("_value"))).alias(name) for name in rates]
-    in_first = F.max(F.col("_rate") == first).alias("_in_first")
-    stacked = reduce(DataFrame.unionByName, tagged)
-    return stacked.groupBy(key).agg(in_first, *cells).filter("_in_first").drop("_in_first")
+    (first, table), *others = rates.items()
+    wide = table.select(key, F.col(value).alias(first))
+    for name, other in others:
+        side = other.select(F.col(key).alias("_key"), F.col(value).alias(name))
+        wide = wide.join(side, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return wide
 
 
 def density_long(
@@ -84,10 +82,10 @@ def density_points(
     density: DataFrame,
     rates: DataFrame,
     by: Sequence[str] = ("cod_uf", "uf", "regiao"),
-    value: str = "retencao_geral",
+    value: str = "rate",
     stat: str = "mean",
     key: str = "cod_uf",
-    out: str = "media_retencao",
+    out: str = "mean_rate",
     density_state: tuple[str, str] = ("UF", "uf_sigla"),
     how: str = "inner",
 ) -> DataFrame:
@@ -134,12 +132,9 @@ def correlation_interval(df: DataFrame, x: str, y: str, level_z: float = 1.95996
 
 
 def correlation_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``correlation_interval`` with the two-sided p-value and the chart annotation. Fits a model, so it runs jobs.
-
-    The p-value is that of the slope of ``y`` on ``x``, whose t statistic is the test's.
-    """
-    slope = ols(df, y, [x]).filter(F.col("term") == x)
-    return correlation_interval(df, x, y).withColumn("p", slope.select("p_value").scalar()).withColumns(
+    """``correlation_interval`` with the two-sided p-value and the chart annotation, from one pass over the rows."""
+    p = F.when(F.abs("r") >= 1, F.lit(0.0)).otherwise(t_two_sided(F.col("t"), F.col("df")))
+    return correlation_interval(df, x, y).withColumn("p", F.when(F.col("n") > 2, p)).withColumns(
         {"p_text": p_label("p"), "annotation": r_label("r", "p")}
     )
 
@@ -193,10 +188,12 @@ def ols(df: DataFrame, response: str, features: Sequence[str]) -> DataFrame:
     finally:
         points.unpersist()
     found = {row[0]: row for row in rows}
-    model = rows[0][5:] if rows else (None,) * 6 + (dropped,)
+    model = rows[0][5:] if rows else (None,) * 6 + (dropped, 0)
     aliased = {name: (name, None, None, None, None, *model) for name in kept if name not in found}
     ordered = [(found | aliased)[name] for name in ["(Intercept)", *kept] if name in found | aliased]
-    return df.sparkSession.createDataFrame(ordered, OLS_SCHEMA)
+    table = df.sparkSession.createDataFrame(ordered, OLS_SCHEMA)
+    model_p = f_upper(F.col("f_value"), F.col("n_features"), F.col("df_residual"))
+    return table.withColumn("f_p_value", model_p).drop("n_features")
 
 
 def _independent(points: DataFrame, features: list[str], tolerance: float = 1e-12) -> list[str]:
@@ -237,7 +234,7 @@ def _terms(points: DataFrame, response: str, features: list[str], dropped: list[
             errors, t_values, p_values = ([*column[-1:], *column[:-1]] for column in map(list, figures))
         except UnsupportedOperationException:
             pass  # the response is constant, nothing is left to test
-    model_figures = (n, free, r2, summary.r2adj if free > 0 else None, residual, f_value, dropped)
+    model_figures = (n, free, r2, summary.r2adj if free > 0 else None, residual, f_value, dropped, k)
     terms = zip(["(Intercept)", *features], estimates, errors, t_values, p_values)
     return [(*term, *model_figures) for term in terms]
 

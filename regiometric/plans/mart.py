@@ -121,7 +121,7 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
     """
     s = settings
     mart = tables.rates.select(
-        F.col("regiao_saude").alias("_spine"), F.round("retencao_geral", fixed.MART_DIGITS).alias("retencao")
+        F.col("regiao_saude").alias("_spine"), F.round("rate", fixed.MART_DIGITS).alias("rate")
     )
     for name, feature in mart_features(tables, settings).items():
         # state and name are taken from one feature each
@@ -141,7 +141,7 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
         "uf_sigla",
         F.col("_region_population").alias("cod_regsaud"),
         "regiao_saude",
-        "retencao",
+        "rate",
         "pop_censo22",
         "TOTAL_PROF",
         F.round(ratio("TOTAL_PROF", people, 1000), fixed.MART_DIGITS).alias("razao_enfermeiros_1000"),

@@ -12,7 +12,7 @@ from regiometric.functions import strip_lead
 from regiometric.operators import describe, geo, ranking, relate
 from regiometric.operators.territory import enrich_rates, region_dimension
 
-RATE = "retencao_geral"
+RATE = "rate"
 
 
 def occupation_report(
@@ -38,7 +38,7 @@ def occupation_report(
     named = enriched.withColumn("macro", strip_lead("regiao"))
     district = None if excluded_state is None else F.col("uf") == excluded_state
     listed = enriched.select(
-        "regiao", "uf", "nome_regiao_saude", RATE, F.bround(F.col(RATE) * 100, 0).alias("retencao")
+        "regiao", "uf", "nome_regiao_saude", RATE, F.bround(F.col(RATE) * 100, 0).alias("rate_percent")
     )
     report = {
         "enriched": enriched,
@@ -60,9 +60,9 @@ def occupation_report(
     if density is not None:
         points = _without(relate.density_points(density, enriched, stat=stat), district)
         report["density_points"] = points
-        report["density_line"] = relate.simple_line(points, "media_retencao", density_value)
+        report["density_line"] = relate.simple_line(points, "mean_rate", density_value)
         if test:
-            report["density_test"] = relate.correlation_test(points, "media_retencao", density_value)
+            report["density_test"] = relate.correlation_test(points, "mean_rate", density_value)
     if test:
         numbered = ranking.order_number(
             enriched.select("uf", "nome_regiao_saude", RATE, "cod_regiao_saude"), RATE, ["cod_regiao_saude"]

@@ -41,14 +41,27 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> Dat
     return text.select(*[F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name) for field in fields])
 
 
-def read_rates_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An exported rate table (``;`` between fields) without its unnamed index column."""
-    return read_csv(spark, path, schemas.RATES, sep=";")
+def read_rates_csv(spark: SparkSession, path: str, value: str = "rate", key: str = "regiao_saude") -> DataFrame:
+    """An exported rate table (``;`` between fields) without its unnamed index column.
+
+    ``value`` and ``key`` are the file's own names of the rate and of the region; the result has the schema ``RATES``.
+    """
+    rates = read_csv(spark, path, f"`{key}` string, `{value}` double", sep=";")
+    return rates.withColumnsRenamed({key: "regiao_saude", value: "rate"})
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, options: Mapping[str, str] | None = None) -> DataFrame:
-    """The result of a query pushed to a database; pass ``partitionColumn`` and bounds in ``options`` to split it."""
-    return spark.read.format("jdbc").option("url", url).option("query", query).options(**(options or {})).load()
+    """The result of a query pushed to a database as a derived table.
+
+    Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` in ``options`` to read it in
+    parallel; without them one task reads it.
+    """
+    return spark.read.format("jdbc").options(**jdbc_options(url, query, options)).load()
+
+
+def jdbc_options(url: str, query: str, options: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Options of the JDBC source for a query; the source's ``query`` option would rule out a parallel read."""
+    return {"url": url, "dbtable": f"({query}) source", **(options or {})}
 
 
 def with_text_codes(df: DataFrame, codes: Sequence[str]) -> DataFrame:

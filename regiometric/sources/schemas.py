@@ -1,6 +1,6 @@
 """Schemas of the tables the package reads, as Spark DDL. Codes are text everywhere."""
 
-RATES = "regiao_saude string, retencao_geral double"
+RATES = "regiao_saude string, rate double"
 HIERARCHY = (
     "cod_municipio string, cod_municipiodv string, municipio string, cod_regsaud string, regiao_saude string, "
     "cod_macrorregiao string, macrorregiao string, uf_sigla string, uf string, cod_uf string, regiao string, "

@@ -96,3 +96,19 @@ def test_shares_round_half_up_and_zero_denominators_give_null(spark):
 
 def test_nan_is_missing(spark):
     assert values(spark, [float("nan"), 1.0, None], "double", missing_to_null) == [None, 1.0, None]
+
+
+def test_numeric_codes_may_be_whole_valued_decimals(spark):
+    from regiometric.functions import numeric_code
+
+    df = spark.createDataFrame([("11001.0",), (" 011001 ",), ("11001.5",), ("x",), ("",), (None,), ("7.",)], "c string")
+    assert [r[0] for r in df.select(numeric_code("c")).collect()] == [11001, 11001, None, None, None, None, 7]
+    assert [r[0] for r in spark.range(1).selectExpr("CAST(11001 AS DOUBLE) AS c").select(numeric_code("c")).collect()] == [11001]
+
+
+def test_database_options_allow_a_parallel_read():
+    from regiometric.sources.readers import jdbc_options
+
+    bounds = {"partitionColumn": "k", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
+    options = jdbc_options("jdbc:x", "SELECT k FROM t", bounds)
+    assert options == {"url": "jdbc:x", "dbtable": "(SELECT k FROM t) source", **bounds}

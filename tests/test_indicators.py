@@ -172,9 +172,9 @@ def test_dictionary_and_dimension(spark, hierarchy, rows):
 
 
 def test_enriched_rates_keep_unknown_regions(spark, hierarchy, rows):
-    rates = spark.createDataFrame([("35001", 0.5), ("99999", 0.4)], "regiao_saude string, retencao_geral double")
+    rates = spark.createDataFrame([("35001", 0.5), ("99999", 0.4)], "regiao_saude string, rate double")
     table = enrich_rates(rates, hierarchy, ["cod_regsaud", "regiao_saude"])
-    assert table.columns == ["cod_regiao_saude", "retencao_geral", "nome_regiao_saude"]
+    assert table.columns == ["cod_regiao_saude", "rate", "nome_regiao_saude"]
     assert rows(table) == [("35001", 0.5, "Norte"), ("99999", 0.4, None)]
 
 
@@ -194,5 +194,5 @@ def test_numeric_codes_are_compared_as_text(spark, hierarchy):
     assert attach_region(facts, hierarchy, "m").filter("cod_regsaud IS NULL").count() == 1
     assert attach_region(facts, hierarchy, "m", prefix=6).filter("cod_regsaud IS NULL").count() == 0
     numbered = hierarchy.withColumn("cod_regsaud", F.col("cod_regsaud").cast("int"))
-    rates = spark.createDataFrame([(35001, 0.5)], "regiao_saude int, retencao_geral double")
+    rates = spark.createDataFrame([(35001, 0.5)], "regiao_saude int, rate double")
     assert enrich_rates(rates, numbered, ["cod_regsaud", "regiao_saude"]).first()["nome_regiao_saude"] == "Norte"

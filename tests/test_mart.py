@@ -59,7 +59,7 @@ def tables(spark):
 def test_mart_columns_and_rows(tables):
     mart = region_mart(tables)
     assert len(mart.columns) == 68 and len(set(mart.columns)) == 68
-    rows = {row["retencao"]: row.asDict() for row in mart.collect()}
+    rows = {row["rate"]: row.asDict() for row in mart.collect()}
     assert set(rows) == {0.1235, 0.5, 0.7, None}
     north = rows[0.1235]
     want = {
@@ -86,7 +86,7 @@ def test_mart_columns_and_rows(tables):
 
 def test_settings_change_periods_and_overrides(tables):
     settings = MartSettings(month=2, override_regions=["35002"])
-    rows = {row["retencao"]: row for row in region_mart(tables, settings).collect()}
+    rows = {row["rate"]: row for row in region_mart(tables, settings).collect()}
     assert rows[0.1235]["TOTAL_PROF"] == 1 and rows[0.1235]["Leitos_UTI_SUS"] == 9
     assert rows[0.5]["percentual_rodovias"] == 100.0 and rows[0.7]["percentual_rodovias"] is None
 

@@ -93,14 +93,14 @@ def test_pair_points(spark, rows):
 
 
 def test_wide_rates_equal_a_chain_of_left_joins(spark, rows):
-    schema = "regiao_saude string, retencao_geral double"
+    schema = "regiao_saude string, rate double"
     a = spark.createDataFrame([("1", 0.1), ("2", 0.2), ("3", None)], schema)
     b = spark.createDataFrame([("1", 0.5), ("9", 0.9)], schema)
     c = spark.createDataFrame([("3", 0.7)], schema)
     wide = relate.rates_wide({"a": a, "b": b, "c": c})
-    chain = a.withColumnRenamed("retencao_geral", "a")
+    chain = a.withColumnRenamed("rate", "a")
     for name, df in (("b", b), ("c", c)):
-        chain = chain.join(df.withColumnRenamed("retencao_geral", name), "regiao_saude", "left")
+        chain = chain.join(df.withColumnRenamed("rate", name), "regiao_saude", "left")
     assert rows(wide) == rows(chain.select(wide.columns))
 
 
@@ -118,7 +118,7 @@ def test_densities_recode_states_and_keep_unknown_ones(spark, rows):
 
 def test_density_points_inner_and_left(spark, rows):
     density = spark.createDataFrame([("35", "SP", 2.5), ("11", "RO", 1.0)], "cod_uf string, UF string, `Razão` double")
-    rates = spark.createDataFrame([("35", "São Paulo", "SE", 0.2), ("35", "São Paulo", "SE", 0.6), ("35", "São Paulo", "SE", 0.7)], "cod_uf string, uf string, regiao string, retencao_geral double")
+    rates = spark.createDataFrame([("35", "São Paulo", "SE", 0.2), ("35", "São Paulo", "SE", 0.6), ("35", "São Paulo", "SE", 0.7)], "cod_uf string, uf string, regiao string, rate double")
     assert rows(relate.density_points(density, rates)) == [("35", "SP", 2.5, "São Paulo", "SE", 0.5)]
     assert rows(relate.density_points(density, rates, stat="median", how="left")) == [
         ("11", "RO", 1.0, None, None, None), ("35", "SP", 2.5, "São Paulo", "SE", 0.6)
@@ -146,3 +146,37 @@ def test_least_squares_needs_rows_and_features(spark):
         relate.ols(points(spark).filter("x > 2"), "y", ["x"])
     with pytest.raises(ValueError, match="feature"):
         relate.ols(points(spark), "y", ["y"])
+
+
+def test_rates_wide_keeps_repeated_rows(spark):
+    a = spark.createDataFrame([("1", 0.1), ("1", 0.2), ("2", 0.3), (None, 0.4)], "regiao_saude string, rate double")
+    b = spark.createDataFrame([("1", 0.5), ("1", 0.6), (None, 0.7), ("9", 0.8)], "regiao_saude string, rate double")
+    found = sorted(map(tuple, relate.rates_wide({"a": a, "b": b}).collect()), key=str)
+    wanted = [("1", 0.1, 0.5), ("1", 0.1, 0.6), ("1", 0.2, 0.5), ("1", 0.2, 0.6), ("2", 0.3, None), (None, 0.4, 0.7)]
+    assert found == sorted(wanted, key=str)
+
+
+def test_repeated_cells_are_an_error(spark):
+    long = spark.createDataFrame([("x", "p", 1.0), ("x", "p", 2.0)], "UF string, profissionais string, razao_prof_hab double")
+    with pytest.raises(Exception, match="more than one value for p"):
+        relate.density_wide(long, {"p": "q"}).collect()
+
+
+@pytest.mark.parametrize("t, df", [(0.0, 5), (0.3, 1), (1.0, 2), (2.5, 7), (-4.0, 30), (1.3, 1000), (3.0, 200_000)])
+def test_t_tail(spark, t, df):
+    from pyspark.sql import functions as F
+
+    from regiometric.functions.tails import f_upper, t_two_sided
+
+    both = spark.range(1).select(t_two_sided(F.lit(t), F.lit(df)).alias("p"), f_upper(F.lit(t * t), F.lit(1), F.lit(df)).alias("f"))
+    row = both.first()
+    wanted = two_sided_p(t, df) if df < 200 else math.erfc(abs(t) / math.sqrt(2))
+    assert row["p"] == pytest.approx(wanted, rel=1e-6 if df < 200 else 0.01)
+    assert row["f"] == pytest.approx(row["p"], rel=1e-9)
+
+
+def test_correlation_test_builds_without_a_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    relate.correlation_test(points(spark), "x", "y")
+    assert len(tracker.getJobIdsForGroup(None)) == before

@@ -33,7 +33,7 @@ def test_occupation_report(spark, hierarchy, rates, tmp_path):
     report = occupation_report(rates, hierarchy, density, polygons, n=3)
     assert report["enriched"].count() == 13
     assert {r["nome_regiao_saude"] for r in report["top"].collect()} == {"Distrito Federal", "R11", "R10"}
-    assert {r["retencao"] for r in report["bottom"].collect()} == {30.0, 35.0, 40.0}
+    assert {r["rate_percent"] for r in report["bottom"].collect()} == {30.0, 35.0, 40.0}
     assert {r["macro"]: r["rotulo"] for r in report["macro_medians"].collect()}["Centro-Oeste"] == "99%"
     assert {r["macro"]: r["ord"] for r in report["macro_order"].collect()}["Norte"] == 2
     assert report["overall_of_states"].first()["n"] == 12
@@ -48,7 +48,7 @@ def test_occupation_report(spark, hierarchy, rates, tmp_path):
     write_report({"ranking": report["ranking"], "map": report["map"]}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "map")).count() == 1
     lines = spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "ranking_csv"))
-    assert lines.columns == ["Ranking", "uf", "nome_regiao_saude", "retencao_geral"] and lines.count() == 13
+    assert lines.columns == ["Ranking", "uf", "nome_regiao_saude", "rate"] and lines.count() == 13
     assert report["macro_box"].count() == report["macro_summary"].count() == 5
     assert report["state_means"].count() == 5 and report["capitals"].count() == 0
 
@@ -61,9 +61,9 @@ def test_occupation_report_without_jobs_and_optional_tables(hierarchy, rates):
 
 def test_cross_report(spark, hierarchy, rates):
     def shifted(expression):
-        return rates.selectExpr("regiao_saude", f"{expression} AS retencao_geral")
+        return rates.selectExpr("regiao_saude", f"{expression} AS rate")
 
-    tables = {"a": rates, "b": shifted("1 - retencao_geral * retencao_geral"), "c": shifted("retencao_geral / 2 + pmod(hash(regiao_saude), 7) / 50")}
+    tables = {"a": rates, "b": shifted("1 - rate * rate"), "c": shifted("rate / 2 + pmod(hash(regiao_saude), 7) / 50")}
     states = [("SP", 30), ("PR", 20), ("BA", 10), ("AC", 5), ("DF", 50)]
     council = spark.createDataFrame([(s, p, n * k) for s, n in states for p, k in (("A", 1), ("B", 2))], schemas.COUNCIL)
     census = spark.createDataFrame([("São Paulo", 9000), ("Paraná", 8000), ("Bahia", 7000), ("Acre", 1000), ("Distrito Federal", 2000)], schemas.CENSUS)

@@ -37,9 +37,9 @@ def test_both_geojson_layouts_give_the_same_rows(spark, polygon_files, rows):
 
 
 def test_map_layer_keeps_all_polygons(spark, polygon_files, rows):
-    rates = spark.createDataFrame([("035001", 0.5), ("7", 0.1)], "cod_regiao_saude string, retencao_geral double")
+    rates = spark.createDataFrame([("035001", 0.5), ("7", 0.1)], "cod_regiao_saude string, rate double")
     layer = geo.map_layer(sources.read_geojson(spark, polygon_files[0]), rates)
-    assert rows(layer.select("reg_id", "retencao_geral", "srid", "colour_position", "colour_class")) == [
+    assert rows(layer.select("reg_id", "rate", "srid", "colour_position", "colour_class")) == [
         ("35001", 0.5, 4326, 0.5, 2), ("35002", None, 4326, None, None)
     ]
 
@@ -65,9 +65,9 @@ def test_capital_points(spark, rows):
 
 def test_rate_files_with_index_column(spark, tmp_path, rows):
     path = tmp_path / "rates.csv"
-    path.write_text(";regiao_saude;retencao_geral\n0; 35001 ;0.5\n0;35002;\n0;05001;x\n", encoding="utf-8")
+    path.write_text(";regiao_saude;rate\n0; 35001 ;0.5\n0;35002;\n0;05001;x\n", encoding="utf-8")
     df = sources.read_rates_csv(spark, str(path))
-    assert df.columns == ["regiao_saude", "retencao_geral"]
+    assert df.columns == ["regiao_saude", "rate"]
     assert rows(df) == [("05001", None), ("35001", 0.5), ("35002", None)]
 
 
@@ -109,5 +109,5 @@ def test_every_schema_parses(spark):
 
 def test_lineage_is_cut_in_the_shared_folder(spark, plan):
     df = cut_lineage(spark.range(10).filter("id > 4"))
-    assert df.count() == 5 and "ExistingRDD" in plan(df)
+    assert df.count() == 5 and "FileScan parquet" in plan(df)
     assert shared_dir(spark)

@@ -59,8 +59,8 @@ _CTES = {
         FROM placed GROUP BY ALL""",
     "people": """
         SELECT CAST(10000 + s_suppkey AS VARCHAR) AS cod_regsaud,
-               CAST(floor(s_acctbal) AS BIGINT) + 2000 AS populacao
-        FROM supplier WHERE s_acctbal >= 0""",
+               CAST(floor(abs(s_acctbal)) AS BIGINT) + 2000 AS populacao
+        FROM supplier WHERE s_suppkey % 7 <> 0""",
     "lines": f"""
         SELECT *, {_MUNICIPALITY} AS code, {_CHECKED} AS codedv, year(l_shipdate) AS ano,
                strftime(l_shipdate, '%Y%m') AS period
@@ -104,7 +104,7 @@ _CTES = {
         FROM (SELECT DISTINCT code FROM occupation WHERE p = '1-URGENT') a
         {" ".join(
             f"LEFT JOIN occupation r{i} ON r{i}.code = a.code AND r{i}.p = '{p}'"
-            + (f" AND r{i}.rate <= 0.74" if i else "")
+            + (f" AND CAST(r{i}.code AS INTEGER) % 7 <> {i}" if i else "")
             for i, p in enumerate(st.OCCUPATIONS.values())
         )}
         LEFT JOIN regions g ON g.cod_regsaud = a.code""",
@@ -134,7 +134,7 @@ _CTES = {
         FROM density d JOIN enriched e ON e.cod_uf = d.cod_uf WHERE e.uf <> '{_DF}' GROUP BY ALL""",
     "line": "SELECT regr_slope(razao, m) AS b, regr_intercept(razao, m) AS a FROM points",
     "complete": """
-        SELECT retencao_medicos AS y, retencao_enfermeiros AS x1, retencao_dentista AS x2, retencao_tec_aux_enf AS x3
+        SELECT rate_medicos AS y, rate_enfermeiros AS x1, rate_dentista AS x2, rate_tec_aux_enf AS x3
         FROM wide WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL""",
 }
 
@@ -226,8 +226,8 @@ def _model() -> str:
                         x3 - x2 * (SELECT SUM(x3 * x2) / SUM(x2 * x2) FROM d1) AS x3 FROM d1""",
         "d3": "SELECT SUM((c - x3 * (SELECT SUM(c * x3) / SUM(x3 * x3) FROM d2)) ** 2) AS scc FROM d2",
         "terms": """SELECT '(Intercept)' AS term, b0 AS estimate, scc AS sxx FROM i0, d3
-                    UNION ALL SELECT CASE j WHEN 1 THEN 'retencao_enfermeiros' WHEN 2 THEN 'retencao_dentista'
-                                     ELSE 'retencao_tec_aux_enf' END, b, sxx FROM slopes""",
+                    UNION ALL SELECT CASE j WHEN 1 THEN 'rate_enfermeiros' WHEN 2 THEN 'rate_dentista'
+                                     ELSE 'rate_tec_aux_enf' END, b, sxx FROM slopes""",
         "tested": """SELECT term, estimate, sqrt(sse / df / sxx) AS std_error, estimate / sqrt(sse / df / sxx) AS t_value,
                             n, df AS df_residual, 1 - sse / sst AS r2, 1 - (sse / df) / (sst / (n - 1)) AS r2_adjusted,
                             sqrt(sse / df) AS residual_error, ((sst - sse) / 3) / (sse / df) AS f_value
@@ -237,7 +237,11 @@ def _model() -> str:
     return _with(
         "complete",
         f"""SELECT term, n, df_residual, {_rounded(figures, 5)},
-                   ROUND({_p_value("t_value", "df_residual")}, 5) AS p_value FROM tested""",
+                   ROUND({_p_value("t_value", "df_residual")}, 5) AS p_value,
+                   ROUND({_p_value("sqrt(3 * f_value)", "df_residual")} + pow(1 + 3 * f_value / df_residual, -df_residual / 2)
+                         * sqrt(3 * f_value / (df_residual + 3 * f_value))
+                         * 2 * exp(lgamma(df_residual / 2 + 0.5) - lgamma(df_residual / 2) - lgamma(0.5)), 5) AS f_p_value
+            FROM tested""",
         **extra,
     )
 
@@ -313,7 +317,7 @@ def _mart() -> str:
     joins = " ".join(f"LEFT JOIN {name} ON a.code = {name}.r" for name in "bcefghijlnop")
     return _with(
         "rates bonds hierarchy people lines_placed lines_region units access gdp",
-        f"""SELECT c.uf_sigla, b.r AS cod_regsaud, h.regiao_saude, ROUND(a.rate, 4) AS retencao, pop_censo22, TOTAL_PROF,
+        f"""SELECT c.uf_sigla, b.r AS cod_regsaud, h.regiao_saude, ROUND(a.rate, 4) AS rate, pop_censo22, TOTAL_PROF,
                    ROUND(CAST(TOTAL_PROF AS DOUBLE) / pop_censo22 * 1000, 4) AS razao_enfermeiros_1000,
                    internacoes_sensiveis_aps, total_ies_enfermagem, matriculas_ies, ingressos_ies, vagas_ies,
                    inscritos_ies, Leitos_UTI_SUS, Leitos_UTI_NSUS, quant_leitos_sus, quant_leitos_n_sus,
@@ -332,7 +336,7 @@ def _mart() -> str:
 
 _REPORT_PARTS = {
     "enriched points line two_places": f"""
-        SELECT 'top' AS part, regiao_saude AS item, UNNEST(['retencao_geral', 'retencao']) AS measure,
+        SELECT 'top' AS part, regiao_saude AS item, UNNEST(['rate', 'rate_percent']) AS measure,
                UNNEST([ROUND(rate, 6), round_even(rate * 100, 0)::DOUBLE]) AS value
         FROM (SELECT *, rank() OVER (ORDER BY rate DESC) AS rk FROM enriched) WHERE rk <= 10
         UNION ALL SELECT 'macro_medians', substr(regiao, 8), 'mediana', ROUND(median(rate), 6) FROM enriched GROUP BY ALL
@@ -360,8 +364,8 @@ def _cross() -> str:
     return _with(
         "state_table wide",
         f"""{states} UNION ALL {pairs}
-            UNION ALL SELECT 'line', 'retencao_medicos', 'slope', ROUND(regr_slope(razao_medicos, retencao_medicos), 6) FROM s
-            UNION ALL SELECT 'line', 'retencao_medicos', 'n', CAST(regr_count(razao_medicos, retencao_medicos) AS DOUBLE)
+            UNION ALL SELECT 'line', 'rate_medicos', 'slope', ROUND(regr_slope(razao_medicos, rate_medicos), 6) FROM s
+            UNION ALL SELECT 'line', 'rate_medicos', 'n', CAST(regr_count(razao_medicos, rate_medicos) AS DOUBLE)
             FROM s""",
         s="SELECT * FROM state_table WHERE uf <> 'DF'",
     )
@@ -491,16 +495,17 @@ ORACLE: dict[str, str] = {
         """SELECT code AS cod_regiao_saude, substr(regiao, 8) AS macro,
                   substr(regiao, 8) || ' /  ' || substr(regiao, 8) AS macro_dupla, CAST(numero AS INTEGER) AS regiao_order,
                   CAST(CAST(round_even(rate * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS rotulo,
-                  CAST(round_even(rate * 100, 0) AS DOUBLE) AS retencao
+                  CAST(round_even(rate * 100, 0) AS DOUBLE) AS rate_percent
            FROM enriched""",
     ),
-    "rates_through_csv": _with("rates", "SELECT code AS regiao_saude, ROUND(rate, 6) AS retencao_geral FROM rates"),
+    "rates_through_csv": _with("rates", "SELECT code AS regiao_saude, ROUND(rate, 6) AS rate FROM rates"),
     "plot_table_through_parquet": _with(
         "enriched",
-        "SELECT regiao, uf, code AS cod_regiao_saude, ROUND(rate, 6) AS retencao_geral FROM enriched",
+        "SELECT regiao, uf, code AS cod_regiao_saude, ROUND(rate, 6) AS rate FROM enriched",
     ),
     "polygons_from_geojson": """
-        SELECT CAST(10000 + s_suppkey AS VARCHAR) AS reg_id,
+        SELECT CASE s_suppkey % 4 WHEN 1 THEN ' ' WHEN 2 THEN '0' ELSE '' END
+                   || CAST(10000 + s_suppkey AS VARCHAR) || CASE s_suppkey % 4 WHEN 3 THEN '.0' ELSE '' END AS reg_id,
                CASE WHEN s_acctbal < 1000 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
                CAST(CASE WHEN s_acctbal < 1000 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons,
                ROUND(CAST(s_suppkey * 53 % 500 AS DOUBLE) / 10 - 76, 6) AS x,
@@ -515,33 +520,37 @@ ORACLE: dict[str, str] = {
            UNION ALL SELECT 'headcount', COUNT(*), COUNT(cod_regsaud), 0, COUNT(*) FILTER (cod_regsaud IS NULL)
            FROM heads""",
     ),
-    "malformed_codes": "SELECT COUNT(*) AS n_rows, 0::BIGINT AS n_missing, 0::BIGINT AS n_malformed FROM lineitem",
+    "malformed_codes": """
+        SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (l_linenumber = 1) AS n_missing,
+               COUNT(*) FILTER (l_linenumber IN (2, 4)) AS n_malformed FROM lineitem""",
     "malformed_municipalities": _with(
-        "hierarchy", "SELECT COUNT(*) AS n_rows, 0::BIGINT AS n_missing, COUNT(*) AS n_malformed FROM hierarchy"
+        "hierarchy",
+        """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (CAST(cod_municipio AS BIGINT) % 3 = 0) AS n_missing,
+                  COUNT(*) FILTER (CAST(cod_municipio AS BIGINT) % 3 = 1) AS n_malformed FROM hierarchy""",
     ),
     "enrich_rates": _with(
         "enriched",
-        """SELECT code AS cod_regiao_saude, ROUND(rate, 6) AS retencao_geral, regiao, cod_uf, uf,
+        """SELECT code AS cod_regiao_saude, ROUND(rate, 6) AS rate, regiao, cod_uf, uf,
                   regiao_saude AS nome_regiao_saude FROM enriched""",
     ),
     "region_dimension": _with("regions", "SELECT regiao, cod_uf, uf, cod_regsaud, regiao_saude FROM regions"),
     "rank_first": _with(
         "two_places",
-        """SELECT uf, nome_regiao_saude, CAST(percent AS DOUBLE) / 100 AS retencao_geral, code AS cod_regiao_saude,
+        """SELECT uf, nome_regiao_saude, CAST(percent AS DOUBLE) / 100 AS rate, code AS cod_regiao_saude,
                   row_number() OVER (ORDER BY percent DESC, code) AS Ranking
            FROM two_places""",
     ),
     **{
         name: _with(
             "two_places",
-            f"""SELECT regiao, uf, nome_regiao_saude, CAST(percent AS DOUBLE) / 100 AS retencao_geral,
-                       CAST(percent AS DOUBLE) AS retencao
+            f"""SELECT regiao, uf, nome_regiao_saude, CAST(percent AS DOUBLE) / 100 AS rate,
+                       CAST(percent AS DOUBLE) AS rate_percent
                 FROM (SELECT *, rank() OVER (ORDER BY percent {way}) AS rk FROM two_places) WHERE rk <= 10""",
         )
         for name, way in (("top10_ties", "DESC"), ("bottom10_ties", "ASC"))
     },
     "group_mean": _with(
-        "enriched", "SELECT cod_uf, uf, regiao, ROUND(AVG(rate), 6) AS media_retencao FROM enriched GROUP BY ALL"
+        "enriched", "SELECT cod_uf, uf, regiao, ROUND(AVG(rate), 6) AS mean_rate FROM enriched GROUP BY ALL"
     ),
     "group_mean_strict": _with(
         "gaps", "SELECT uf, CASE WHEN COUNT(*) = COUNT(rate) THEN ROUND(AVG(rate), 6) END AS media FROM gaps GROUP BY ALL"
@@ -578,7 +587,7 @@ ORACLE: dict[str, str] = {
     ),
     "box_outliers": _with(
         "enriched hinges",
-        """SELECT e.regiao, code AS cod_regiao_saude, ROUND(rate, 6) AS retencao_geral
+        """SELECT e.regiao, code AS cod_regiao_saude, ROUND(rate, 6) AS rate
            FROM enriched e JOIN hinges h ON e.regiao = h.regiao
            WHERE rate < q1 - 0.75 * (q3 - q1) OR rate > q3 + 0.75 * (q3 - q1)""",
     ),
@@ -592,6 +601,23 @@ ORACLE: dict[str, str] = {
         """SELECT uf, ROUND(m, 6) AS mediana, CAST(row_number() OVER (ORDER BY m DESC, uf) AS INTEGER) AS ord
            FROM (SELECT uf, median(rate) AS m FROM enriched GROUP BY ALL)""",
     ),
+    "rates_wide_repeated": _with(
+        "occupation",
+        f"""SELECT a.code AS regiao_saude, ROUND(a.rate, 6) AS {_OCC[0]}, ROUND(b.rate, 6) AS {_OCC[1]}
+            FROM (SELECT code, rate FROM occupation WHERE p = '1-URGENT' UNION ALL
+                  SELECT code, rate / 2 FROM occupation WHERE p = '1-URGENT' AND CAST(code AS INTEGER) % 5 = 0) a
+            LEFT JOIN (SELECT code, rate FROM occupation WHERE p = '{list(st.OCCUPATIONS.values())[1]}'
+                         AND CAST(code AS INTEGER) % 7 <> 1 UNION ALL
+                       SELECT code, rate / 2 FROM occupation WHERE p = '{list(st.OCCUPATIONS.values())[1]}'
+                         AND CAST(code AS INTEGER) % 7 <> 1 AND CAST(code AS INTEGER) % 5 = 0) b ON b.code = a.code""",
+    ),
+    "rates_through_comma_csv": _with("rates", "SELECT code AS regiao_saude, ROUND(rate, 6) AS rate FROM rates"),
+    "ranking_export": _with(
+        "enriched",
+        """SELECT CAST(Ranking AS BIGINT) AS Ranking, uf, nome_regiao_saude, ROUND(rate, 6) AS rate FROM (
+               SELECT row_number() OVER (ORDER BY rate DESC, code) AS Ranking, uf, regiao_saude AS nome_regiao_saude, rate
+               FROM enriched)""",
+    ),
     "rates_wide": _with("wide", f"SELECT regiao_saude, {_rounded(_OCC)}, uf, regiao FROM wide"),
     "density_wide": _with("densities", f"SELECT UF, {_rounded(_DEN)} FROM densities"),
     "state_medians_vs_density": _with(
@@ -600,7 +626,7 @@ ORACLE: dict[str, str] = {
     **{
         name: _with(
             "points",
-            f"""SELECT cod_uf, sigla AS uf_sigla, ROUND(razao, 6) AS "Razão", uf, regiao, ROUND({m}, 6) AS media_retencao
+            f"""SELECT cod_uf, sigla AS uf_sigla, ROUND(razao, 6) AS "Razão", uf, regiao, ROUND({m}, 6) AS mean_rate
                 FROM points""",
         )
         for name, m in (("density_vs_mean", "m"), ("density_vs_median", "med"))
@@ -629,11 +655,11 @@ ORACLE: dict[str, str] = {
     ),
     "fitted_line": _with(
         "points line",
-        """SELECT sigla AS uf_sigla, ROUND(m, 6) AS media_retencao,
+        """SELECT sigla AS uf_sigla, ROUND(m, 6) AS mean_rate,
                   ROUND((SELECT a FROM line) + (SELECT b FROM line) * m, 6) AS fitted FROM points""",
     ),
     "multi_ols": _model(),
-    "multi_ols_response_repeated": f"SELECT *, 'retencao_medicos' AS dropped_terms FROM ({_model()})",
+    "multi_ols_response_repeated": f"SELECT *, 'rate_medicos' AS dropped_terms FROM ({_model()})",
     "corr_matrix": _with(
         "wide",
         _pair_rows(
@@ -653,12 +679,13 @@ ORACLE: dict[str, str] = {
     ),
     "map_layer": _with(
         "enriched",
-        """SELECT CAST(10000 + s.s_suppkey AS VARCHAR) AS reg_id,
+        """SELECT CASE s.s_suppkey % 4 WHEN 1 THEN ' ' WHEN 2 THEN '0' ELSE '' END
+                      || CAST(10000 + s.s_suppkey AS VARCHAR) || CASE s.s_suppkey % 4 WHEN 3 THEN '.0' ELSE '' END AS reg_id,
                   CASE WHEN s.s_acctbal < 1000 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type,
                   CAST(CASE WHEN s.s_acctbal < 1000 THEN 2 ELSE 1 END AS BIGINT) AS n_polygons, uf,
-                  ROUND(rate, 6) AS retencao_geral, 4326 AS srid, ROUND(rate, 6) AS colour_position,
+                  ROUND(rate, 6) AS rate, 4326 AS srid, ROUND(rate, 6) AS colour_position,
                   CAST(floor(rate * 4) AS INTEGER) AS colour_class
-           FROM supplier s LEFT JOIN enriched e ON e.s_suppkey = s.s_suppkey AND rate <= 0.67""",
+           FROM supplier s LEFT JOIN enriched e ON e.s_suppkey = s.s_suppkey AND s.s_suppkey % 7 <> 0""",
     ),
     "colour_bucket": """
         SELECT CASE WHEN v BETWEEN 0 AND 1 THEN CAST(least(floor(v * 4), 3) AS INTEGER) END AS colour_class,

@@ -28,7 +28,7 @@ from regiometric.session import scratch_dir as scratch
 from workloads import standins as st
 
 Query = Callable[[SparkSession, str], DataFrame]
-RATE = "retencao_geral"
+RATE = "rate"
 REGISTRY: dict[str, Query] = {}
 
 
@@ -250,7 +250,7 @@ def labels_and_classes(spark: SparkSession, sf: str) -> DataFrame:
         strip_all(F.concat("regiao", F.lit(" / "), "regiao")).alias("macro_dupla"),
         category_number("regiao").alias("regiao_order"),
         percent_label(RATE).alias("rotulo"),
-        F.bround(F.col(RATE) * 100, 0).alias("retencao"),
+        F.bround(F.col(RATE) * 100, 0).alias("rate_percent"),
     )
 
 
@@ -262,6 +262,25 @@ def rates_through_csv(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sources.read_rates_csv(spark, path), [RATE])
 
 
+@register
+def rates_through_comma_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates written and read back as a comma-separated table."""
+    path = scratch(spark, "rates-comma")
+    sources.write_csv(st.rates(spark, sf).select("regiao_saude", RATE), path, sep=",")
+    return rounded(sources.read_csv(spark, path, "regiao_saude string, rate double"), [RATE])
+
+
+@register
+def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The full ranking exported with a report and read back from its CSV file."""
+    path = scratch(spark, "report")
+    columns = enriched(spark, sf).select("uf", "nome_regiao_saude", RATE, "cod_regiao_saude")
+    ranked = ranking.order_number(columns, RATE, ["cod_regiao_saude"]).drop("cod_regiao_saude")
+    sources.write_report({"ranking": ranked}, path)
+    schema = "Ranking bigint, uf string, nome_regiao_saude string, rate double"
+    return rounded(sources.read_csv(spark, f"{path}/ranking_csv", schema, sep=";"), [RATE])
+
+
 @register
 def plot_table_through_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "plot-table")
@@ -297,12 +316,23 @@ def key_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def malformed_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.rejected_codes(st.registry(spark, sf).select(F.coalesce("VINCULAC", "CPF_PROF").alias("c")), "c")
+    """Codes of all lines: missing, text, whole-valued decimals, fractions and whole numbers by line number."""
+    part, code = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
+    written = (
+        F.when(part == 2, F.concat(F.lit("x"), code))
+        .when(part == 3, F.concat(code, F.lit(".0")))
+        .when(part == 4, F.concat(code, F.lit(".5")))
+        .when(part > 4, code)
+    )
+    return sources.rejected_codes(st.table(spark, sf, "lineitem").select(written.alias("c")), "c")
 
 
 @register
 def malformed_municipalities(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.rejected_codes(st.hierarchy(spark, sf), "municipio")
+    """Municipality codes, of which a third is missing and a third replaced by names."""
+    third = F.col("cod_municipio").cast("bigint") % 3
+    code = F.when(third == 1, F.col("municipio")).when(third == 2, F.col("cod_municipio"))
+    return sources.rejected_codes(st.hierarchy(spark, sf).select(code.alias("c")), "c")
 
 
 # -- rates: enrichment, description, ranking ---------------------------------------------------------------------
@@ -329,7 +359,7 @@ def rank_first(spark: SparkSession, sf: str) -> DataFrame:
 def _two_places(spark: SparkSession, sf: str) -> DataFrame:
     table = enriched(spark, sf).withColumn(RATE, F.round(RATE, 2))
     return table.select(
-        "regiao", "uf", "nome_regiao_saude", RATE, F.bround(F.col(RATE) * 100, 0).alias("retencao")
+        "regiao", "uf", "nome_regiao_saude", RATE, F.bround(F.col(RATE) * 100, 0).alias("rate_percent")
     )
 
 
@@ -345,8 +375,8 @@ def bottom10_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def group_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(describe.group_means(enriched(spark, sf), ["cod_uf", "uf", "regiao"], RATE, "media_retencao"),
-                   ["media_retencao"])
+    return rounded(describe.group_means(enriched(spark, sf), ["cod_uf", "uf", "regiao"], RATE, "mean_rate"),
+                   ["mean_rate"])
 
 
 @register
@@ -435,6 +465,17 @@ def rates_wide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_wide(spark, sf), list(st.OCCUPATIONS))
 
 
+@register
+def rates_wide_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rate tables that list every fifth region twice, with two rates."""
+    tables = dict(list(st.occupation_rates(spark, sf).items())[:2])
+    twice = {
+        name: df.unionByName(df.filter(F.col("regiao_saude").cast("int") % 5 == 0).withColumn(RATE, F.col(RATE) / 2))
+        for name, df in tables.items()
+    }
+    return rounded(relate.rates_wide(twice), list(twice))
+
+
 @register
 def density_wide(spark: SparkSession, sf: str) -> DataFrame:
     long = relate.density_long(st.council(spark, sf), st.census(spark, sf))
@@ -458,45 +499,45 @@ def _points(spark: SparkSession, sf: str, stat: str = "mean") -> DataFrame:
 
 @register
 def density_vs_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_points(spark, sf), ["Razão", "media_retencao"])
+    return rounded(_points(spark, sf), ["Razão", "mean_rate"])
 
 
 @register
 def density_vs_median(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_points(spark, sf, "median"), ["Razão", "media_retencao"])
+    return rounded(_points(spark, sf, "median"), ["Razão", "mean_rate"])
 
 
 @register
 def correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(relate.correlation(_points(spark, sf), "media_retencao", "Razão"), ["r"])
+    return rounded(relate.correlation(_points(spark, sf), "mean_rate", "Razão"), ["r"])
 
 
 @register
 def corr_test(spark: SparkSession, sf: str) -> DataFrame:
-    table = relate.correlation_test(_points(spark, sf), "media_retencao", "Razão")
+    table = relate.correlation_test(_points(spark, sf), "mean_rate", "Razão")
     return rounded(table, ["r", "t", "ci_low", "ci_high", "p"])
 
 
 @register
 def simple_ols(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(relate.simple_line(_points(spark, sf), "media_retencao", "Razão"), ["slope", "intercept", "r2"])
+    return rounded(relate.simple_line(_points(spark, sf), "mean_rate", "Razão"), ["slope", "intercept", "r2"])
 
 
 @register
 def simple_ols_clipped(spark: SparkSession, sf: str) -> DataFrame:
-    line = relate.simple_line(_points(spark, sf), "media_retencao", "Razão", clip_x=(0.0, 0.7), clip_y=(4.0, 5.0))
+    line = relate.simple_line(_points(spark, sf), "mean_rate", "Razão", clip_x=(0.0, 0.7), clip_y=(4.0, 5.0))
     return rounded(line, ["slope", "intercept", "r2"])
 
 
 @register
 def fitted_line(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(spark, sf)
-    fitted = relate.fitted_values(points, "media_retencao", relate.simple_line(points, "media_retencao", "Razão"))
-    return rounded(fitted.select("uf_sigla", "media_retencao", "fitted"), ["media_retencao", "fitted"])
+    fitted = relate.fitted_values(points, "mean_rate", relate.simple_line(points, "mean_rate", "Razão"))
+    return rounded(fitted.select("uf_sigla", "mean_rate", "fitted"), ["mean_rate", "fitted"])
 
 
-MODEL = ("retencao_medicos", ["retencao_enfermeiros", "retencao_dentista", "retencao_tec_aux_enf"])
-FIGURES = ["estimate", "std_error", "t_value", "p_value", "r2", "r2_adjusted", "residual_error", "f_value"]
+MODEL = ("rate_medicos", ["rate_enfermeiros", "rate_dentista", "rate_tec_aux_enf"])
+FIGURES = ["estimate", "std_error", "t_value", "p_value", "r2", "r2_adjusted", "residual_error", "f_value", "f_p_value"]
 
 
 @register
@@ -529,9 +570,9 @@ def pair_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def map_layer(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions of high rates are left out of the rate table; their polygons stay."""
+    """Every seventh region is left out of the rate table; its polygon stays. Polygon files spell codes in four ways."""
     polygons = sources.parse_features(st.feature_lines(spark, sf))
-    some = enriched(spark, sf).filter(F.col(RATE) <= 0.67)
+    some = enriched(spark, sf).filter(F.col("cod_regiao_saude").cast("int") % 7 != 10000 % 7)
     layer = geo.map_layer(polygons, some).select(
         "reg_id", "geometry_type", F.size("polygons").cast("bigint").alias("n_polygons"), "uf", RATE, "srid",
         "colour_position", "colour_class",
@@ -570,7 +611,7 @@ def occupation_report_long(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of the occupation report stacked: part, item, measure, value."""
     report = occupation_report(st.rates(spark, sf), st.hierarchy(spark, sf), st.density(spark, sf), test=False)
     parts = [
-        _tall(report["top"], "top", F.col("nome_regiao_saude"), [RATE, "retencao"]),
+        _tall(report["top"], "top", F.col("nome_regiao_saude"), [RATE, "rate_percent"]),
         _tall(report["macro_medians"], "macro_medians", F.col("macro"), ["mediana"]),
         _tall(report["macro_order"], "macro_order", F.col("macro"), ["ord"]),
         _tall(report["state_means"], "state_means", F.col("uf"), ["media"]),
@@ -591,7 +632,7 @@ def cross_report_long(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
         _tall(report["states"], "states", F.col("uf"), [*st.OCCUPATIONS, *st.DENSITIES.values()]),
         _tall(report["pairs"].filter(F.col("level") == "all"), "pairs", F.concat_ws("~", "x", "y"), ["r", "n"]),
-        _tall(report["line_retencao_medicos"], "line", F.lit("retencao_medicos"), ["slope", "n"]),
+        _tall(report["line_rate_medicos"], "line", F.lit("rate_medicos"), ["slope", "n"]),
     ]
     return _stack(parts)
 

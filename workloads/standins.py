@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from regiometric import fixed
 from regiometric.plans import MartSettings, MartTables
@@ -33,11 +34,11 @@ UNIT_LABELS = {
 YEAR, MONTH, GDP_YEAR = 1997, 3, 1996
 OVERRIDE_REGIONS = ("10003", "10007")
 OCCUPATIONS = {
-    "retencao_medicos": "1-URGENT",
-    "retencao_enfermeiros": "2-HIGH",
-    "retencao_dentista": "3-MEDIUM",
-    "retencao_tec_aux_enf": "4-NOT SPECIFIED",
-    "retencao_tec_aux_sb": "5-LOW",
+    "rate_medicos": "1-URGENT",
+    "rate_enfermeiros": "2-HIGH",
+    "rate_dentista": "3-MEDIUM",
+    "rate_tec_aux_enf": "4-NOT SPECIFIED",
+    "rate_tec_aux_sb": "5-LOW",
 }
 DENSITIES = {
     "AUTOMOBILE": "razao_medicos",
@@ -54,9 +55,14 @@ SETTINGS = MartSettings(
 
 
 @lru_cache(maxsize=64)
+def _ddl(application: str, path: str) -> StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A test table; the footer is read for the schema once per session."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A test table; the footer is read for the schema once per application."""
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_ddl(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def dated(spark: SparkSession, sf: str, name: str, date: str, within: tuple[str, str] | None) -> DataFrame:
@@ -164,13 +170,13 @@ def bond_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf: str) -> DataFrame:
-    """Inhabitants per region; regions of suppliers in debt are not listed."""
+    """Inhabitants per region; every seventh region is not listed."""
     return (
         table(spark, sf, "supplier")
-        .filter(F.col("s_acctbal") >= 0)
+        .filter(F.col("s_suppkey") % 7 != 0)
         .select(
             region_code("s_suppkey").alias("cod_regsaud"),
-            (F.floor("s_acctbal") + 2000).cast("bigint").alias("populacao"),
+            (F.floor(F.abs("s_acctbal")) + 2000).cast("bigint").alias("populacao"),
         )
     )
 
@@ -295,30 +301,30 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "lineitem")
         .groupBy(region_code("l_suppkey").alias("regiao_saude"))
-        .agg(F.avg(_kept()).alias("retencao_geral"))
+        .agg(F.avg(_kept()).alias("rate"))
     )
 
 
 def rates_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Rates of which the highest are missing."""
-    return rates(spark, sf).withColumn("retencao_geral", F.when(F.col("retencao_geral") <= 0.69, F.col("retencao_geral")))
+    return rates(spark, sf).withColumn("rate", F.when(F.col("rate") <= 0.69, F.col("rate")))
 
 
 def occupation_rates(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """One rate table per order priority, cut from one aggregate that is written once.
 
-    Tables after the first lack the regions of their highest rates.
+    Tables after the first lack every seventh region, another one each.
     """
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     every = cut_lineage(
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .groupBy(region_code("l_suppkey").alias("regiao_saude"), "o_orderpriority")
-        .agg(F.avg(_kept()).alias("retencao_geral"))
+        .agg(F.avg(_kept()).alias("rate"))
     )
     tables = {}
     for i, (name, priority) in enumerate(OCCUPATIONS.items()):
         rows = every.filter(F.col("o_orderpriority") == priority).drop("o_orderpriority")
-        tables[name] = rows if i == 0 else rows.filter(F.col("retencao_geral") <= 0.74)
+        tables[name] = rows if i == 0 else rows.filter(F.col("regiao_saude").cast("int") % 7 != i)
     return tables
 
 
@@ -350,7 +356,13 @@ def density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One GeoJSON feature per supplier as text: a square, or two squares where the balance is low."""
+    """One GeoJSON feature per supplier as text: a square, or two squares where the balance is low.
+
+    Codes are written with blanks, leading zeros, or as decimals, as different tools do.
+    """
+    code = region_code("s_suppkey")
+    spellings = F.array(code, F.concat(F.lit(" "), code), F.concat(F.lit("0"), code), F.concat(code, F.lit(".0")))
+    reg_id = F.element_at(spellings, (F.col("s_suppkey") % 4 + 1).cast("int"))
     x, y = F.col("s_suppkey") * 53 % 500 / 10 - 76, F.col("s_suppkey") * 37 % 400 / 10 - 35
 
     def ring(shift: float) -> Column:
@@ -361,7 +373,7 @@ def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
         return F.to_json(
             F.struct(
                 F.lit("Feature").alias("type"),
-                F.struct(region_code("s_suppkey").alias("reg_id")).alias("properties"),
+                F.struct(reg_id.alias("reg_id")).alias("properties"),
                 F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"),
             )
         )
