@@ -76,7 +76,7 @@ def exact_quantiles(
 
     ``staged`` is for tables so large that their rows should not be shuffled: the counting pass runs at once, and the
     few wanted bins are then broadcast (if they are few indeed) to the second pass over the rows. Otherwise all of it
-    is one lazy plan.
+    is one lazy plan, in which rows of one group and value are folded into one before anything is joined.
     """
     keys = list(by) or ["_all"]
     rows = df.select(*by, missing_to_null(value).alias("_v"))
@@ -87,13 +87,17 @@ def exact_quantiles(
         low, high = span.select("low").scalar(), span.select("high").scalar()
     else:
         low, high = F.lit(float(domain[0])), F.lit(float(domain[1]))
+    if staged:
+        rows = rows.withColumn("_c", F.lit(1).cast("long"))
+    else:
+        rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     rows = rows.withColumn("_b0", F.when(F.col("_v").isNotNull(), _bin(F.col("_v"), low, high)))
 
     # at most BINS rows per group, and one for its missing values (bin NULL)
     counted = rows.groupBy(*keys, "_b0").agg(
-        F.count("_v").alias("_n"),
-        F.count_if(F.col("_v").isNull()).alias("_missing"),
-        F.sum("_v").alias("_sum"),
+        F.sum(F.when(F.col("_v").isNull(), 0).otherwise(F.col("_c"))).alias("_n"),
+        F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("_missing"),
+        F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
     )
@@ -125,7 +129,7 @@ def exact_quantiles(
     for level in range(1, levels):
         near = near.withColumn(f"_b{level}", _bin(F.col("_v"), F.col("_low"), F.col("_high")))
         finer = near.groupBy(*path, f"_b{level}").agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.sum("_c").alias("_n"),
             F.min("_v").alias("_low"),
             F.max("_v").alias("_high"),
             *[F.max(name).alias(name) for name in carried],
@@ -137,7 +141,7 @@ def exact_quantiles(
 
     # repeated values folded into one row with a count, so a value held by many rows is one row here
     folded = near.groupBy(*path, "_v").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(name).alias(name) for name in carried]
+        F.sum("_c").alias("_n"), *[F.max(name).alias(name) for name in carried]
     )
     placed = folded.withColumn("_after", F.col("_before") + _running("_n", path, F.col("_v"))).withColumn(
         "_before", F.col("_after") - F.col("_n")
@@ -164,6 +168,7 @@ def medians(
     values: Mapping[str, str],
     strict: bool = False,
     domain: tuple[float, float] | None = RATE_DOMAIN,
+    staged: bool = False,
 ) -> DataFrame:
     """Medians of one or several columns per group, ``{output: column}``.
 
@@ -177,11 +182,12 @@ def medians(
 
     if len(values) == 1:
         [(out, column)] = values.items()
-        return median(exact_quantiles(df, by, column, {out: 0.5}, domain), out).select(*by, out)
+        return median(exact_quantiles(df, by, column, {out: 0.5}, domain, staged=staged), out).select(*by, out)
     stacked = df.select(*by, *[missing_to_null(column).alias(out) for out, column in values.items()]).unpivot(
         list(by), list(values), "_measure", "_value"
     )
-    tall = median(exact_quantiles(stacked, [*by, "_measure"], "_value", {"_median": 0.5}, domain), "_median")
+    found = exact_quantiles(stacked, [*by, "_measure"], "_value", {"_median": 0.5}, domain, staged=staged)
+    tall = median(found, "_median")
     return tall.groupBy(*by).agg(
         *[F.max(F.when(F.col("_measure") == out, F.col("_median"))).alias(out) for out in values]
     )

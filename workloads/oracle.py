@@ -601,6 +601,12 @@ ORACLE: dict[str, str] = {
         """SELECT uf, ROUND(m, 6) AS mediana, CAST(row_number() OVER (ORDER BY m DESC, uf) AS INTEGER) AS ord
            FROM (SELECT uf, median(rate) AS m FROM enriched GROUP BY ALL)""",
     ),
+    "six_numbers_of_prices": """
+        SELECT l_returnflag, ROUND(MIN(l_extendedprice), 4) AS min, ROUND(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
+               ROUND(quantile_cont(l_extendedprice, 0.5), 4) AS median, ROUND(AVG(l_extendedprice), 4) AS mean,
+               ROUND(quantile_cont(l_extendedprice, 0.75), 4) AS q3, ROUND(MAX(l_extendedprice), 4) AS max,
+               COUNT(*) - COUNT(l_extendedprice) AS n_missing
+        FROM lineitem GROUP BY ALL""",
     "rates_wide_repeated": _with(
         "occupation",
         f"""SELECT a.code AS regiao_saude, ROUND(a.rate, 6) AS {_OCC[0]}, ROUND(b.rate, 6) AS {_OCC[1]}

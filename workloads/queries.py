@@ -465,6 +465,14 @@ def rates_wide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_wide(spark, sf), list(st.OCCUPATIONS))
 
 
+@register
+def six_numbers_of_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Six numbers of all line prices, which lie far outside 0 to 1, in three large groups."""
+    lines = st.table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    stats = describe.six_numbers(lines, ["l_returnflag"], "l_extendedprice")
+    return rounded(stats, ["min", "q1", "median", "mean", "q3", "max"], 4)
+
+
 @register
 def rates_wide_repeated(spark: SparkSession, sf: str) -> DataFrame:
     """Two rate tables that list every fifth region twice, with two rates."""
