@@ -230,9 +230,13 @@ def training_supply(
     institution: str = "chave_ies",
     out: str = "total_ies",
 ) -> tuple[DataFrame, DataFrame]:
-    """(distinct institutions per region, sums of places and students per region and ``extra_keys``)."""
-    institutions = education.groupBy(*region).agg(F.count_distinct(institution).alias(out))
-    return institutions, sums(education, [*region, *extra_keys], totals)
+    """(distinct institutions per region, sums of places and students per region and ``extra_keys``).
+
+    Both come from one aggregate by institution, which Spark computes once where both are used.
+    """
+    per_institution = sums(education, [*region, *extra_keys, institution], totals)
+    institutions = per_institution.groupBy(*region).agg(F.count_distinct(institution).alias(out))
+    return institutions, sums(per_institution, [*region, *extra_keys], {name: name for name in totals})
 
 
 def access(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regiometric import fixed
 from regiometric.functions import classify_prefix, period_equals, ratio
 from regiometric.operators import indicators as ind
+from regiometric.operators.keys import require_unique
 
 _GDP_VALUE = "produto_interno_bruto_precos_correntes_1000"
 
@@ -47,6 +48,8 @@ class MartSettings:
     bond_rules: Sequence[tuple[str, str]] = fixed.BOND_RULES
     unit_types: Mapping[str, str] = field(default_factory=lambda: fixed.UNIT_TYPES)
     override_regions: Sequence[str] = fixed.ACCESS_OVERRIDE_REGIONS
+    #: Fail where a feature has several rows for a region (two spellings of its name), which would multiply the mart's.
+    unique_regions: bool = False
 
 
 def mart_features(tables: MartTables, settings: MartSettings = MartSettings()) -> dict[str, DataFrame]:
@@ -118,6 +121,11 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
 
     Region code, state and region name come from the population, admission and establishment tables and are NULL where
     those lack the region. Every feature is aggregated to regions before it is joined.
+
+    A feature is grouped by region code and name, so a region spelled in two ways has two rows in it and the mart one
+    for each combination over features. Features that share a table (distance and road, product and both flags) are
+    one feature here and go together by spelling; joined one by one they would give further combinations. Set
+    ``unique_regions`` to have such tables refused instead.
     """
     s = settings
     mart = tables.rates.select(
@@ -126,6 +134,8 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
     for name, feature in mart_features(tables, settings).items():
         # state and name are taken from one feature each
         drops = {"admissions": ["regiao_saude"], "establishments": []}.get(name, list(ind.REGION[1:]))
+        if s.unique_regions:
+            require_unique(feature, ["cod_regsaud"], name)
         side = feature.drop(*drops).withColumnRenamed("cod_regsaud", f"_region_{name}")
         mart = mart.join(side, F.col("_spine") == F.col(f"_region_{name}"), "left")
 

@@ -99,6 +99,21 @@ def test_two_spellings_multiply_rows_and_are_reported(spark, tables):
     assert report["beds"] == 1 and sum(report.values()) == 1
 
 
+def test_two_spellings_can_be_refused(spark, tables):
+    twice = tables.bed_totals.union(spark.createDataFrame([(2022, "SP", "35001", "NORTE", 1, 1)], tables.bed_totals.schema))
+    assert region_mart(tables, MartSettings(unique_regions=True)).count() == region_mart(tables).count()
+    with pytest.raises(ValueError, match="beds"):
+        region_mart(dataclasses.replace(tables, bed_totals=twice), MartSettings(unique_regions=True))
+
+
+def test_education_is_read_once(spark, tables, tmp_path, plan):
+    path = str(tmp_path / "education")
+    tables.education.write.parquet(path)
+    mart = region_mart(dataclasses.replace(tables, education=spark.read.parquet(path)))
+    mart.collect()
+    assert plan(mart).split("== Initial Plan ==")[0].count("FileScan parquet") == 1
+
+
 def test_plan_stays_in_spark_and_reads_the_registry_twice(spark, tables, tmp_path, plan):
     path = str(tmp_path / "registry")
     tables.professionals.write.parquet(path)
