@@ -5,6 +5,27 @@ from __future__ import annotations
 _CONTROL = r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|\[ROLE\]|\[/ROLE\]|\[/TURN\]"
 
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH numbered AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+        split AS (
+            SELECT k, doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM numbered
+        ), windows AS (
+            SELECT k, i, array_to_string(w[i : i + 34], ' ') AS s
+            FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM split)
+        ), repeated AS (
+            SELECT k, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+        ), words AS (
+            SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split
+        ), marked AS (
+            SELECT k, i, word, count(r.i) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+            FROM words LEFT JOIN repeated r USING (k, i)
+        ), kept AS (
+            SELECT k, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS line
+            FROM marked GROUP BY k
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (k)
+    """,
     "op6_chat_format": rf"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
