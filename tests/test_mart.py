@@ -106,14 +106,6 @@ def test_two_spellings_can_be_refused(spark, tables):
         region_mart(dataclasses.replace(tables, bed_totals=twice), MartSettings(unique_regions=True))
 
 
-def test_education_is_read_once(spark, tables, tmp_path, plan):
-    path = str(tmp_path / "education")
-    tables.education.write.parquet(path)
-    mart = region_mart(dataclasses.replace(tables, education=spark.read.parquet(path)))
-    mart.collect()
-    assert plan(mart).split("== Initial Plan ==")[0].count("FileScan parquet") == 1
-
-
 def test_plan_stays_in_spark_and_reads_the_registry_twice(spark, tables, tmp_path, plan):
     path = str(tmp_path / "registry")
     tables.professionals.write.parquet(path)
