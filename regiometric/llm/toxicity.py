@@ -150,6 +150,14 @@ class Lexicon:
         self.kept: dict[str, int] = {}
         self.entries: list[tuple[int, float, bool]] = []
         self.numbers: dict[tuple[int, float, bool], int] = {}
+        self.hot = self.ends = np.zeros(0, dtype=bool)
+
+    def flags(self) -> tuple[np.ndarray, np.ndarray]:
+        """By entry number: whether it is an insult or threat, and whether it ends a clause."""
+        if len(self.hot) != len(self.entries):
+            self.hot = np.array([entry[0] in (INSULT, THREAT) for entry in self.entries])
+            self.ends = np.array([entry[2] for entry in self.entries])
+        return self.hot, self.ends
 
     def _entry(self, word: str) -> tuple[int, float, bool]:
         plain = core(word)
@@ -187,10 +195,11 @@ def text_marks(text: str | None, lexicon: Lexicon) -> np.ndarray:
         return out
     numbers = lexicon.numbers_of(words)
     entries = lexicon.entries
-    hot = np.array([entry[0] in (INSULT, THREAT) for entry in entries])[numbers]
+    is_hot, ends = lexicon.flags()
+    hot = is_hot[numbers]
     if not hot.any():
         return out
-    stops = np.flatnonzero(np.array([entry[2] for entry in entries])[numbers]) + 1
+    stops = np.flatnonzero(ends[numbers]) + 1
     bounds = np.unique(np.concatenate([[0], stops, [len(words)]]))
     for clause in np.unique(np.searchsorted(bounds, np.flatnonzero(hot), side="right") - 1):
         part = [entries[k] for k in numbers[bounds[clause] : bounds[clause + 1]].tolist()]
