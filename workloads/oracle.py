@@ -715,3 +715,24 @@ ORACLE: dict[str, str] = {
     "occupation_report_long": _with(*next(iter(_REPORT_PARTS.items()))),
     "cross_report_long": _cross(),
 }
+
+# parts of reports that equal a single query, and the lines of all panels
+ORACLE |= {
+    "occupation_report_state_box": ORACLE["state_box"],
+    "occupation_report_overall_of_states": ORACLE["overall_without_state"],
+    "occupation_report_density_points": ORACLE["density_vs_mean"],
+    "occupation_report_test": ORACLE["corr_test"],
+    "occupation_report_ranking": ORACLE["ranking_export"],
+    "cross_report_pairs": ORACLE["corr_matrix"],
+    "cross_report_pair_points": ORACLE["pair_points"],
+    "cross_report_densities": ORACLE["density_wide"],
+    "cross_report_lines": _with(
+        "state_table",
+        " UNION ALL ".join(
+            f"""SELECT 'line_{x}' AS part, ROUND(regr_slope({y}, {x}), 6) AS slope, ROUND(regr_intercept({y}, {x}), 6) AS intercept,
+                       ROUND(regr_r2({y}, {x}), 6) AS r2, regr_count({y}, {x}) AS n FROM s"""
+            for x, y in zip(_OCC, _DEN)
+        ),
+        s=f"SELECT * FROM state_table WHERE uf <> '{fixed.FEDERAL_DISTRICT_CODE}'",
+    ),
+}

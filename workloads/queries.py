@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -645,6 +646,50 @@ def cross_report_long(spark: SparkSession, sf: str) -> DataFrame:
     return _stack(parts)
 
 
+def _occupation_part(part: str, digits: dict[str, int] | None = None, test: bool = False) -> Query:
+    """One part of the occupation report, as the report gives it."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        polygons = sources.parse_features(st.feature_lines(spark, sf))
+        report = occupation_report(
+            st.rates(spark, sf), st.hierarchy(spark, sf), st.density(spark, sf), polygons, clip=(0.0, 1.0), test=test
+        )
+        return report[part].withColumns({name: F.round(name, n) for name, n in (digits or {}).items()})
+
+    return query
+
+
+def _cross_part(parts: Sequence[str], measures: Sequence[str], named: bool = False) -> Query:
+    """Parts of the cross-occupation report that have the same columns, stacked."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        report = cross_report(
+            st.occupation_rates(spark, sf), st.hierarchy(spark, sf), st.council(spark, sf), st.census(spark, sf),
+            st.DENSITIES, exclude_state=fixed.FEDERAL_DISTRICT_CODE,
+        )
+        tables = [report[part].withColumn("part", F.lit(part)) if named else report[part] for part in parts]
+        return rounded(reduce(DataFrame.unionByName, tables), measures)
+
+    return query
+
+
+REGISTRY |= {
+    "occupation_report_state_box": _occupation_part("state_box", dict.fromkeys(BOX, 6)),
+    "occupation_report_overall_of_states": _occupation_part("overall_of_states", {"media": 6, "mediana": 6}),
+    "occupation_report_density_points": _occupation_part("density_points", {"Razão": 6, "mean_rate": 6}),
+    "occupation_report_test": _occupation_part(
+        "density_test", dict.fromkeys(["r", "t", "ci_low", "ci_high", "p"], 6), test=True
+    ),
+    "occupation_report_ranking": _occupation_part("ranking", {RATE: 6}, test=True),
+    "cross_report_pairs": _cross_part(["pairs"], ["r"]),
+    "cross_report_pair_points": _cross_part(["pair_points"], ["x_value", "y_value"]),
+    "cross_report_densities": _cross_part(["densities"], list(st.DENSITIES.values())),
+    "cross_report_lines": _cross_part(
+        [f"line_{name}" for name in st.OCCUPATIONS], ["slope", "intercept", "r2"], named=True
+    ),
+}
+
+
 def _tall(df: DataFrame, part: str, item: Column, measures: Sequence[str]) -> DataFrame:
     wide = df.select(
         F.lit(part).alias("part"), item.alias("item"), *[F.col(name).cast("double").alias(name) for name in measures]
