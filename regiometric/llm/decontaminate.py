@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiometric.llm.words import Runs, mix, slices
+from regiometric.llm.words import Runs, mix, slices, tidy
 
 Q = 10
 EDITS = 0.06
@@ -202,7 +202,7 @@ def probe_table(benchmark: DataFrame, item_column: str = "item_id") -> DataFrame
     """``item``, ``number``, ``probe``: the distinct probes of all items that are long enough."""
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").alias("text"))
     kind = items.schema["item"].dataType.simpleString()
-    probes = items.mapInArrow(_probe_rows, f"item {kind}, number long, probe string")
+    probes = items.mapInArrow(tidy(_probe_rows), f"item {kind}, number long, probe string")
     return probes.filter(F.length("probe") >= Q).distinct()
 
 
@@ -254,7 +254,7 @@ def leaks(
                     columns = [batch.column("row").take(at), batch.column("id").take(at), item, *values]
                     yield pa.RecordBatch.from_arrays(columns, ["row", "id", "item", "start", "stop", "edits"])
 
-        found = found.unionByName(source.mapInArrow(search, schema))
+        found = found.unionByName(source.mapInArrow(tidy(search), schema))
     best = F.min(F.struct("edits", "start", "stop")).alias("best")
     merged = found.groupBy("row", "id", "item").agg(best, F.count_distinct("start").alias("probes"))
     return merged.select(
@@ -274,5 +274,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
                     clean[find_leaks(batch.column(text).to_pylist(), index)["text"]] = False
                     yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs

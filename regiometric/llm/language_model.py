@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.labelled import fold
-from regiometric.llm.words import Words, find_words, hash_words, mix, slices
+from regiometric.llm.words import Words, find_words, hash_words, mix, slices, tidy
 from regiometric.session import stage
 
 FOLDS, HELD_OUT = 7, 2
@@ -86,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` (a 64-bit hash), ``spelling`` and ``n`` of every distinct word of ``docs``."""
-    rows = docs.select("text").mapInArrow(_count, "word long, spelling long, n long")
+    rows = docs.select("text").mapInArrow(tidy(_count), "word long, spelling long, n long")
     return rows.groupBy("word").agg(F.min("spelling").alias("spelling"), F.sum("n").alias("n"))
 
 
@@ -348,7 +348,7 @@ def fit(docs: DataFrame, counts: Counts) -> Net:
         yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], ["net"])
 
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text")
-    trained = one.mapInArrow(run, "net binary").collect()
+    trained = one.mapInArrow(tidy(run), "net binary").collect()
     return Net.load(trained[0].net) if trained else new_net(counts)
 
 
@@ -403,7 +403,7 @@ def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_colu
     source = docs.select(F.col(id_column).alias("id"), F.col("text").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     parts = "n_tokens long, known long, logs double, neural double, unlisted array<struct<word:long,n:int>>"
-    scored = source.mapInArrow(run, f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
+    scored = source.mapInArrow(tidy(run), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
     scored = stage(scored, "scored")
     words = scored.select("row", F.explode("unlisted").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
     found = words.join(counted.select("word", "n"), "word")

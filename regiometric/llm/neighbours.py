@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regiometric.llm.words import tidy
+
 PIVOTS = 128
 POSTED = 96
 SEARCHED = 48
@@ -146,7 +148,7 @@ def nearest(
                 )
 
     dealt = index.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiometric.llm.words import slices
+from regiometric.llm.words import slices, tidy
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 SIGMA = "\u03a3"  # its lower case depends on its place in a word
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -188,7 +188,7 @@ def pack_power_of_two(
     source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + (PIECES if with_ids else PIECES.removesuffix(", ids array<int>"))
-    packed = source.mapInArrow(pieces, schema).withColumnRenamed("id", id_column)
+    packed = source.mapInArrow(tidy(pieces), schema).withColumnRenamed("id", id_column)
     return packed.withColumns({
         "sequence_id": F.monotonically_increasing_id(),
         "offset": F.lit(0).cast("long"),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.labelled import SAMPLE_ROWS, fold, labelled_sample
-from regiometric.llm.words import Runs, find_words, hash_words, slices
+from regiometric.llm.words import Runs, find_words, hash_words, slices, tidy
 
 BINS = 1 << 13
 FACTORS = 8
@@ -223,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Mac
     sample = labelled_sample(docs, labels, "quality", learn, ["text", "n_chars"], most_rows)
     schema = "doc_id long, label int, stats array<double>, bin array<int>, value array<float>"
     source = sample.select(F.col("doc_id").cast("long"), "label", "text", "n_chars")
-    rows = source.mapInArrow(_feature_rows, schema).repartition(1)
-    found = rows.mapInArrow(_fit_task, "weights array<double>").collect()
+    rows = source.mapInArrow(tidy(_feature_rows), schema).repartition(1)
+    found = rows.mapInArrow(tidy(_fit_task), "weights array<double>").collect()
     if not found:
         none = Features(np.zeros((0, len(STATISTICS))), *(np.zeros(0, dtype=np.int64),) * 2, np.zeros(1, dtype=np.int64))
         return fit_machine(none, np.zeros(0))
@@ -250,7 +250,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str] | None = None) ->
                 value = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(value)], ["row", "score"])
 
-    done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, score double")
+    done = source.mapInArrow(tidy(run), f"row {source.schema['row'].dataType.simpleString()}, score double")
     fields = [F.col("row")[f"f{i}"].alias(name) for i, name in enumerate(carried)]
     return done.select(*fields, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.components import connected_components
-from regiometric.llm.words import slices
+from regiometric.llm.words import slices, tidy
 from regiometric.session import stage
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
     source = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_column)
+    return source.mapInArrow(tidy(run), f"id {kind}, fp long").withColumnRenamed("id", id_column)
 
 
 def _syndromes(halves: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def links(fps: DataFrame) -> DataFrame:
     An anchor where more than ``BLOCK_HOMES`` fingerprints live is split into salts: each of those fingerprints goes to
     one salt, and the anchor's other rows to all of them.
     """
-    posts = fps.select("fp").mapInArrow(_post, "anchor long, fp long, home boolean")
+    posts = fps.select("fp").mapInArrow(tidy(_post), "anchor long, fp long, home boolean")
     crowded = posts.filter("home").groupBy("anchor").count().filter(F.col("count") > BLOCK_HOMES)
     salts = crowded.select("anchor", F.ceil(F.col("count") / BLOCK_HOMES).cast("int").alias("salts"))
     spread = posts.join(salts, "anchor", "left").withColumn(
@@ -221,7 +221,7 @@ def links(fps: DataFrame) -> DataFrame:
     spread = spread.withColumn("home", F.col("home") & (F.col("salt") == own))
     dealt = spread.repartition("anchor", "salt").select("anchor", "salt", "fp", "home")
     ordered = dealt.sortWithinPartitions("anchor", "salt", F.desc("home"))
-    return ordered.mapInArrow(_compare, "a long, b long")
+    return ordered.mapInArrow(tidy(_compare), "a long, b long")
 
 
 def near_duplicates(

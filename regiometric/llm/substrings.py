@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regiometric.llm.words import SECOND_BASE, Runs, Words, find_words, hash_words, slices
+from regiometric.llm.words import SECOND_BASE, Runs, Words, find_words, hash_words, slices, tidy
 from regiometric.session import stage
 
 WINDOW = 35
@@ -133,7 +133,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
                     [*keys, *map(pa.array, values)], [*KEYS, "start", "copies", "c1", "c2"]
                 )
 
-    found = base.select(*KEYS, "text").mapInArrow(pieces, "k1 long, k2 long, start long, windows long, seed long, c1 long")
+    found = base.select(*KEYS, "text").mapInArrow(tidy(pieces), "k1 long, k2 long, start long, windows long, seed long, c1 long")
     seeds = (
         found.groupBy("seed")
         .agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high"))
@@ -154,7 +154,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
         F.collect_list(F.struct("at.start", "at.windows", "copies")).alias("opened")
     )
     schema = "k1 long, k2 long, start long, copies long, c1 long, c2 long"
-    single = base.join(opened, KEYS).mapInArrow(edges, schema)
+    single = base.join(opened, KEYS).mapInArrow(tidy(edges), schema)
     again = single.groupBy("c1", "c2").agg(F.sum("copies").alias("n")).filter("n > 1").select("c1", "c2")
     lone = single.filter("copies = 1").join(again, ["c1", "c2"])
     return whole.unionByName(copied).unionByName(lone.select(*KEYS, "start", F.lit(1).cast("long").alias("windows")))
@@ -235,6 +235,6 @@ def remove_repeated(
     kind = base.schema["row"].dataType.simpleString()
     schema = f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     joined = base.join(spans, KEYS, "left").select("row", "text", "spans")
-    done = joined.mapInArrow(finish, schema)
+    done = joined.mapInArrow(tidy(finish), schema)
     fields: list[Column] = [F.col("row")[f"f{i}"].alias(name) for i, name in enumerate(carried)]
     return done.select(*fields, *[name for name in done.columns if name != "row"])

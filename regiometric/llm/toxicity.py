@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.labelled import SAMPLE_ROWS, fold, labelled_sample
-from regiometric.llm.words import slices
+from regiometric.llm.words import slices, tidy
 
 FOLDS = 3
 HELD_OUT = 1
@@ -272,7 +272,7 @@ def learn_insults(sample: DataFrame) -> list[dict[str, float]]:
 
     def totals(label: int, only: frozenset[str] | None) -> DataFrame:
         docs = sample.filter(F.col("label") == label).select("half", "text")
-        counted = docs.mapInArrow(_count(only), "lexeme string, n0 long, n1 long")
+        counted = docs.mapInArrow(tidy(_count(only)), "lexeme string, n0 long, n1 long")
         return counted.groupBy("lexeme").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     often = totals(1, None).withColumn("n", F.col("n0") + F.col("n1")).filter(F.col("n") >= LEAST_DOCUMENTS)
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS) -> Mod
                 [batch.column("label"), pa.array(marks, pa.list_(pa.float64()))], ["label", "marks"]
             )
 
-    rows = sample.mapInArrow(run, "label int, marks array<double>").groupBy("label", "marks").count()
+    rows = sample.mapInArrow(tidy(run), "label int, marks array<double>").groupBy("label", "marks").count()
     rows = rows.orderBy("label", "marks").collect()
     marks = np.array([row.marks for row in rows for _ in range(row["count"])]).reshape(-1, 2 * len(MARKS) + 1)
     bias, weights = fit_weights(marks, np.array([row.label for row in rows for _ in range(row["count"])], dtype=float))
@@ -329,7 +329,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     source = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = source.mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regiometric.llm.words import tidy
+
 VERSION = "WARC/1.1"
 LEAST_REVISIT = 100
 CHUNK = 1 << 18
@@ -132,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """
     rows = with_revisits(pages, least).withColumn("row_id", F.monotonically_increasing_id())
     rows = rows.select("page_id", "url", "html", "size", "digest", "refers_to", "row_id")
-    rows.mapInArrow(_page_records, "value string").write.option("lineSep", LINE).text(folder, compression="gzip")
+    rows.mapInArrow(tidy(_page_records), "value string").write.option("lineSep", LINE).text(folder, compression="gzip")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +197,4 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     those of the payload it refers to.
     """
     pieces = spark.read.option("lineSep", VERSION + LINE).text(folder)
-    return pieces.mapInArrow(_read, RECORDS)
+    return pieces.mapInArrow(tidy(_read), RECORDS)
