@@ -3,7 +3,8 @@
 A vector is represented by the order of its nearest pivots. The index is cut into blocks of rows; each block posts its
 rows in the inverted files of their nearest pivots, with the pivot's place in the row's order. A query walks through the
 files of its own nearest pivots and adds up by how many places the two orders differ (the footrule distance; a row that
-a file lacks counts as the place after the last one posted). The best share of each block is reranked by true distance.
+a file lacks counts as the place after the last one posted). The best share of each block is reranked by true distance,
+with all rows that tie with the last of them. Equal vectors are indexed once, with the ids that may be answers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regiometric.llm.words import tidy
+from regiometric.session import stage
 
 PIVOTS = 128
 POSTED = 96
@@ -62,10 +64,13 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
 
 
 class Block:
-    """The inverted files of some rows."""
+    """The inverted files of some distinct vectors; vector i has the ids ``ids[first_id[i]:first_id[i + 1]]``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, posted: int):
+    def __init__(
+        self, ids: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, posted: int
+    ):
         self.ids, self.vectors, self.posted = ids, vectors, min(posted, len(pivots))
+        self.sizes, self.first_id = sizes, np.concatenate([[0], np.cumsum(sizes)])
         order = orders(vectors, pivots, self.posted)
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
@@ -74,18 +79,31 @@ class Block:
         self.first = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
 
     def search(self, query_id: int, query: np.ndarray, order: np.ndarray, share: float, k: int) -> tuple:
-        footrule = np.zeros(len(self.ids), dtype=np.int64)
+        footrule = np.zeros(len(self.vectors), dtype=np.int64)
         for place, pivot in enumerate(order.tolist()):
             span = slice(self.first[pivot], self.first[pivot + 1])
             absent = abs(self.posted - place)
             footrule[self.rows[span]] += np.abs(self.places[span] - place) - absent
-        footrule[self.ids == query_id] = np.iinfo(np.int64).max
         most = min(len(footrule), max(LEAST_RERANKED, int(np.ceil(share * len(footrule)))))
-        best = np.argpartition(footrule, most - 1)[:most]
-        best = best[self.ids[best] != query_id]
+        best = np.flatnonzero(footrule <= np.partition(footrule, most - 1)[most - 1])
         distance = np.sqrt(((self.vectors[best] - query) ** 2).sum(axis=1))
-        top = np.lexsort((self.ids[best], distance))[:k]
-        return self.ids[best][top], distance[top]
+        sizes = self.sizes[best]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.first_id[best] - np.cumsum(sizes) + sizes, sizes)
+        ids, distance = self.ids[at], np.repeat(distance, sizes)
+        other = ids != query_id
+        ids, distance = ids[other], distance[other]
+        top = np.lexsort((ids, distance))[:k]
+        return ids[top], distance[top]
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """``vector`` and ``ids`` of every distinct vector: the smallest ids, repeats included, of which ``k`` or all are
+    left when any one id is taken out."""
+    counted = rows.groupBy("vector", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    place = F.row_number().over(W.partitionBy("vector").orderBy("id"))
+    first = counted.withColumn("place", place).filter(F.col("place") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(id, times)"))))
+    return first.groupBy("vector").agg(ids.alias("ids"))
 
 
 def nearest(
@@ -108,39 +126,42 @@ def nearest(
     rows = usable(vectors, id_column, vector)
     points = choose_pivots(rows, pivots)
     wanted = F.col("id") % 100 == 0 if is_query is None else is_query
-    blocks = max(1, -(-rows.count() // block_rows))
-    spread = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    index = rows.select(spread.alias("block"), F.lit(False).alias("query"), "id", "vector")
+    once = stage(distinct_vectors(rows, k), "vectors")
+    blocks = max(1, -(-once.count() // block_rows))
+    spread = F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(blocks)).cast("int")
+    index = once.select(spread.alias("block"), F.lit(False).alias("query"), "ids", "vector")
     asked = rows.filter(wanted).groupBy("id").agg(F.min("vector").alias("vector"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = asked.select(every.alias("block"), F.lit(True).alias("query"), "id", "vector")
+    asked = asked.select(every.alias("block"), F.lit(True).alias("query"), F.array("id").alias("ids"), "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts, block = None, [], None
         for batch in batches:
             number = batch.column("block").to_numpy()
             query = batch.column("query").to_numpy(zero_copy_only=False)
-            ids = batch.column("id").to_numpy()
-            matrix = batch.column("vector").flatten().to_numpy().reshape(len(ids), -1)
+            lists = batch.column("ids")
+            ids, sizes_of = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            begin = np.concatenate([[0], np.cumsum(sizes_of)])
+            matrix = batch.column("vector").flatten().to_numpy().reshape(len(number), -1)
             edges = np.flatnonzero((np.diff(number) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
-            for at in np.split(np.arange(len(ids)), edges):
+            for at in np.split(np.arange(len(number)), edges):
                 if not len(at):
                     continue
                 if current != number[at[0]]:
                     current, parts, block = number[at[0]], [], None
                 if not query[at[0]]:
-                    parts.append((ids[at], matrix[at]))
+                    parts.append((ids[begin[at[0]] : begin[at[-1] + 1]], sizes_of[at], matrix[at]))
                     continue
                 if block is None:
                     if not parts:
                         continue  # a block without rows
                     block = Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), points, POSTED)
                 order = orders(matrix[at], points, min(SEARCHED, len(points)))
-                found = [block.search(ids[i], matrix[i], order[j], share, k) for j, i in enumerate(at)]
+                found = [block.search(ids[begin[i]], matrix[i], order[j], share, k) for j, i in enumerate(at)]
                 sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(ids[at], sizes)),
+                        pa.array(np.repeat(ids[begin[at]], sizes)),
                         pa.array(np.concatenate([f[0] for f in found])),
                         pa.array(np.concatenate([f[1] for f in found])),
                     ],
