@@ -3,8 +3,9 @@
 The probability of the next word is that of its class times that of the word in its class. The most frequent words are
 dealt into classes by frequency and have an output vector each. All other words, unseen ones included, fall into
 classes by their last letters, in which a word has its smoothed share of the training tokens of its class; so the model
-spreads exactly one over all words. The recurrent net is a gated unit trained by truncated back-propagation on a bounded
-sample; every count is over all training documents.
+spreads exactly one over all words. The recurrent net is a gated unit trained by truncated back-propagation. It learns from
+all training documents, ``EPOCHS`` times each: learners of about ``LEARNER_TOKENS`` tokens start a round from one net, and
+their nets are averaged by tokens. Every count is over all training documents too.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ SPELLINGS = 64
 CLASSES = WORD_CLASSES + SPELLINGS
 HIDDEN = 32
 LISTED = 1 << 17
-SAMPLE_DOCUMENTS = 2500
-SAMPLE_TOKENS = 400_000
+LEARNER_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
+AVERAGED = 32
 EPOCHS = 3
 STREAMS, WINDOW = 64, 32
 LANES = 512
@@ -249,28 +251,50 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     return grads, h
 
 
+class Learner:
+    """Adam over windows of ``WINDOW`` words of up to ``STREAMS`` parallel streams.
+
+    ``begun`` and ``expected``: words learned from in earlier rounds and in all rounds, by which the rate falls.
+    """
+
+    def __init__(self, net: Net, begun: int, expected: int):
+        self.net, self.done, self.expected, self.step = net, begun, max(expected, 1), 0
+        self.first = [np.zeros_like(p) for p in net.parameters()]
+        self.second = [np.zeros_like(p) for p in net.parameters()]
+
+    def learn(self, ids: np.ndarray, fresh: np.ndarray) -> None:
+        """Every word of ``ids`` once; states go on from window to window. Streams differ by one word at most."""
+        streams = min(STREAMS, max(1, len(ids) // WINDOW))
+        length, longer = divmod(len(ids), streams)
+        begin = np.arange(streams) * length + np.minimum(np.arange(streams), longer)
+        h = np.zeros((streams, HIDDEN), dtype=np.float32)
+        for at in range(0, length, WINDOW):
+            place = begin[None] + np.arange(at, min(at + WINDOW, length))[:, None]
+            h = self._window(ids[place], fresh[place], h)
+        if longer:
+            place = begin[None, :longer] + length
+            self._window(ids[place], fresh[place], h[:longer])
+
+    def _window(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
+        grads, h = _window_gradients(self.net, ids, fresh, h)
+        norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
+        self.step += 1
+        self.done += ids.size
+        step = self.step
+        rate = 0.01 * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, step / 20)
+        for p, g, a, b in zip(self.net.parameters(), grads, self.first, self.second, strict=True):
+            g *= min(1.0, 1.0 / max(norm, 1e-9))
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p -= (rate / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        return h
+
+
 def train(net: Net, ids: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS) -> Net:
-    """Adam over windows of ``WINDOW`` words of ``STREAMS`` parallel streams; states go on from window to window."""
-    length = len(ids) // STREAMS
-    if not length:
-        return net
-    ids = ids[: length * STREAMS].reshape(STREAMS, length).T
-    fresh = fresh[: length * STREAMS].reshape(STREAMS, length).T
-    first = [np.zeros_like(p) for p in net.parameters()]
-    second = [np.zeros_like(p) for p in net.parameters()]
-    total, step = epochs * -(-length // WINDOW), 0
+    """One learner over all of ``ids``, ``epochs`` times."""
+    learner = Learner(net, 0, epochs * len(ids))
     for _ in range(epochs):
-        h = np.zeros((STREAMS, HIDDEN), dtype=np.float32)
-        for at in range(0, length, WINDOW):
-            grads, h = _window_gradients(net, ids[at : at + WINDOW], fresh[at : at + WINDOW], h)
-            norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
-            step += 1
-            rate = 0.01 * (1 - 0.9 * step / total) * min(1.0, step / 20)
-            for p, g, a, b in zip(net.parameters(), grads, first, second, strict=True):
-                g *= min(1.0, 1.0 / max(norm, 1e-9))
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p -= (rate / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        learner.learn(ids, fresh)
     return net
 
 
@@ -321,35 +345,87 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, counts: Counts) -> Net:
-    """A net trained in one task on the first ``SAMPLE_TOKENS`` tokens of ``SAMPLE_DOCUMENTS`` documents picked by a
-    hash of the id."""
-    picked = docs.select("doc_id").filter("doc_id is not null").distinct()
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    sample = stage(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text"), "sample")
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of nets by tokens; no rows give none."""
+    sums, total = None, 0
+    for batch in batches:
+        for raw, tokens in zip(batch.column("net"), batch.column("tokens").to_pylist(), strict=True):
+            parts = [p.astype(np.float64) * tokens for p in Net.load(raw.as_py()).parameters()]
+            sums = parts if sums is None else [x + y for x, y in zip(sums, parts, strict=True)]
+            total += tokens
+    if total:
+        net = Net(*[x / total for x in sums])
+        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary()), pa.array([total])], ["net", "tokens"])
+
+
+def encode(docs: DataFrame, counts: Counts) -> DataFrame:
+    """``ids`` (input ids of the words and the end) and ``mark`` (a hash that deals and orders the rows) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, fresh, have = [], [], 0
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                if have >= SAMPLE_TOKENS:
-                    continue
                 words = find_words(batch.column("text"), lower=True)
-                found, _, _ = token_ids(words, hash_words(words), counts)
-                found = _with_ends(found, words.first)
-                begins = np.zeros(len(found), dtype=bool)
-                begins[words.first[:-1] + np.arange(batch.num_rows)] = True
-                ids.append(found[: SAMPLE_TOKENS - have])
-                fresh.append(begins[: SAMPLE_TOKENS - have])
-                have += len(ids[-1])
-        net = new_net(counts)
-        if ids:
-            net = train(net, np.concatenate(ids), np.concatenate(fresh))
-        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], ["net"])
-
-    one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "text")
-    trained = one.mapInArrow(tidy(run), "net binary").collect()
-    return Net.load(trained[0].net) if trained else new_net(counts)
+                found = _with_ends(token_ids(words, hash_words(words), counts)[0], words.first)
+                cuts = words.first + np.arange(batch.num_rows + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.astype(np.int16)))], ["ids"]
+                )
+
+    coded = docs.select("text").mapInArrow(tidy(run), "ids array<short>")
+    return coded.withColumn("mark", F.xxhash64(F.monotonically_increasing_id(), F.size("ids")))
+
+
+def fit(docs: DataFrame, counts: Counts) -> Net:
+    """A net that has learned from every row of ``docs``, ``EPOCHS`` times.
+
+    Rows are dealt to learners by a hash. Each round every learner goes on from the mean of the last round's nets, which
+    is made by a tree of averages; one net a round goes to the driver and back to the tasks.
+    """
+    learners = max(1, -(-counts.tokens // LEARNER_TOKENS))
+    each = -(-counts.tokens // learners)
+    coded = stage(encode(docs, counts), "coded")
+    net = new_net(counts)
+    for number in range(EPOCHS if counts.tokens else 0):
+        given = net.dump()
+
+        def run(
+            batches: Iterator[pa.RecordBatch], given: bytes = given, number: int = number
+        ) -> Iterator[pa.RecordBatch]:
+            learner = Learner(Net.load(given), number * each, EPOCHS * each)
+            held, have, total = [], 0, 0
+
+            def learn() -> None:
+                sizes = np.concatenate([x.value_lengths().to_numpy() for x in held])
+                ids = np.concatenate([x.flatten().to_numpy() for x in held]).astype(np.int64)
+                fresh = np.zeros(len(ids), dtype=bool)
+                fresh[np.cumsum(sizes) - sizes] = True
+                learner.learn(ids, fresh)
+
+            for whole in batches:
+                lists = whole.column("ids")
+                for at in range(0, len(lists), 64):
+                    part = lists.slice(at, 64)
+                    held.append(part)
+                    have += len(part.flatten())
+                    if have >= CHUNK_TOKENS:
+                        learn()
+                        held, have, total = [], 0, total + have
+            if have:
+                learn()
+                total += have
+            if total:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([learner.net.dump()], pa.binary()), pa.array([total])], ["net", "tokens"]
+                )
+
+        dealt = coded.repartition(learners, "mark").sortWithinPartitions("mark").select("ids")
+        nets, left = stage(dealt.mapInArrow(tidy(run), "net binary, tokens long"), "nets"), learners
+        while left > 1:
+            left = -(-left // AVERAGED)
+            nets = nets.repartition(left).mapInArrow(tidy(_average), "net binary, tokens long")
+        last = nets.coalesce(1).mapInArrow(tidy(_average), "net binary, tokens long").collect()
+        net = Net.load(last[0].net)
+    return net
 
 
 def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_column: str = "doc_id") -> DataFrame:
@@ -429,8 +505,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Training documents are those whose id's CRC-32 modulo ``FOLDS`` is not ``HELD_OUT``. Each text ends in one end token. A
     null text is empty and has that token only. Repeated rows are learned from and scored once each. A null id counts as the
-    empty text for the fold and is scored, but not drawn into the sample. Other columns are ignored. Without training
-    documents all words are unseen.
+    empty text for the fold. Other columns are ignored. Without training documents all words are unseen.
     """
     whole = docs.select("doc_id", "text")
     training = whole.filter(fold("doc_id", FOLDS) != HELD_OUT)
