@@ -66,4 +66,24 @@ ORACLE: dict[str, str] = {
             CASE WHEN first < page_id THEN first END AS refers_to
         FROM linked
     """,
+    "op12_line_dedup": """
+        WITH split AS (
+            SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), single AS (
+            SELECT k, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM split
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM single
+        ), repeated AS (
+            SELECT key, max(doc_id) AS largest FROM keyed
+            WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT k, doc_id, i, line, coalesce(doc_id <> largest, false) AS gone
+            FROM keyed LEFT JOIN repeated USING (key)
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY k
+    """,
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiometric.llm import chat, decontaminate, language_model, neighbours, packing, quality, simhash, substrings, toxicity, warc
+from regiometric.llm import (
+    chat, decontaminate, language_model, lines, neighbours, packing, quality, simhash, substrings, toxicity, warc,
+)
 from regiometric.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +104,10 @@ def op9_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
 def op10_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality score by a factorisation machine."""
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's line counts and the digest of the lines that stay."""
+    cut = lines.remove_repeated_lines(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
