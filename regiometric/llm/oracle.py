@@ -66,6 +66,37 @@ ORACLE: dict[str, str] = {
             CASE WHEN first < page_id THEN first END AS refers_to
         FROM linked
     """,
+    "op11_lexical_search": r"""
+        WITH split AS (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), total AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM split
+        ), sized AS (
+            SELECT k, doc_id, terms, 75 + (25 * len(terms) * n) // l AS m FROM split, total WHERE len(terms) > 0
+        ), posted AS (
+            SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM split) GROUP BY k, term
+        ), weighed AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM posted, total GROUP BY term
+        ), asked AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark
+            ) GROUP BY item_id, term
+        ), scored AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM asked JOIN posted USING (term) JOIN weighed USING (term) JOIN sized USING (k) GROUP BY item_id, k, doc_id
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
     "op12_line_dedup": """
         WITH split AS (
             SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

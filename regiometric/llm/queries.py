@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiometric.llm import (
-    chat, decontaminate, language_model, lines, neighbours, packing, quality, simhash, substrings, toxicity, warc,
+    chat, decontaminate, language_model, lexical, lines, neighbours, packing, quality, simhash, substrings, toxicity, warc,
 )
 from regiometric.session import scratch_dir
 
@@ -106,6 +106,12 @@ def op10_quality_fm(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@register
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty documents that rank highest for every benchmark item."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @register
 def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's line counts and the digest of the lines that stay."""
