@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiometric.llm import (
-    chat, decontaminate, language_model, lexical, lines, neighbours, packing, quality, simhash, substrings, toxicity, warc,
+    chat, decontaminate, hard_negatives, language_model, lexical, lines, neighbours, packing, quality, simhash, substrings,
+    toxicity, warc,
 )
 from regiometric.session import scratch_dir
 
@@ -117,3 +118,10 @@ def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's line counts and the digest of the lines that stay."""
     cut = lines.remove_repeated_lines(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives for every hundredth vector and its positives; every seventh row has the next label."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", shifted))
