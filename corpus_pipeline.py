@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regiometric.llm import decontaminate, packing, quality, similar, substrings
+from regiometric.llm import decontaminate, packing, quality, simhash, substrings
 from regiometric.llm.queries import TOKENIZER, table
 from regiometric.session import stage
 
@@ -29,14 +29,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest id, null ids last; of equal ids, one of them.
 
-    Rows are linked if their five-word shingles have a Jaccard similarity of 0.8 or more; see ``similar``.
+    Groups are those of the operator: fingerprints over three-word shingles, linked within three bits.
     """
     keyed = docs.select(*COLUMNS).withColumns({
         "k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit("|"), "doc_id"),
     })
     keyed = keyed.withColumn("key", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2"))
-    groups = similar.similar_rows(keyed, "key").filter(F.col("key") == F.col("component_id"))
-    first = groups.select("key.k1", "key.k2").distinct()
+    groups = simhash.near_duplicates(keyed, id_column="key", shingle=simhash.SHINGLE)
+    groups = groups.filter(F.col("key") == F.col("component_id"))
+    # written, so that the join has plain sides and rows that repeat very often can be split
+    first = stage(groups.select("key.k1", "key.k2").distinct(), "first")
     kept = keyed.drop("key").join(first, ["k1", "k2"])
     copy = F.row_number().over(W.partitionBy("k1", "k2").orderBy("source", "lang"))
     return kept.withColumn("copy", copy).filter("copy = 1").select(*COLUMNS)
