@@ -7,10 +7,13 @@ a sequence of its own. A training job draws each batch from one bucket.
 
 from __future__ import annotations
 
+import gc
+import string
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from regiometric.llm.words import slices, tidy
 MAX_LENGTH = 2048
 END_ID = 1
 CACHED_WORDS = 300_000
+SIGNS = string.punctuation + string.digits
 SIGMA = "\u03a3"  # its lower case depends on its place in a word
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -48,8 +52,8 @@ class WordEncoder:
 
     Spaces and line feeds always end a token, so a text is encoded word by word with the same result. A new word goes
     through the tokenizer's own normaliser, pre-tokenizer and model; parts that several words share, such as a word with
-    and without a comma, go through the model once. The stores are emptied when they are full, which costs time and
-    changes nothing.
+    and without a comma, go through the model once. A full store becomes the older one, from which words that turn up
+    again are taken over, and what was not used for a whole turn is forgotten; this changes nothing in the results.
     """
 
     def __init__(self, path: str):
@@ -60,76 +64,77 @@ class WordEncoder:
         self.marks = [str(token.content) for token in added]
         if any("|" not in mark for mark in self.marks):
             raise ValueError("added tokens are expected to hold a vertical bar")
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.tails: dict[str, list[str]] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.older, self.older_ids = self.known, getattr(self, "ids", [])
+        self.older_parts = self.parts
+        self.known, self.parts = {}, {}
+        self.ids: list[tuple[int, ...]] = []
+
+    def _part(self, piece: str) -> tuple[int, ...]:
+        found = self.parts.get(piece)
+        if found is None:
+            found = self.older_parts.get(piece)
+            if found is None:
+                found = tuple([token.id for token in self.tokenizer.model.tokenize(piece)])
+            self.parts[piece] = found
+        return found
 
-    def _pieces(self, word: str) -> list[str]:
-        """What the normaliser and the pre-tokenizer make of a word."""
+    def _other(self, word: str) -> tuple[int, ...]:
+        """Ids of any word, by what the normaliser and the pre-tokenizer make of it."""
         normal = self.tokenizer.normalizer.normalize_str(word)
-        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        return tuple(chain.from_iterable([self._part(piece) for piece, _ in pieces]))
 
-    def _ids(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         if "|" in word and any(mark in word for mark in self.marks):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        size = len(word)
-        while size and not word[size - 1].isalpha():
-            size -= 1
-        stem, tail = word[:size], word[size:]
+            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        stem = word.rstrip(SIGNS)
+        if not stem.isalpha() or SIGMA in stem:
+            return self._other(word)
         plain = stem.lower()
-        simple = stem.isalpha() and plain.isalpha() and SIGMA not in stem
-        if simple and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            # letters only: one piece, as bytes in the tokenizer's alphabet
-            pieces = [plain if stem.isascii() else "".join(map(BYTE_LETTERS.__getitem__, plain.encode()))]
-            if tail:
-                after = self.tails.get(tail)
-                if after is None:
-                    after = self.tails[tail] = self._pieces(tail)
-                pieces += after
-        else:
-            pieces = self._pieces(word)
-        ids: list[int] = []
-        for piece in pieces:
-            found = self.parts.get(piece)
-            if found is None:
-                found = self.parts[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
-            ids += found
-        return ids
+        if not stem.isascii():
+            if not plain.isalpha() or not unicodedata.is_normalized("NFC", word):
+                return self._other(word)
+            plain = "".join(map(BYTE_LETTERS.__getitem__, plain.encode()))
+        # letters only: one piece, as bytes in the tokenizer's alphabet
+        if len(stem) == len(word):
+            return self._part(plain)
+        tail = word[len(stem) :]
+        key = " " + tail  # no piece holds a space
+        after = self.parts.get(key)
+        if after is None:
+            after = self.parts[key] = self._other(tail)
+        return self._part(plain) + after
 
     def _learn(self, words: list[str]) -> None:
-        while len(self.known) + len(words) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        at = len(self.known)
-        begin = int(self.ends[at])
-        flat: list[int] = []
-        for word in words:
-            flat += self._ids(word)
+        older, older_ids, word_ids = self.older.get, self.older_ids, self._word
+        for at, word in enumerate(words, len(self.ids)):
+            before = older(word)
+            self.ids.append(word_ids(word) if before is None else older_ids[before])
             self.known[word] = at
-            at += 1
-            self.ends[at] = begin + len(flat)
-        while begin + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[begin : begin + len(flat)] = flat
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit numbers."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
         counts = np.array([len(words) for words in split])
-        words = list(chain.from_iterable(split))
-        new = [word for word in set(words) if word not in self.known]
+        numbers: dict[str, int] = defaultdict(count().__next__)
+        word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        distinct = list(numbers)
+        new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(set(words))
+            self._begin()
+            new = distinct
         self._learn(new)
-        picked = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        begins, lengths = self.ends[picked], self.ends[picked + 1] - self.ends[picked]
+        lists = [self.ids[self.known[w]] for w in distinct]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
+        begins, lengths = (np.cumsum(sizes) - sizes)[word], sizes[word]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+        ids = flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
         return np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
 
 
@@ -153,6 +158,13 @@ def pack_power_of_two(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
+        gc.disable()  # the stores hold millions of objects and no cycles; ``tidy`` collects at the end of the task
+        try:
+            yield from packed_pieces(encoder, batches)
+        finally:
+            gc.enable()
+
+    def packed_pieces(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 rows, starts, lengths, checks, totals, parts = [], [], [], [], [], []

@@ -149,7 +149,9 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEYS, "start", "windows")).alias("at")
     )
     distinct = stage(distinct, "contents")
-    copied = branching.join(distinct.filter("copies > 1").select(*content), content).select(*KEYS, "start", "windows")
+    # a question of membership, so there are at most as many rows as there are pieces
+    repeated = distinct.filter("copies > 1").select(*content)
+    copied = branching.join(repeated, content, "left_semi").select(*KEYS, "start", "windows")
     opened = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("at.start", "at.windows", "copies")).alias("opened")
     )
