@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,54 +11,51 @@ STEPS = 200
 _TINY = 1e-300
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: str) -> str:
     """Stirling's series at ``x`` + 7, brought back by the recurrence; for positive ``x``."""
-    z = x + 7
-    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    product = x
-    for k in range(1, 7):
-        product = product * (x + k)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    z = f"({x} + 7)"
+    series = f"1 / (12 * {z}) - 1 / (360 * power({z}, 3)) + 1 / (1260 * power({z}, 5)) - 1 / (1680 * power({z}, 7))"
+    product = " * ".join([x, *[f"({x} + {k})" for k in range(1, 7)]])
+    return f"(({z} - 0.5D) * ln({z}) - {z} + {0.5 * math.log(2 * math.pi)}D + {series} - ln({product}))"
 
 
-def _safe(value: Column) -> Column:
-    return F.when(F.abs(value) < _TINY, F.lit(_TINY)).otherwise(value)
+def _safe(value: str) -> str:
+    return f"if(abs({value}) < {_TINY}D, {_TINY}D, {value})"
 
 
-def _fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, evaluated from the front."""
+def _fraction(s: str) -> str:
+    """The continued fraction of the incomplete beta function of ``a``, ``b`` and ``x`` of a struct, from the front."""
+    first = f"1 / {_safe(f'(1 - ({s}.a + {s}.b) * {s}.x / ({s}.a + 1))')}"
+    m = "floor(k / 2)"  # odd k = 2m + 1 and even k = 2m take turns
+    even = f"{m} * ({s}.b - {m}) * {s}.x / (({s}.a + 2 * {m} - 1) * ({s}.a + 2 * {m}))"
+    odd = f"-({s}.a + {m}) * ({s}.a + {s}.b + {m}) * {s}.x / (({s}.a + 2 * {m}) * ({s}.a + 2 * {m} + 1))"
+    # the term of a step, then both convergents, then their product
+    pair = f"named_struct('c', {_safe('(1 + v / r.c)')}, 'd', 1 / {_safe('(1 + v * r.d)')})"
+    move = f"transform(transform(array(if(k % 2 = 0, {even}, {odd})), v -> {pair}), q -> named_struct('c', q.c, 'd', q.d, 'h', r.h * q.c * q.d))[0]"
+    return f"aggregate(sequence(2, {2 * STEPS}), named_struct('c', 1D, 'd', {first}, 'h', {first}), (r, k) -> {move}, r -> r.h)"
 
-    def state(c: Column, d: Column, h: Column) -> Column:
-        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
 
-    def move(s: Column, term: Column) -> Column:
-        d = 1 / _safe(1 + term * s["d"])
-        c = _safe(1 + term / s["c"])
-        return state(c, d, s["h"] * c * d)
+def _beta_text() -> str:
+    logs = f"{_log_gamma('(s.a + s.b)')} - {_log_gamma('s.a')} - {_log_gamma('s.b')}"
+    front = f"exp({logs} + s.a * ln(s.x) + s.b * ln(1 - s.x))"
+    part = f"{front} * {_fraction('s')} / s.a"
+    return f"s -> if(s.x <= 0, 0D, if(s.x >= 1, 1D, {part}))"
 
-    def step(s: Column, k: Column) -> Column:
-        # odd k = 2m + 1 and even k = 2m take turns
-        m = F.floor(k / 2).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return move(s, F.when(k % 2 == 0, even).otherwise(odd))
 
-    first = 1 / _safe(1 - (a + b) * x / (a + 1))
-    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * STEPS)), state(F.lit(1.0), first, first), step)["h"]
+_BETA = _beta_text()
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
-    """The regularised incomplete beta function of doubles ``a``, ``b`` > 0 and ``x`` in 0 to 1."""
-    logs = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
-    front = F.exp(logs + a * F.log(x) + b * F.log(1 - x))
+    """The regularised incomplete beta function of doubles ``a``, ``b`` > 0 and ``x`` in 0 to 1.
+
+    Where the fraction converges slowly the other tail is taken. The text is parsed as a whole, which is much faster than
+    putting it together from columns, and the numbers are bound once.
+    """
     near = x < (a + 1) / (a + b + 2)
-    direct: Callable[[], Column] = lambda: front * _fraction(a, b, x) / a
-    return (
-        F.when(x <= 0, F.lit(0.0))
-        .when(x >= 1, F.lit(1.0))
-        .when(near, direct())
-        .otherwise(1 - front * _fraction(b, a, 1 - x) / b)
-    )
+    one, other, at = (F.when(near, u).otherwise(v) for u, v in ((a, b), (b, a), (x, 1 - x)))
+    given = F.array(F.struct(one.alias("a"), other.alias("b"), at.alias("x"), near.alias("near")))
+    tail = F.call_function("transform", given, F.expr(f"s -> struct(transform(array(s), {_BETA})[0] AS p, s.near AS near)"))
+    return F.call_function("transform", tail, F.expr("t -> if(t.near, t.p, 1 - t.p)"))[0]
 
 
 def t_two_sided(t: Column, df: Column) -> Column:

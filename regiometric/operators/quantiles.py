@@ -63,14 +63,15 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    domain: tuple[float, float] | None = RATE_DOMAIN,
+    domain: tuple[float | Column, float | Column] | None = RATE_DOMAIN,
     levels: int = 2,
     staged: bool = False,
 ) -> DataFrame:
     """One row per group: ``by``, ``n``, ``n_missing``, ``mean``, ``min``, ``max`` and one column per probability.
 
     NULL and NaN are missing and do not take part; a group of missing values only has NULL statistics. An empty ``by``
-    gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum.
+    gives one row for the whole table. ``domain=None`` spans the bins between the table's own minimum and maximum; its
+    ends may also be scalar columns.
     With two ``levels`` the wanted bins are divided once more between their own extremes, so that values which crowd
     into few bins, or lie outside the domain, still spread over tasks.
 
@@ -86,7 +87,7 @@ def exact_quantiles(
         span = rows.agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
         low, high = span.select("low").scalar(), span.select("high").scalar()
     else:
-        low, high = F.lit(float(domain[0])), F.lit(float(domain[1]))
+        low, high = [end if isinstance(end, Column) else F.lit(float(end)) for end in domain]
     if staged:
         rows = rows.withColumn("_c", F.lit(1).cast("long"))
     else:

@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations
 
-import numpy as np
-from pyspark import StorageLevel
-from pyspark.errors import UnsupportedOperationException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric import fixed
 from regiometric.functions import missing_to_null, p_label, r_label, ratio, recode
-from regiometric.functions.tails import f_upper, t_two_sided
+from regiometric.functions.tails import t_two_sided
 from regiometric.operators.describe import group_means
 from regiometric.operators.indicators import pivot_first
 from regiometric.operators.quantiles import medians
-
-OLS_SCHEMA = (
-    "term string, estimate double, std_error double, t_value double, p_value double, n bigint, df_residual bigint, "
-    "r2 double, r2_adjusted double, residual_error double, f_value double, dropped_terms array<string>, n_features bigint"
-)
+from regiometric.operators.regression import ols, ols_rows, residual_summary  # noqa: F401
 
 
 def rates_wide(rates: Mapping[str, DataFrame], key: str = "regiao_saude", value: str = "rate") -> DataFrame:
@@ -169,76 +160,6 @@ def fitted_values(df: DataFrame, x: str, line: DataFrame, out: str = "fitted") -
     return df.withColumn(out, intercept + slope * F.col(x))
 
 
-def ols(df: DataFrame, response: str, features: Sequence[str]) -> DataFrame:
-    """Least squares with intercept: one row per term, model figures repeated. Runs jobs.
-
-    Rows with a missing value are left out. A feature equal to the response is dropped and listed in
-    ``dropped_terms``. A feature that earlier ones determine (or a constant) stays as a term without figures.
-    Executors add up moments; the driver handles matrices as large as the number of features.
-    """
-    kept = [feature for feature in dict.fromkeys(features) if feature != response]
-    dropped = [feature for feature in features if feature == response]
-    if not kept:
-        raise ValueError("no feature besides the response")
-    # the points are gone over several times
-    points = _complete(df, [response, *kept]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        free = _independent(points, kept)
-        rows = _terms(points, response, free, dropped) if free else []
-    finally:
-        points.unpersist()
-    found = {row[0]: row for row in rows}
-    model = rows[0][5:] if rows else (None,) * 6 + (dropped, 0)
-    aliased = {name: (name, None, None, None, None, *model) for name in kept if name not in found}
-    ordered = [(found | aliased)[name] for name in ["(Intercept)", *kept] if name in found | aliased]
-    table = df.sparkSession.createDataFrame(ordered, OLS_SCHEMA)
-    model_p = f_upper(F.col("f_value"), F.col("n_features"), F.col("df_residual"))
-    return table.withColumn("f_p_value", model_p).drop("n_features")
-
-
-def _independent(points: DataFrame, features: list[str], tolerance: float = 1e-12) -> list[str]:
-    """Features that keep some variance of their own once the features before them are accounted for."""
-    pairs = list(combinations_with_replacement(range(len(features)), 2))
-    moments = points.agg(
-        *[F.covar_pop(features[i], features[j]).alias(f"_{i}_{j}") for i, j in pairs], F.count(F.lit(1)).alias("_n")
-    ).first()
-    if not moments["_n"]:
-        raise ValueError("no row without missing values")
-    left = np.zeros((len(features), len(features)))
-    for i, j in pairs:
-        left[i, j] = left[j, i] = moments[f"_{i}_{j}"]
-    variance = left.diagonal().copy()
-    kept = []
-    for i, feature in enumerate(features):
-        if left[i, i] > tolerance * variance[i]:
-            kept.append(feature)
-            left = left - np.outer(left[:, i], left[i]) / left[i, i]
-    return kept
-
-
-def _terms(points: DataFrame, response: str, features: list[str], dropped: list[str]) -> list[tuple]:
-    vectors = VectorAssembler(inputCols=features, outputCol="_features").transform(points)
-    model = LinearRegression(featuresCol="_features", labelCol=response, solver="normal").fit(vectors)
-    summary = model.summary
-    n, k = summary.numInstances, len(features)
-    free = n - k - 1
-    r2 = summary.r2
-    residual = (summary.rootMeanSquaredError**2 * n / free) ** 0.5 if free > 0 else None
-    f_value = (r2 / k) / ((1 - r2) / free) if free > 0 and r2 < 1 else None
-    estimates = [model.intercept, *model.coefficients.toArray().tolist()]
-    errors = t_values = p_values = [None] * (k + 1)
-    if free > 0:
-        try:
-            figures = (summary.coefficientStandardErrors, summary.tValues, summary.pValues)
-            # the summary lists the intercept last
-            errors, t_values, p_values = ([*column[-1:], *column[:-1]] for column in map(list, figures))
-        except UnsupportedOperationException:
-            pass  # the response is constant, nothing is left to test
-    model_figures = (n, free, r2, summary.r2adj if free > 0 else None, residual, f_value, dropped, k)
-    terms = zip(["(Intercept)", *features], estimates, errors, t_values, p_values)
-    return [(*term, *model_figures) for term in terms]
-
-
 def pair_matrix(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """Correlation of every column pair over all rows and, with ``by``, within each group; long form.
 

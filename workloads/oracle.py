@@ -58,9 +58,9 @@ _CTES = {
         SELECT cod_regsaud, regiao_saude, ROUND(CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT person), 4) AS vinc_medio
         FROM placed GROUP BY ALL""",
     "people": """
-        SELECT CAST(10000 + s_suppkey AS VARCHAR) AS cod_regsaud,
+        SELECT CASE WHEN s_suppkey % 7 = 0 THEN '9' ELSE '' END || CAST(10000 + s_suppkey AS VARCHAR) AS cod_regsaud,
                CAST(floor(abs(s_acctbal)) AS BIGINT) + 2000 AS populacao
-        FROM supplier WHERE s_suppkey % 7 <> 0""",
+        FROM supplier""",
     "lines": f"""
         SELECT *, {_MUNICIPALITY} AS code, {_CHECKED} AS codedv, year(l_shipdate) AS ano,
                strftime(l_shipdate, '%Y%m') AS period
@@ -103,8 +103,8 @@ _CTES = {
                g.uf, g.regiao
         FROM (SELECT DISTINCT code FROM occupation WHERE p = '1-URGENT') a
         {" ".join(
-            f"LEFT JOIN occupation r{i} ON r{i}.code = a.code AND r{i}.p = '{p}'"
-            + (f" AND CAST(r{i}.code AS INTEGER) % 7 <> {i}" if i else "")
+            f"LEFT JOIN occupation r{i} ON r{i}.p = '{p}' AND a.code = "
+            + (f"CASE WHEN CAST(r{i}.code AS INTEGER) % 7 = {i} THEN '9' ELSE '' END || " if i else "") + f"r{i}.code"
             for i, p in enumerate(st.OCCUPATIONS.values())
         )}
         LEFT JOIN regions g ON g.cod_regsaud = a.code""",
@@ -136,6 +136,12 @@ _CTES = {
     "complete": """
         SELECT rate_medicos AS y, rate_enfermeiros AS x1, rate_dentista AS x2, rate_tec_aux_enf AS x3
         FROM wide WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL""",
+    "two": """
+        SELECT regiao, rate_medicos AS y, rate_enfermeiros AS x1, rate_dentista AS x2
+        FROM wide WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL""",
+    "states_two": f"""
+        SELECT 'all' AS regiao, razao_medicos AS y, razao_enfermeiros AS x1, razao_dentistas AS x2
+        FROM state_table WHERE uf <> '{fixed.FEDERAL_DISTRICT_CODE}' AND y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL""",
 }
 
 # what each named table above is built from
@@ -146,7 +152,7 @@ _NEEDS = {
     "access": ["distances"], "gdp": ["lines_placed"], "enriched": ["rates", "regions"], "gaps": ["enriched"],
     "two_places": ["enriched"], "hinges": ["enriched"], "wide": ["occupation", "regions"], "densities": ["states"],
     "state_table": ["wide", "densities", "states"], "density": ["states"], "points": ["density", "enriched"],
-    "line": ["points"], "complete": ["wide"],
+    "line": ["points"], "complete": ["wide"], "two": ["wide"], "states_two": ["state_table"],
 }
 
 
@@ -246,6 +252,79 @@ def _model() -> str:
     )
 
 
+def _pair_model(source: str, tables: str, body: str) -> str:
+    """Models of y on x1 and x2 per ``regiao`` of ``source``, by taking x1 out of x2 and y."""
+    extra = {
+        "m": f"""SELECT regiao, COUNT(*) AS n, AVG(y) AS my, AVG(x1) AS m1, AVG(x2) AS m2, covar_pop(x1, x1) AS s11,
+                        covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, y) AS s1y,
+                        covar_pop(x2, y) AS s2y, covar_pop(y, y) AS syy FROM {source} GROUP BY ALL""",
+        "e": """SELECT *, s11 > 0 AS u1, CASE WHEN s11 > 0 THEN s12 / s11 ELSE 0 END AS g FROM m""",
+        "e2": """SELECT *, s22 - g * s12 AS e22, s2y - g * s1y AS e2y, s22 - g * s12 > 1e-12 * s22 AS u2 FROM e""",
+        "b": """SELECT *, CASE WHEN u2 THEN e2y / e22 END AS b2,
+                       CASE WHEN u1 THEN s1y / s11 - g * CASE WHEN u2 THEN e2y / e22 ELSE 0 END END AS b1,
+                       n - 1 - CAST(u1 AS INTEGER) - CAST(u2 AS INTEGER) AS df, CAST(u1 AS INTEGER) + CAST(u2 AS INTEGER) AS k,
+                       CASE WHEN u2 THEN 1 / (n * e22) ELSE 0 END AS i22, n * syy AS tss,
+                       n * greatest(0, syy - CASE WHEN u1 THEN s1y * s1y / s11 ELSE 0 END
+                                       - CASE WHEN u2 THEN e2y * e2y / e22 ELSE 0 END) AS rss FROM e2""",
+        "b0": """SELECT *, my - COALESCE(b1, 0) * m1 - COALESCE(b2, 0) * m2 AS b0, -g * i22 AS i12,
+                        CASE WHEN u1 THEN 1 / (n * s11) + g * g * i22 ELSE 0 END AS i11,
+                        CASE WHEN df > 0 AND tss > 0 THEN rss / df END AS s2, CASE WHEN tss > 0 THEN 1 - rss / tss END AS r2
+                 FROM b""",
+        "t": """SELECT *, UNNEST(['(Intercept)', 'x1', 'x2']) AS term, UNNEST([b0, b1, b2]) AS estimate,
+                       UNNEST([sqrt(s2 * (1.0 / n + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22)),
+                               CASE WHEN u1 THEN sqrt(s2 * i11) END, CASE WHEN u2 THEN sqrt(s2 * i22) END]) AS std_error,
+                       CASE WHEN df > 0 AND k > 0 AND r2 < 1 THEN (r2 / k) / ((1 - r2) / df) END AS f_value
+                FROM b0""",
+        "tt": "SELECT *, CASE WHEN std_error > 0 THEN estimate / std_error END AS t_value FROM t",
+    }
+    return _with(tables, body, **extra)
+
+
+def _pair_terms(source: str, names: tuple[str, str], grouped: bool) -> str:
+    x1, x2 = names
+    return _pair_model(
+        source, source,
+        f"""SELECT {"regiao, " if grouped else ""}replace(replace(term, 'x1', '{x1}'), 'x2', '{x2}') AS term, n,
+                   CAST(df AS BIGINT) AS df_residual, {_rounded(["estimate", "std_error", "t_value", "r2", "f_value"], 5)},
+                   CASE WHEN df > 0 THEN ROUND(1 - (1 - r2) * (n - 1) / df, 5) END AS r2_adjusted,
+                   CASE WHEN df > 0 THEN ROUND(sqrt(rss / df), 5) END AS residual_error,
+                   CASE WHEN t_value IS NOT NULL THEN ROUND({_p_value("t_value", "df")}, 5) END AS p_value,
+                   ROUND(CASE WHEN f_value IS NULL THEN NULL WHEN k = 2 THEN pow(1 + 2 * f_value / df, -df / 2)
+                              ELSE {_p_value("sqrt(f_value)", "df")} END, 5) AS f_p_value
+            FROM tt""",
+    )
+
+
+_FIVE = ", ".join(
+    f"ROUND({what}, 6) + 0.0::DOUBLE AS {name}"
+    for name, what in {
+        "min": "MIN(r)", "q1": "quantile_cont(r, 0.25)", "median": "quantile_cont(r, 0.5)",
+        "q3": "quantile_cont(r, 0.75)", "max": "MAX(r)",
+    }.items()
+)
+
+
+def _model_rows(body: str) -> str:
+    """Fitted values and leverage of the model of three features, by taking each feature out of the later ones."""
+    return _with(
+        "wide",
+        body,
+        given="""SELECT regiao_saude, rate_medicos AS y, rate_enfermeiros AS x1, rate_dentista AS x2, rate_tec_aux_enf AS x3
+                 FROM wide WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL""",
+        e0="""SELECT regiao_saude, y, AVG(y) OVER () AS my, COUNT(*) OVER () AS n, x1 - AVG(x1) OVER () AS e1,
+                     x2 - AVG(x2) OVER () AS x2, x3 - AVG(x3) OVER () AS x3 FROM given""",
+        e1="""SELECT *, x2 - e1 * (SUM(e1 * x2) OVER () / SUM(e1 * e1) OVER ()) AS e2,
+                     x3 - e1 * (SUM(e1 * x3) OVER () / SUM(e1 * e1) OVER ()) AS r3 FROM e0""",
+        e2="SELECT *, r3 - e2 * (SUM(e2 * r3) OVER () / SUM(e2 * e2) OVER ()) AS e3 FROM e1",
+        fits="""SELECT regiao_saude, y, my + e1 * SUM(e1 * y) OVER () / SUM(e1 * e1) OVER ()
+                         + e2 * SUM(e2 * y) OVER () / SUM(e2 * e2) OVER ()
+                         + e3 * SUM(e3 * y) OVER () / SUM(e3 * e3) OVER () AS fitted,
+                       1.0 / n + e1 * e1 / SUM(e1 * e1) OVER () + e2 * e2 / SUM(e2 * e2) OVER ()
+                         + e3 * e3 / SUM(e3 * e3) OVER () AS leverage FROM e2""",
+        left_over="SELECT *, y - fitted AS r FROM fits",
+    )
+
+
 _BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
 _OCC, _DEN = list(st.OCCUPATIONS), list(st.DENSITIES.values())
 _PAIRS = list(combinations(_OCC, 2))
@@ -665,6 +744,18 @@ ORACLE: dict[str, str] = {
                   ROUND((SELECT a FROM line) + (SELECT b FROM line) * m, 6) AS fitted FROM points""",
     ),
     "multi_ols": _model(),
+    "multi_ols_residuals": _model_rows(f"SELECT COUNT(*) AS n, {_FIVE} FROM left_over"),
+    "multi_ols_rows": _model_rows(
+        "SELECT regiao_saude, ROUND(fitted, 6) AS fitted, ROUND(r, 6) AS residual, ROUND(leverage, 6) AS leverage FROM left_over"
+    ),
+    "ols_by_region": _pair_terms("two", ("rate_enfermeiros", "rate_dentista"), True),
+    "cross_report_model": _pair_terms("states_two", ("razao_enfermeiros", "razao_dentistas"), False),
+    "residuals_by_region": _pair_model(
+        "two", "two",
+        f"""SELECT regiao, COUNT(*) AS n, {_FIVE} FROM (
+              SELECT t.regiao, y - b0 - COALESCE(b1, 0) * x1 - COALESCE(b2, 0) * x2 AS r
+              FROM two t JOIN b0 ON t.regiao IS NOT DISTINCT FROM b0.regiao) GROUP BY ALL""",
+    ),
     "multi_ols_response_repeated": f"SELECT *, 'rate_medicos' AS dropped_terms FROM ({_model()})",
     "corr_matrix": _with(
         "wide",

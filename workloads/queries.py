@@ -563,6 +563,45 @@ def multi_ols_response_repeated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table.withColumn("dropped_terms", F.concat_ws(",", "dropped_terms")), FIGURES, 5)
 
 
+@register
+def multi_ols_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Five numbers of the residuals of the model of all regions."""
+    return rounded(relate.residual_summary(_wide(spark, sf), *MODEL), ["min", "q1", "median", "q3", "max"])
+
+
+@register
+def multi_ols_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every region's fitted value, residual and leverage."""
+    rows = relate.ols_rows(_wide(spark, sf), *MODEL)
+    return rounded(rows.select("regiao_saude", "fitted", "residual", "leverage"), ["fitted", "residual", "leverage"])
+
+
+@register
+def ols_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    """A model of its own for every macro-region."""
+    table = relate.ols(_wide(spark, sf), MODEL[0], MODEL[1][:2], ["regiao"]).drop("dropped_terms")
+    return rounded(table, FIGURES, 5)
+
+
+@register
+def residuals_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Five numbers of the residuals of every macro-region's own model."""
+    table = relate.residual_summary(_wide(spark, sf), MODEL[0], MODEL[1][:2], ["regiao"])
+    five = ["min", "q1", "median", "q3", "max"]
+    return table.withColumns({name: F.round(name, 6) + 0.0 for name in five})  # no zero below zero
+
+
+@register
+def cross_report_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The model that the cross-occupation report fits over states."""
+    report = cross_report(
+        st.occupation_rates(spark, sf), st.hierarchy(spark, sf), st.council(spark, sf), st.census(spark, sf),
+        st.DENSITIES, models={"densities": ("razao_medicos", ["razao_enfermeiros", "razao_dentistas"])},
+        exclude_state=fixed.FEDERAL_DISTRICT_CODE,
+    )
+    return rounded(report["model_densities"].drop("dropped_terms"), FIGURES, 5)
+
+
 @register
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(relate.pair_matrix(_wide(spark, sf), list(st.OCCUPATIONS), "regiao"), ["r"])
@@ -579,10 +618,11 @@ def pair_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def map_layer(spark: SparkSession, sf: str) -> DataFrame:
-    """Every seventh region is left out of the rate table; its polygon stays. Polygon files spell codes in four ways."""
+    """Every seventh region has another code in the rate table; its polygon stays. Polygon files spell codes in four ways."""
     polygons = sources.parse_features(st.feature_lines(spark, sf))
-    some = enriched(spark, sf).filter(F.col("cod_regiao_saude").cast("int") % 7 != 10000 % 7)
-    layer = geo.map_layer(polygons, some).select(
+    code = F.col("cod_regiao_saude")
+    coded = enriched(spark, sf).withColumn("cod_regiao_saude", st.elsewhere(code, code.cast("int") % 7 == 10000 % 7))
+    layer = geo.map_layer(polygons, coded).select(
         "reg_id", "geometry_type", F.size("polygons").cast("bigint").alias("n_polygons"), "uf", RATE, "srid",
         "colour_position", "colour_class",
     )

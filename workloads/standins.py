@@ -169,15 +169,16 @@ def bond_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def elsewhere(code: Column, test: Column) -> Column:
+    """The code, or one that no other table has where ``test`` holds, so that the row finds no partner."""
+    return F.when(test, F.concat(F.lit("9"), code)).otherwise(code)
+
+
 def population(spark: SparkSession, sf: str) -> DataFrame:
-    """Inhabitants per region; every seventh region is not listed."""
-    return (
-        table(spark, sf, "supplier")
-        .filter(F.col("s_suppkey") % 7 != 0)
-        .select(
-            region_code("s_suppkey").alias("cod_regsaud"),
-            (F.floor(F.abs("s_acctbal")) + 2000).cast("bigint").alias("populacao"),
-        )
+    """Inhabitants per region; every seventh region is listed under a code of its own."""
+    return table(spark, sf, "supplier").select(
+        elsewhere(region_code("s_suppkey"), F.col("s_suppkey") % 7 == 0).alias("cod_regsaud"),
+        (F.floor(F.abs("s_acctbal")) + 2000).cast("bigint").alias("populacao"),
     )
 
 
@@ -313,7 +314,7 @@ def rates_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 def occupation_rates(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """One rate table per order priority, cut from one aggregate that is written once.
 
-    Tables after the first lack every seventh region, another one each.
+    Tables after the first list every seventh region under a code of its own, another one each.
     """
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     every = cut_lineage(
@@ -324,7 +325,8 @@ def occupation_rates(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     tables = {}
     for i, (name, priority) in enumerate(OCCUPATIONS.items()):
         rows = every.filter(F.col("o_orderpriority") == priority).drop("o_orderpriority")
-        tables[name] = rows if i == 0 else rows.filter(F.col("regiao_saude").cast("int") % 7 != i)
+        code = F.col("regiao_saude")
+        tables[name] = rows if i == 0 else rows.withColumn("regiao_saude", elsewhere(code, code.cast("int") % 7 == i))
     return tables
 
 
