@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiometric.functions import category_number, missing_to_null, percent_label
+from regiometric.operators.boxes import counted_box
 from regiometric.operators.quantiles import RATE_DOMAIN, exact_quantiles, medians
 from regiometric.session import checked_broadcast, cut_lineage
 
@@ -93,14 +94,20 @@ def box_stats(
     """Hinges, median, whiskers and outlier count per group.
 
     Whiskers end at the most extreme values within ``reach`` interquartile ranges of the hinges. ``clip`` drops values
-    outside an axis range beforehand, as a chart with fixed axis limits does. ``staged`` (see ``exact_quantiles``) also
-    computes the hinges at once and broadcasts them if the groups are few, so that the rows are only scanned.
+    outside an axis range beforehand, as a chart with fixed axis limits does. ``staged`` counts first and reads the rows
+    once more (see ``boxes``), so that they are only scanned; the bins then span ``clip`` where it is given.
     """
     shown = _in_view(df, value, clip).select(*by, missing_to_null(value).alias("_value"))
     if staged:
-        rows = shown.withColumn("_c", F.lit(1).cast("long"))
-    else:  # rows of one group and value become one
-        rows = shown.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_c"))
+        if not by:
+            raise ValueError("box statistics are taken per group")
+        ends = clip if domain == AUTO and clip is not None else _domain(value, domain)
+        if ends is None:
+            span = shown.agg(F.min("_value").alias("low"), F.max("_value").alias("high")).first()
+            ends = (span.low or 0.0, span.high or 0.0)
+        return counted_box(shown, by, ends, reach)
+    # rows of one group and value become one
+    rows = shown.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_c"))
     fenced = _fenced(rows, _hinges(df, by, value, clip, reach, domain, staged), by, staged)
     inside = F.col("_value").between(F.col("_low"), F.col("_high"))
     return fenced.groupBy(*by).agg(

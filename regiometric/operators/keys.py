@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,15 @@ def require_unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     if repeated:
         raise ValueError(f"{name}: key {tuple(keys)} repeats, e.g. {repeated[0].asDict()}")
     return df
+
+
+def unique_or_error(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, which fails where it is computed if a key other than NULL is held by several rows.
+
+    Rows are counted per key in the plan itself, on the partitioning that a join on the key needs anyway; no job runs here.
+    """
+    rows = F.count(F.lit(1)).over(Window.partitionBy(key))
+    text = F.concat(F.lit(f"{name}: {key} repeats, e.g. "), F.col(key).cast("string"))
+    error = F.raise_error(text).cast(df.schema[key].dataType)
+    checked = F.when((F.col("_rows_of_key") > 1) & F.col(key).isNotNull(), error).otherwise(F.col(key))
+    return df.withColumn("_rows_of_key", rows).withColumn(key, checked).drop("_rows_of_key")

@@ -118,8 +118,9 @@ def exact_quantiles(
         .withColumn("mean", F.try_divide(F.col("_total"), F.col("n").cast("double")))
     )
     columns = [*keys, "_b0", "_before", "_low", "_high", *_STATS]
-    missing_only = (F.col("n") == 0) & F.col("_b0").isNull()
-    chosen = ranked.filter((F.col("_b0").isNotNull() & _holds_any(probs)) | missing_only).select(*columns)
+    # the bin of missing values covers no rank; a test for it here would be inferred for the rows of the join as well, and
+    # keep both uses of the rows from sharing one exchange
+    chosen = ranked.filter(_holds_any(probs) | (F.col("n") == 0)).select(*columns)
     if staged:
         chosen = cut_lineage(chosen)
     picked, hollow = chosen.filter(F.col("n") > 0), chosen.filter(F.col("n") == 0)
@@ -140,10 +141,12 @@ def exact_quantiles(
         path = [*path, f"_b{level}"]
         near = _join(near.drop(*carried, "_low", "_high"), finer.drop("_after", "_n"), path)
 
-    # repeated values folded into one row with a count, so a value held by many rows is one row here
-    folded = near.groupBy(*path, "_v").agg(
-        F.sum("_c").alias("_n"), *[F.max(name).alias(name) for name in carried]
-    )
+    if staged:  # repeated values folded into one row with a count, so a value held by many rows is one row here
+        folded = near.groupBy(*path, "_v").agg(
+            F.sum("_c").alias("_n"), *[F.max(name).alias(name) for name in carried]
+        )
+    else:  # they were folded in the beginning
+        folded = near.select(*path, "_v", F.col("_c").alias("_n"), *carried)
     placed = folded.withColumn("_after", F.col("_before") + _running("_n", path, F.col("_v"))).withColumn(
         "_before", F.col("_after") - F.col("_n")
     )

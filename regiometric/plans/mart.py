@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regiometric import fixed
 from regiometric.functions import classify_prefix, period_equals, ratio
 from regiometric.operators import indicators as ind
-from regiometric.operators.keys import require_unique
+from regiometric.operators.keys import unique_or_error
 
 _GDP_VALUE = "produto_interno_bruto_precos_correntes_1000"
 
@@ -125,7 +125,7 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
     A feature is grouped by region code and name, so a region spelled in two ways has two rows in it and the mart one
     for each combination over features. Features that share a table (distance and road, product and both flags) are
     one feature here and go together by spelling; joined one by one they would give further combinations. Set
-    ``unique_regions`` to have such tables refused instead.
+    ``unique_regions`` to have such tables refused instead, when the mart is computed.
     """
     s = settings
     mart = tables.rates.select(
@@ -135,7 +135,7 @@ def region_mart(tables: MartTables, settings: MartSettings = MartSettings()) ->
         # state and name are taken from one feature each
         drops = {"admissions": ["regiao_saude"], "establishments": []}.get(name, list(ind.REGION[1:]))
         if s.unique_regions:
-            require_unique(feature, ["cod_regsaud"], name)
+            feature = unique_or_error(feature, "cod_regsaud", name)
         side = feature.drop(*drops).withColumnRenamed("cod_regsaud", f"_region_{name}")
         mart = mart.join(side, F.col("_spine") == F.col(f"_region_{name}"), "left")
 

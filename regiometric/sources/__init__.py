@@ -2,6 +2,8 @@
 
 from regiometric.sources.geojson import parse_features, read_geojson
 from regiometric.sources.readers import (
+    load_csv,
+    observed,
     read_csv,
     read_jdbc,
     read_parquet,
@@ -12,6 +14,6 @@ from regiometric.sources.readers import (
 from regiometric.sources.sinks import write_csv, write_parquet, write_report
 
 __all__ = [
-    "parse_features", "read_csv", "read_geojson", "read_jdbc", "read_parquet", "read_rates_csv", "rejected_codes",
+    "load_csv", "observed", "parse_features", "read_csv", "read_geojson", "read_jdbc", "read_parquet", "read_rates_csv", "rejected_codes",
     "with_text_codes", "write_csv", "write_parquet", "write_report",
 ]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from regiometric.functions import numeric_code, text_code
 from regiometric.sources import schemas
@@ -24,21 +24,61 @@ def read_parquet(
     return df if columns is None else df.select(*columns)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """The columns of ``schema`` from a delimited table with a header, surrounding blanks trimmed.
-
-    Columns are found by name, in any order, and further ones are ignored. Types are those given, never inferred, and
-    malformed numbers become NULL. Spreadsheets are read in this form.
-    """
-    text = (
+def _csv_text(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    return (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
+
+
+def _typed(field: StructField) -> Column:
+    return F.col(f"`{field.name}`").try_cast(field.dataType)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """The columns of ``schema`` from a delimited table with a header, surrounding blanks trimmed.
+
+    Columns are found by name, in any order, and further ones are ignored. Types are those given, never inferred, and
+    malformed numbers become NULL. Spreadsheets are read in this form.
+    """
+    fields = StructType.fromDDL(schema).fields
+    return _csv_text(spark, path, sep).select(*[_typed(field).alias(field.name) for field in fields])
+
+
+def observed(df: DataFrame, schema: str, observation: Observation) -> DataFrame:
+    """Text columns as the types of ``schema``, with what was refused counted on the way.
+
+    When the result has been computed once, ``observation`` holds ``n_rows`` and, by the number of the column,
+    ``missing_…`` and ``malformed_…``: how many were NULL and how many could not be read. Nothing is scanned for them.
+    """
+    fields = StructType.fromDDL(schema).fields
+    counts = [F.count(F.lit(1)).alias("n_rows")]
+    for i, field in enumerate(fields):
+        given = F.col(f"`{field.name}`")
+        counts += [
+            F.count_if(given.isNull()).alias(f"missing_{i}"),
+            F.count_if(given.isNotNull() & _typed(field).isNull()).alias(f"malformed_{i}"),
+        ]
+    return df.observe(observation, *counts).select(*[_typed(field).alias(field.name) for field in fields])
+
+
+def load_csv(spark: SparkSession, path: str, schema: str, target: str, sep: str = ",") -> DataFrame:
+    """Loads a delimited table into the parquet folder ``target`` in one pass, and returns what was refused in it.
+
+    One row per column: ``column``, ``n_rows``, ``n_missing``, ``n_malformed``. Malformed values are NULL in the folder.
+    """
     fields = StructType.fromDDL(schema).fields
-    return text.select(*[F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name) for field in fields])
+    seen = Observation("load")
+    text = _csv_text(spark, path, sep).select(*[F.col(f"`{field.name}`") for field in fields])
+    observed(text, schema, seen).write.mode("overwrite").parquet(target)
+    found = seen.get
+    rows = [
+        (field.name, found["n_rows"], found[f"missing_{i}"], found[f"malformed_{i}"]) for i, field in enumerate(fields)
+    ]
+    return spark.createDataFrame(rows, "`column` string, n_rows bigint, n_missing bigint, n_malformed bigint")
 
 
 def read_rates_csv(spark: SparkSession, path: str, value: str = "rate", key: str = "regiao_saude") -> DataFrame:

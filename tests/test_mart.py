@@ -101,9 +101,13 @@ def test_two_spellings_multiply_rows_and_are_reported(spark, tables):
 
 def test_two_spellings_can_be_refused(spark, tables):
     twice = tables.bed_totals.union(spark.createDataFrame([(2022, "SP", "35001", "NORTE", 1, 1)], tables.bed_totals.schema))
-    assert region_mart(tables, MartSettings(unique_regions=True)).count() == region_mart(tables).count()
-    with pytest.raises(ValueError, match="beds"):
-        region_mart(dataclasses.replace(tables, bed_totals=twice), MartSettings(unique_regions=True))
+    assert region_mart(tables, MartSettings(unique_regions=True)).collect() == region_mart(tables).collect()
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    refused = region_mart(dataclasses.replace(tables, bed_totals=twice), MartSettings(unique_regions=True))
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    with pytest.raises(Exception, match="beds: cod_regsaud repeats, e.g. 35001"):
+        refused.collect()
 
 
 def test_plan_stays_in_spark_and_reads_the_registry_twice(spark, tables, tmp_path, plan):

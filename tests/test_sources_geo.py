@@ -111,3 +111,18 @@ def test_lineage_is_cut_in_the_shared_folder(spark, plan):
     df = cut_lineage(spark.range(10).filter("id > 4"))
     assert df.count() == 5 and "FileScan parquet" in plan(df)
     assert shared_dir(spark)
+
+
+def test_rejects_are_counted_in_the_one_pass_of_the_load(spark, tmp_path, plan):
+    from pyspark.sql import Observation
+
+    (tmp_path / "in.csv").write_text("b;a;extra\n1;x;q\n2,5;7;q\n;8;q\nz; 9 ;q\n4.5;;q\n")
+    table = sources.load_csv(spark, str(tmp_path / "in.csv"), "a bigint, b double", str(tmp_path / "out"), sep=";")
+    assert [tuple(r) for r in table.collect()] == [("a", 5, 1, 1), ("b", 5, 1, 2)]
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, 1.0), (7, None), (8, None), (9, None), (None, 4.5)], key=str)
+    seen = Observation()
+    text = spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "in.csv"))
+    df = sources.observed(text, "a bigint", seen)
+    df.collect()
+    assert seen.get["malformed_0"] == 1 and plan(df).count("FileScan csv") == 1 and "CollectMetrics" in plan(df)

@@ -355,7 +355,7 @@ _MART_TYPES = ", ".join(
 )
 
 
-def _mart() -> str:
+def _mart(spelled: bool = False) -> str:
     period = f"{st.YEAR}{st.MONTH:02d}"
     extra = {
         "nu": f"SELECT * FROM bonds WHERE period = '{period}'",
@@ -393,7 +393,17 @@ def _mart() -> str:
                               COUNT(*) FILTER (dry) AS n2, COUNT(*) AS total
                        FROM gdp WHERE ano = {st.GDP_YEAR} GROUP BY ALL)""",
     }
-    joins = " ".join(f"LEFT JOIN {name} ON a.code = {name}.r" for name in "bcefghijlnop")
+    if spelled:
+        name = "CASE WHEN s_suppkey % 5 = 0 AND l_linenumber % 2 = 0 THEN upper(regiao_saude) ELSE regiao_saude END"
+        course = f"FROM lines_region WHERE ano = {st.YEAR} AND p_type = '{st.COURSE}' GROUP BY ALL"
+        extra["e"] = f"SELECT cod_regsaud AS r, {name} AS name, COUNT(DISTINCT l_partkey) AS total_ies_enfermagem {course}"
+        extra["q"] = f"""SELECT cod_regsaud AS r, {name} AS name, CAST(SUM(l_quantity) AS BIGINT) AS matriculas_ies,
+                                CAST(SUM(l_linenumber) AS BIGINT) AS ingressos_ies, CAST(SUM(p_size) AS BIGINT) AS vagas_ies,
+                                CAST(SUM(l_quantity * 2) AS BIGINT) AS inscritos_ies {course}"""
+        extra["g"] = f"""SELECT cod_regsaud AS r, {name} AS name, CAST(SUM(l_quantity) AS BIGINT) AS quant_leitos_sus,
+                                CAST(SUM(l_linenumber) AS BIGINT) AS quant_leitos_n_sus
+                         FROM lines_region WHERE ano = {st.YEAR} GROUP BY ALL"""
+    joins = " ".join(f"LEFT JOIN {name} ON a.code = {name}.r" for name in "bcefghijlnop" + "q" * spelled)
     return _with(
         "rates bonds hierarchy people lines_placed lines_region units access gdp",
         f"""SELECT c.uf_sigla, b.r AS cod_regsaud, h.regiao_saude, ROUND(a.rate, 4) AS rate, pop_censo22, TOTAL_PROF,
@@ -558,6 +568,8 @@ ORACLE: dict[str, str] = {
             FROM ({_GDP_SHARES}) g LEFT JOIN people p ON p.cod_regsaud = g.cod_regsaud""",
     ),
     "region_mart": _mart(),
+    "mart_unique_regions": _mart(),
+    "mart_two_spellings": _mart(spelled=True),
     "code_normalise": """
         WITH raw AS (SELECT CAST(520000 + l_suppkey * 7 % 20000 AS VARCHAR) AS six, l_linenumber AS j FROM lineitem),
              codes AS (SELECT CASE WHEN j % 2 = 0 THEN six || CAST(j AS VARCHAR) ELSE six END AS codigo FROM raw)
@@ -602,6 +614,10 @@ ORACLE: dict[str, str] = {
     "malformed_codes": """
         SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (l_linenumber = 1) AS n_missing,
                COUNT(*) FILTER (l_linenumber IN (2, 4)) AS n_malformed FROM lineitem""",
+    "load_with_rejects": """
+        SELECT 'codigo' AS "column", COUNT(*) AS n_rows, COUNT(*) FILTER (l_linenumber = 1) AS n_missing,
+               COUNT(*) FILTER (l_linenumber IN (2, 3)) AS n_malformed FROM lineitem
+        UNION ALL SELECT 'valor', COUNT(*), 0, COUNT(*) FILTER (l_returnflag = 'R') FROM lineitem""",
     "malformed_municipalities": _with(
         "hierarchy",
         """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (CAST(cod_municipio AS BIGINT) % 3 = 0) AS n_missing,

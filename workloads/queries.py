@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -218,6 +219,30 @@ def query_region_mart(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mart, ["obitos_1000_hab", "PIB_percapita"])
 
 
+@register
+def mart_two_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """The mart where two tables spell the names of every fifth region in two ways, so that rows multiply."""
+    tables = st.mart_tables(spark, sf)
+
+    def spelled(df: DataFrame, number: str) -> DataFrame:
+        other = (F.col("cod_regsaud").cast("int") % 5 == 0) & (F.col(number) % 2 == 0)
+        name = F.col("regiao_saude")
+        return df.withColumn("regiao_saude", F.when(other, F.upper(name)).otherwise(name))
+
+    tables = replace(
+        tables, bed_totals=spelled(tables.bed_totals, "quantidade_nao_sus"),
+        education=spelled(tables.education, "qt_ingresso_total"),
+    )
+    return rounded(region_mart(tables, st.SETTINGS), ["obitos_1000_hab", "PIB_percapita"])
+
+
+@register
+def mart_unique_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The mart with the assertion that no feature repeats a region."""
+    mart = region_mart(st.mart_tables(spark, sf), replace(st.SETTINGS, unique_regions=True))
+    return rounded(mart, ["obitos_1000_hab", "PIB_percapita"])
+
+
 # -- codes, labels, sources --------------------------------------------------------------------------------------
 
 
@@ -328,6 +353,17 @@ def malformed_codes(spark: SparkSession, sf: str) -> DataFrame:
     return sources.rejected_codes(st.table(spark, sf, "lineitem").select(written.alias("c")), "c")
 
 
+@register
+def load_with_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of codes and quantities loaded once: per column, how many are missing and how many malformed."""
+    part, code = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
+    written = F.when(part == 2, F.concat(F.lit("x"), code)).when(part == 3, F.concat(code, F.lit(".5"))).when(part > 3, code)
+    amount = F.when(F.col("l_returnflag") == "R", F.lit("n/d")).otherwise(F.col("l_quantity").cast("string"))
+    path, target = scratch(spark, "codes-csv"), scratch(spark, "codes")
+    sources.write_csv(st.table(spark, sf, "lineitem").select(written.alias("codigo"), amount.alias("valor")), path)
+    return sources.load_csv(spark, path, "codigo bigint, valor double", target, sep=";")
+
+
 @register
 def malformed_municipalities(spark: SparkSession, sf: str) -> DataFrame:
     """Municipality codes, of which a third is missing and a third replaced by names."""
