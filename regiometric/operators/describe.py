@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regiometric.functions import category_number, missing_to_null, percent_label
 from regiometric.operators.boxes import counted_box
 from regiometric.operators.quantiles import RATE_DOMAIN, exact_quantiles, medians
+from regiometric.operators.sketches import merged_quantiles, quantile_sketches
 from regiometric.session import checked_broadcast, cut_lineage
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -44,9 +45,18 @@ def group_medians(
     label: str | None = None,
     domain: Domain = AUTO,
     staged: bool = False,
+    approximate: bool = False,
 ) -> DataFrame:
-    """Median per group, missing values left out or (``strict``) making the group's median NULL; optional % label."""
-    result = medians(df, by, {out: value}, strict, _domain(value, domain), staged)
+    """Median per group, missing values left out or (``strict``) making the group's median NULL; optional % label.
+
+    ``approximate`` takes it from a sketch in one aggregation, within ``sketches.rank_error``; exact is the default.
+    """
+    if approximate:
+        found = merged_quantiles(quantile_sketches(df, by, value), by, {out: 0.5})
+        whole = F.col("n_missing") == 0 if strict else F.lit(True)
+        result = found.select(*by, F.when(whole, F.col(out)).alias(out))
+    else:
+        result = medians(df, by, {out: value}, strict, _domain(value, domain), staged)
     return result if label is None else result.withColumn(label, percent_label(out))
 
 

@@ -486,6 +486,21 @@ ORACLE: dict[str, str] = {
               SELECT cod_regsaud, regiao_saude, COUNT(*) FILTER (rare) AS n, COUNT(*) AS total FROM gdp GROUP BY ALL)""",
     ),
     "headcount_distinct": _with("heads", "SELECT * FROM heads"),
+    "headcount_by_sketch": _with("heads", "SELECT *, true AS within FROM heads"),
+    "people_in_two_regions": _with(
+        "placed",
+        """SELECT a.cod_regsaud AS first, b.cod_regsaud AS second, COUNT(b.person) FILTER (b.person = c.person) AS n_shared
+           FROM (SELECT DISTINCT cod_regsaud FROM placed) a
+           JOIN (SELECT DISTINCT cod_regsaud, person FROM placed) b
+               ON CAST(b.cod_regsaud AS INTEGER) = CAST(a.cod_regsaud AS INTEGER) + 1
+           LEFT JOIN (SELECT DISTINCT cod_regsaud, person FROM placed) c
+               ON c.cod_regsaud = a.cod_regsaud AND c.person = b.person
+           GROUP BY ALL""",
+    ),
+    "median_by_sketch": _with(
+        "regions",
+        """SELECT regiao, COUNT(*) AS n, true AS within FROM lineitem JOIN regions ON l_suppkey = s_suppkey GROUP BY ALL""",
+    ),
     "per_1000_density": _with(
         "heads people",
         """SELECT h.cod_regsaud, TOTAL_PROF, populacao,

@@ -22,7 +22,7 @@ from regiometric.functions import (
     strip_lead,
     text_code,
 )
-from regiometric.operators import describe, geo, keys, ranking, relate
+from regiometric.operators import describe, geo, keys, ranking, relate, sketches
 from regiometric.operators import indicators as ind
 from regiometric.operators.territory import attach_dictionary, enrich_rates, region_dimension
 from regiometric.plans import cross_report, occupation_report, region_mart
@@ -90,6 +90,47 @@ def headcount_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return ind.headcount(ind.jobs_per_professional(st.nurses(spark, sf), st.hierarchy(spark, sf)))
 
 
+def _stored_people(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of the professionals per region and month, written and read back."""
+    path = scratch(spark, "people")
+    sources.write_parquet(sketches.headcount_sketches(st.nurses(spark, sf), st.hierarchy(spark, sf)), path)
+    return sources.read_parquet(spark, path)
+
+
+@register
+def headcount_by_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact head counts over all months, and whether those from stored monthly sketches are within their error."""
+    found = sketches.combined_headcount(_stored_people(spark, sf), out="estimate").withColumnRenamed("cod_regsaud", "_region")
+    exact = headcount_distinct(spark, sf)
+    joined = exact.join(found, F.col("cod_regsaud").eqNullSafe(F.col("_region")), "left")
+    off = F.abs(F.col("estimate") - F.col("TOTAL_PROF"))
+    return joined.select("cod_regsaud", "TOTAL_PROF", (off <= 4 * F.col("relative_error") * F.col("TOTAL_PROF")).alias("within"))
+
+
+@register
+def people_in_two_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Professionals seen in a region and in the next one, from sketches; few enough to be exact here."""
+    key = F.col("s_suppkey")
+    pairs = st.table(spark, sf, "supplier").select(
+        st.region_code("s_suppkey").alias("first"), (F.lit(10001) + key).cast("string").alias("second")
+    )
+    return sketches.shared_people(_stored_people(spark, sf), pairs)
+
+
+@register
+def median_by_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Median prices of macro-regions out of sketches of states: whether their true ranks are within the error."""
+    lines = st.table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice")
+    where = st.regions(spark, sf).select("s_suppkey", "regiao", "uf")
+    rows = lines.join(where, F.col("l_suppkey") == F.col("s_suppkey"))
+    states = sketches.quantile_sketches(rows, ["regiao", "uf"], "l_extendedprice")
+    found = sketches.merged_quantiles(states, ["regiao"], {"median": 0.5}).select(F.col("regiao").alias("_regiao"), "median")
+    placed = rows.join(found, F.col("regiao") == F.col("_regiao"))
+    rank = F.count_if(F.col("l_extendedprice") <= F.col("median")) / F.count(F.lit(1))
+    off = F.abs(rank - 0.5)
+    return placed.groupBy("regiao").agg(F.count(F.lit(1)).alias("n"), (off <= 2 * sketches.rank_error()).alias("within"))
+
+
 @register
 def per_1000_density(spark: SparkSession, sf: str) -> DataFrame:
     heads = headcount_distinct(spark, sf)
