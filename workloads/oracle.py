@@ -175,13 +175,13 @@ def _rounded(names: list[str], digits: int = 6) -> str:
     return ", ".join(f"ROUND({name}, {digits}) AS {name}" for name in names)
 
 
-def _share_by_class(copies: str = "1") -> str:
+def _share_by_class(copies: str = "1", where: str = "true") -> str:
     return _with(
         "placed6",
         f"""SELECT cod_regsaud, regiao_saude, class AS categorias_vinculos, n, {_SHARE} AS percentual
             FROM (SELECT *, CAST(SUM(n) OVER (PARTITION BY cod_regsaud, regiao_saude) AS BIGINT) AS total
                   FROM (SELECT cod_regsaud, regiao_saude, class, CAST(SUM({copies}) AS BIGINT) AS n
-                        FROM placed6 GROUP BY ALL))""",
+                        FROM placed6 WHERE {where} GROUP BY ALL))""",
     )
 
 
@@ -474,6 +474,7 @@ def _t(r: str, n: str) -> str:
 ORACLE: dict[str, str] = {
     "share_by_class": _share_by_class(),
     "class_share_with_dictionary": _share_by_class("CASE WHEN bond LIKE '%0300' THEN 2 ELSE 1 END"),
+    "share_from_stored_layout": _share_by_class(where=f"period = '{st.YEAR}{st.MONTH:02d}'"),
     "one_class_of_exact_codes": _with(
         "placed",
         f"""SELECT cod_regsaud, regiao_saude, CASE WHEN n > 0 THEN {_SHARE} END AS percentual_precarizacao FROM (
@@ -734,6 +735,11 @@ ORACLE: dict[str, str] = {
                SELECT row_number() OVER (ORDER BY rate DESC, code) AS Ranking, uf, regiao_saude AS nome_regiao_saude, rate
                FROM enriched)""",
     ),
+    "ranking_published": _with(
+        "enriched",
+        """SELECT row_number() OVER (ORDER BY rate DESC, code) AS Ranking, uf, regiao_saude AS nome_regiao_saude,
+                  ROUND(rate, 6) AS rate FROM enriched""",
+    ),
     "rates_wide": _with("wide", f"SELECT regiao_saude, {_rounded(_OCC)}, uf, regiao FROM wide"),
     "density_wide": _with("densities", f"SELECT UF, {_rounded(_DEN)} FROM densities"),
     "state_medians_vs_density": _with(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import reduce
@@ -15,6 +16,7 @@ from regiometric.functions import (
     classify_prefix,
     municipality_code,
     percent_label,
+    period_equals,
     period_year,
     ratio,
     recode,
@@ -66,6 +68,22 @@ def class_share_with_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return ind.class_share(st.nurses(spark, sf), st.hierarchy(spark, sf), dictionary=dictionary)
 
 
+@register
+def share_from_stored_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Class shares of one month from a registry stored by period and code, joined to the hierarchy without a shuffle."""
+    run = uuid.uuid4().hex
+    registry = sources.write_bucketed(
+        st.nurses(spark, sf), f"registry_{run}", scratch(spark, "registry"), "CODUFMUN", 4, ["COMPETEN"]
+    )
+    places = sources.write_bucketed(
+        st.hierarchy(spark, sf), f"hierarchy_{run}", scratch(spark, "hierarchy"), "cod_municipio", 4
+    )
+    month = registry.filter(period_equals("COMPETEN", st.YEAR, st.MONTH))
+    kind = classify_prefix("VINCULAC").alias("categorias_vinculos")
+    counts = sources.attach_stored(month, places).groupBy(*ind.REGION, kind).agg(F.count(F.lit(1)).alias("n"))
+    return ind.share_within(counts, ind.REGION, out="percentual")
+
+
 @register
 def one_class_of_exact_codes(spark: SparkSession, sf: str) -> DataFrame:
     counts = ind.count_by_region(st.nurses(spark, sf), st.hierarchy(spark, sf), "CODUFMUN", extra_keys=["VINCULAC"])
@@ -348,6 +366,17 @@ def ranking_export(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sources.read_csv(spark, f"{path}/ranking_csv", schema, sep=";"), [RATE])
 
 
+@register
+def ranking_published(spark: SparkSession, sf: str) -> DataFrame:
+    """The full ranking from a report that was published twice and, the second time, written over the first."""
+    path = scratch(spark, "published")
+    columns = enriched(spark, sf).select("uf", "nome_regiao_saude", RATE, "cod_regiao_saude")
+    ranked = ranking.order_number(columns, RATE, ["cod_regiao_saude"]).drop("cod_regiao_saude")
+    sources.publish_report({"ranking": ranked.withColumn(RATE, F.lit(0.0))}, path)
+    sources.publish_report({"ranking": ranked}, path)
+    return rounded(sources.read_published(spark, path, "ranking"), [RATE])
+
+
 @register
 def plot_table_through_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "plot-table")
