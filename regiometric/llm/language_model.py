@@ -4,7 +4,7 @@ The probability of the next word is that of its class times that of the word in
 dealt into classes by frequency and have an output vector each. All other words, unseen ones included, fall into
 classes by their last letters, in which a word has its smoothed share of the training tokens of its class; so the model
 spreads exactly one over all words. The recurrent net is a gated unit trained by truncated back-propagation. It learns from
-all training documents, ``EPOCHS`` times each: learners of about ``LEARNER_TOKENS`` tokens start a round from one net, and
+all training documents in each of ``EPOCHS`` rounds: learners of about ``LEARNER_TOKENS`` tokens start a round from one net, and
 their nets are averaged by tokens. Every count is over all training documents too.
 """
 
@@ -30,11 +30,11 @@ SPELLINGS = 64
 CLASSES = WORD_CLASSES + SPELLINGS
 HIDDEN = 32
 LISTED = 1 << 17
-LEARNER_TOKENS = 1 << 20
+LEARNER_TOKENS = 1 << 22
 CHUNK_TOKENS = 1 << 18
 AVERAGED = 32
-EPOCHS = 3
-STREAMS, WINDOW = 64, 32
+EPOCHS = 1
+STREAMS, WINDOW = 256, 32
 LANES = 512
 END = NEURAL
 _LETTERS = np.zeros(256, dtype=bool)
@@ -172,9 +172,27 @@ def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return h + update * (candidate - h), gates, candidate
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _calm(weights: np.ndarray, bias: np.ndarray, inputs: int) -> bool:
+    """Whether no state, whose parts lie between -1 and 1, can give a logit too large for ``exp``; then none is shifted."""
+    return bool((np.abs(weights).sum(axis=inputs) + np.abs(bias)).max() < 60)
+
+
+def _softmax(logits: np.ndarray, calm: bool = False) -> np.ndarray:
+    """Probabilities of each row, in place of the logits."""
+    if not calm:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _log_share(logits: np.ndarray, picked: np.ndarray, calm: bool = False) -> np.ndarray:
+    """Logarithm of the picked column's probability in each row; the logits are used up."""
+    if not calm:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(logits)), picked]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=1))
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -184,15 +202,17 @@ def class_of(ids: np.ndarray) -> np.ndarray:
 
 def log_probabilities(net: Net, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each id given the state before it; of a rare word, of its class."""
-    kinds = class_of(ids)
-    out = _log_softmax(states @ net.to_class + net.class_bias)[np.arange(len(ids)), kinds].astype(np.float64)
-    order = np.argsort(kinds, kind="stable")
-    bounds = np.searchsorted(kinds[order], np.arange(WORD_CLASSES + 1))
-    for k in range(WORD_CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if len(at):
-            inside = _log_softmax(states[at] @ net.to_word[k].T + net.word_bias[k])
-            out[at] += inside[np.arange(len(at)), ids[at] % CLASS_WORDS]
+    order = np.argsort(ids, kind="stable")  # classes of frequent words are ranges of ids
+    states, sorted_ids = states[order], ids[order]
+    logits = states @ net.to_class + net.class_bias
+    values = _log_share(logits, class_of(sorted_ids), _calm(net.to_class, net.class_bias, 0)).astype(np.float64)
+    bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
+    calm = _calm(net.to_word, net.word_bias, 2)
+    for k in np.flatnonzero(np.diff(bounds)):
+        at = slice(bounds[k], bounds[k + 1])
+        values[at] += _log_share(states[at] @ net.to_word[k].T + net.word_bias[k], sorted_ids[at] % CLASS_WORDS, calm)
+    out = np.empty(len(ids))
+    out[order] = values
     return out
 
 
@@ -213,20 +233,26 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     kinds, scale = class_of(flat), np.float32(1 / flat.size)
     grads = [np.zeros_like(p) for p in net.parameters()]
     g_embed, g_u, g_bias, g_class, g_class_bias, g_word, g_word_bias = grads
-    slope = np.exp(_log_softmax(states @ net.to_class + net.class_bias))
+    slope = _softmax(states @ net.to_class + net.class_bias, _calm(net.to_class, net.class_bias, 0))
     slope[np.arange(len(flat)), kinds] -= 1
     slope *= scale
     g_class += states.T @ slope
     g_class_bias += slope.sum(0)
     back = slope @ net.to_class.T
-    for k in np.unique(kinds[kinds < WORD_CLASSES]):
-        at = np.flatnonzero(kinds == k)
-        slope = np.exp(_log_softmax(states[at] @ net.to_word[k].T + net.word_bias[k]))
-        slope[np.arange(len(at)), flat[at] % CLASS_WORDS] -= 1
+    # words of one class side by side, and within it by id, which serves the embeddings below as well
+    order = np.argsort(flat, kind="stable")
+    bounds = np.searchsorted(flat[order], np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
+    sorted_states, sorted_ids = states[order], flat[order]
+    sorted_back, calm = back[order], _calm(net.to_word, net.word_bias, 2)
+    for k in np.flatnonzero(np.diff(bounds)):
+        at = slice(bounds[k], bounds[k + 1])
+        slope = _softmax(sorted_states[at] @ net.to_word[k].T + net.word_bias[k], calm)
+        slope[np.arange(len(slope)), sorted_ids[at] % CLASS_WORDS] -= 1
         slope *= scale
-        g_word[k] += slope.T @ states[at]
+        g_word[k] += slope.T @ sorted_states[at]
         g_word_bias[k] += slope.sum(0)
-        back[at] += slope @ net.to_word[k]
+        sorted_back[at] += slope @ net.to_word[k]
+    back[order] = sorted_back
     back = back.reshape(steps, streams, HIDDEN)
     carried = np.zeros_like(h)
     inputs = np.empty((steps, streams, 3 * HIDDEN), dtype=np.float32)
@@ -244,8 +270,7 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
         carried = carried * (1 - update) + d_mixed * reset + d_gates @ net.u[:, : 2 * HIDDEN].T + back[t]
         carried = carried * ~fresh[t][:, None]
     flat_inputs = inputs.reshape(-1, 3 * HIDDEN)
-    order = np.argsort(flat, kind="stable")
-    used, first = np.unique(flat[order], return_index=True)
+    used, first = np.unique(sorted_ids, return_index=True)
     g_embed[used] = np.add.reduceat(flat_inputs[order], first, axis=0)
     g_bias += flat_inputs.sum(0)
     return grads, h

@@ -149,9 +149,11 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEYS, "start", "windows")).alias("at")
     )
     distinct = stage(distinct, "contents")
-    # a question of membership, so there are at most as many rows as there are pieces
-    repeated = distinct.filter("copies > 1").select(*content)
-    copied = branching.join(repeated, content, "left_semi").select(*KEYS, "start", "windows")
+    # every branching piece finds the one row of its content, so the join makes a row per piece whatever repeats; those
+    # whose content is held by one piece are left out after it
+    several = F.when(F.col("copies") > 1, F.col("windows"))
+    counted = branching.join(distinct.select(*content, "copies"), content, "left")
+    copied = counted.select(*KEYS, "start", several.alias("windows")).filter("windows > 0")
     opened = distinct.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("at.start", "at.windows", "copies")).alias("opened")
     )
