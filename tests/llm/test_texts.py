@@ -136,9 +136,43 @@ def test_chat_stays_on_built_in_expressions(spark, plan):
 @settings(deadline=None, max_examples=100)
 @given(st.lists(st.sampled_from(["WARC/1.1", "WARC/", "1.1", "\r\n", "é", "x" * 5]), max_size=12).map("".join))
 def test_chunks(payload):
-    parts = list(warc.chunks(payload, most=7))
+    parts = [part.decode() for part in warc.chunks(memoryview(payload.encode()), most=7)]
     assert "".join(parts) == payload and parts
-    assert all(len(p) <= 7 and warc.VERSION not in p for p in parts)
+    assert all(len(p.encode()) <= 7 and warc.VERSION not in p for p in parts)
+
+
+def test_chunk_rows_hold_running_digests_and_little_memory():
+    """A payload of 60 MB beside a small one: the rows put together again, and the peak of what is held."""
+    import tracemalloc
+
+    html = ["é" * (30 << 20), "small", None]
+    given = pa.RecordBatch.from_arrays(
+        [pa.array([0, 1, 2]), pa.array([5, 6, 7]), pa.array(["u"] * 3), pa.array(html)], ["row_id", "page_id", "url", "html"]
+    )
+    wanted = [hashlib.sha256((text or "").encode()) for text in html]
+    tracemalloc.start()
+    again, ends, arrow = [hashlib.sha256() for _ in html], {}, 0
+    for batch in warc._chunk_rows(iter([given])):
+        arrow = max(arrow, batch.nbytes)
+        for row in batch.to_pylist():
+            again[row["row_id"]].update(row["chunk"].encode())
+            assert row["digest"] == again[row["row_id"]].hexdigest() and len(row["chunk"].encode()) <= warc.CHUNK
+            if row["last"]:
+                ends[row["page_id"]] = (row["so_far"], row["digest"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ends == {5 + k: (len((html[k] or "").encode()), wanted[k].hexdigest()) for k in range(3)}
+    assert peak < 40 << 20 and arrow < 8 << 20
+
+
+def test_records_are_decided_without_payloads_and_shuffled_once(spark, plan):
+    rows = [(k, "u", "x" * 150 if k % 3 == 0 else f"{k}" * 100) for k in range(50)]
+    chunked = warc.chunk_table(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    heads = warc.record_heads(chunked)
+    assert {r.page_id: r.refers_to for r in heads.collect()} == {k: 0 if k % 3 == 0 else None for k, _, _ in rows}
+    assert not re.search(r"\bchunk#", plan(heads))
+    whole = plan(warc.archive_rows(chunked, heads))
+    assert len(re.findall(r"hashpartitioning\(row_id", whole)) >= 1 and not re.search(r"Join.*row_id", whole)
 
 
 def test_archives(spark, monkeypatch):
