@@ -2,8 +2,9 @@
 
 A benchmark item is cut into overlapping probes. If a text holds a probe of m characters with at most e edits, the two
 share at least m - q + 1 - q * e of the probe's q-grams, on diagonals (place in the text less place in the probe) that
-lie at most e apart. Shared q-grams are counted in overlapping bands of diagonals, each 2 (e + 1) wide; bands that reach
-the bound are kept and verified by alignment within the band. Nothing within the edit budget is missed.
+lie at most e apart. q is ``Q``, or less for short probes, so that this bound is always 1 or more. Shared q-grams are
+counted in overlapping bands of diagonals, each 2 (e + 1) wide; bands that reach the bound are kept and verified by
+alignment within the band. No probe within the edit budget is missed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regiometric.llm.words import Runs, mix, slices, tidy
@@ -61,24 +63,20 @@ def gram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
     return Runs.of(mix(chars.astype(np.uint64) + np.uint64(1))).hash(starts, q)
 
 
-class Probes:
-    """The q-grams of some probes, and how many of them a region must share with each."""
+class Grams:
+    """The q-grams, of one q, of some probes: where each stands."""
 
-    def __init__(self, items: list, texts: list[str], q: int = Q, edits: float = EDITS):
-        plain = normalise(texts)
-        self.items, self.q = items, q
-        self.chars, self.first = plain.chars, plain.first
-        self.size = np.diff(plain.first)
-        self.edits = np.floor(self.size * edits).astype(np.int64)
-        self.bound = self.size - q + 1 - q * self.edits
-        probe = np.repeat(np.arange(len(texts)), self.size)
-        place = np.arange(len(plain.chars)) - np.repeat(plain.first[:-1], self.size)
-        grams = gram_hashes(plain.chars, q)
-        inside = np.flatnonzero(place[: len(grams)] + q <= self.size[probe[: len(grams)]])
+    def __init__(self, q: int, chars: np.ndarray, first: np.ndarray, size: np.ndarray, mine: np.ndarray):
+        self.q = q
+        probe = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(chars)) - np.repeat(first[:-1], size)
+        grams = gram_hashes(chars, q)
+        probe, place = probe[: len(grams)], place[: len(grams)]
+        inside = np.flatnonzero(mine[probe] & (place + q <= size[probe]))
         order = inside[np.argsort(grams[inside], kind="stable")]
         self.probe, self.place = probe[order], place[order]
-        self.grams, first = np.unique(grams[order], return_index=True)
-        self.runs = np.append(first, len(order))
+        self.grams, runs = np.unique(grams[order], return_index=True)
+        self.runs = np.append(runs, len(order))
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.grams >> np.uint64(64 - FILTER_BITS)] = True
 
@@ -97,6 +95,28 @@ class Probes:
         index = np.repeat(self.runs[found] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
         return np.repeat(text, times), self.probe[index], np.repeat(at, times) - self.place[index]
 
+
+class Probes:
+    """Probes with the edits each may have, their q-grams, and how many of them a region must share with each."""
+
+    def __init__(self, items: list, texts: list[str], numbers: list[int] | None = None, q: int = Q, edits: float = EDITS):
+        plain = normalise(texts)
+        self.items, self.numbers = items, np.array(numbers or [0] * len(items), dtype=np.int64)
+        self.chars, self.first = plain.chars, plain.first
+        self.size = np.diff(plain.first)
+        self.edits = np.floor(self.size * edits).astype(np.int64)
+        of_probe = np.minimum(q, self.size // (self.edits + 1))
+        self.bound = self.size - of_probe + 1 - of_probe * self.edits
+        used = np.unique(of_probe[self.size > 0]).tolist()
+        self.grams = [Grams(n, self.chars, self.first, self.size, of_probe == n) for n in used]
+        self.alone = self.size < q  # found as whole words only
+
+    def hits(self, plain: Plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, probe and diagonal (from the start of the joined texts) of every shared q-gram."""
+        found = [grams.hits(plain) for grams in self.grams]
+        none = (np.zeros(0, dtype=np.int64),) * 3
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else none
+
     def regions(self, plain: Plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, probe and lowest diagonal of the bands that reach the bound."""
         text, probe, diagonal = self.hits(plain)
@@ -112,7 +132,7 @@ class Probes:
         new = np.ones(key.shape[1], dtype=bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         first = np.flatnonzero(new)
-        enough = np.diff(first, append=key.shape[1]) >= np.maximum(self.bound[key[1, first]], 1)
+        enough = np.diff(first, append=key.shape[1]) >= self.bound[key[1, first]]
         text, probe, bands = key[:, first[enough]]
         return text, probe, bands * (self.edits[probe] + 1) - int(self.size.max())
 
@@ -150,6 +170,11 @@ def align(
     return best, ends
 
 
+def _stands_alone(chars: np.ndarray, low: int, high: int, start: int, stop: int) -> bool:
+    """Whether ``chars[start:stop]``, within a text that is ``chars[low:high]``, continues no letter or digit."""
+    return not (start > low and chr(chars[start - 1]).isalnum()) and not (stop < high and chr(chars[stop]).isalnum())
+
+
 def find_leaks(texts: list[str | None], probes: Probes) -> dict[str, np.ndarray]:
     """Text number, probe number, start and stop in the text, and edits of every probe found in a text."""
     plain = normalise(texts)
@@ -175,6 +200,10 @@ def find_leaks(texts: list[str | None], probes: Probes) -> dict[str, np.ndarray]
         _, begins = align(
             plain.chars[::-1], total - ends, total - low, total - ends - most, 2 * (int(most.max()) + 1), turned, size
         )
+        if probes.alone[p].any():
+            given = zip(probes.alone[p].tolist(), low, plain.first[t + 1], total - begins, ends, strict=True)
+            kept = np.array([not alone or _stands_alone(plain.chars, *rest) for alone, *rest in given])
+            t, p, begins, ends, edits = (x[kept] for x in (t, p, begins, ends, edits))
         start = plain.place[total - begins] - plain.offset[t]
         stop = plain.place[ends - 1] + 1 - plain.offset[t]
         for name, value in zip(out, (t, p, start, stop, edits), strict=True):
@@ -199,22 +228,22 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def probe_table(benchmark: DataFrame, item_column: str = "item_id") -> DataFrame:
-    """``item``, ``number``, ``probe``: the distinct probes of all items that are long enough."""
+    """``item``, ``number``, ``probe``: the distinct probes of all items that hold more than white space."""
     items = benchmark.select(F.col(item_column).alias("item"), F.col("text").alias("text"))
     kind = items.schema["item"].dataType.simpleString()
     probes = items.mapInArrow(tidy(_probe_rows), f"item {kind}, number long, probe string")
-    return probes.filter(F.length("probe") >= Q).distinct()
+    return probes.filter("probe <> ''").distinct()
 
 
-def index_parts(probes: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """Items and probes in parts of about ``INDEX_CHARS`` characters, which is what goes to all tasks at a time."""
+def index_parts(probes: DataFrame) -> Iterator[tuple[list, list[str], list[int]]]:
+    """Items, probes and their numbers in parts of about ``INDEX_CHARS`` characters, which is what goes to all tasks at a time."""
     chars = probes.agg(F.sum(F.length("probe")).alias("n")).collect()[0].n or 0
     parts = max(1, -(-chars // INDEX_CHARS))
     for part in range(parts):
         mine = probes.filter(F.pmod(F.xxhash64("probe"), F.lit(parts)) == part).orderBy("item", "number", "probe")
         rows = mine.collect()
         if rows:
-            yield [row.item for row in rows], [row.probe for row in rows]
+            yield [row.item for row in rows], [row.probe for row in rows], [row.number for row in rows]
 
 
 def leaks(
@@ -224,14 +253,15 @@ def leaks(
     item_column: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per document row and benchmark item found in it: ids, ``start`` and ``stop`` in the text, ``edits`` and
-    ``probes`` (how many of the item's probes were found); the place and edits are those of the best probe.
+    """One row per document row, benchmark item and region that holds it: ids, ``start`` and ``stop`` in the text,
+    ``probes`` (how many of the item's probes were found there) and ``edits`` of the best of them.
 
     A probe counts as found within ``EDITS`` of its length, case and white space aside; longer items are found if one
-    of their probes is. Items of fewer than ``Q`` characters, null or empty ones match nothing; repeated items are found
-    as one if their ids agree. A null text holds nothing. Repeated documents give a row each. Other columns are
-    ignored. The index of the probes goes to all tasks; a benchmark of more than ``INDEX_CHARS`` characters is searched
-    in parts of that size.
+    of their probes is. Found places of one item that overlap are one region. Items of fewer than ``Q`` characters are
+    found exactly and as whole words: no letter or digit may go before or after. Null or blank items match nothing;
+    repeated items are found as one if their ids agree. A null text holds nothing. Repeated documents give rows each.
+    Other columns are ignored. The index of the probes goes to all tasks; a benchmark of more than ``INDEX_CHARS``
+    characters is searched in parts of that size.
     """
     probes = probe_table(benchmark, item_column)
     source = docs.select(
@@ -239,7 +269,7 @@ def leaks(
     )
     item_type = probes.select("item").limit(0).toArrow().schema.field("item").type
     kinds = [frame.schema[name].dataType.simpleString() for frame, name in ((source, "id"), (probes, "item"))]
-    schema = "row long, id {}, item {}, start long, stop long, edits long".format(*kinds)
+    schema = "row long, id {}, item {}, probe long, start long, stop long, edits long".format(*kinds)
     found = docs.sparkSession.createDataFrame([], schema)
     for part in index_parts(probes):
 
@@ -250,15 +280,22 @@ def leaks(
                     hit = find_leaks(batch.column("text").to_pylist(), index)
                     at = pa.array(hit["text"])
                     item = pa.array([index.items[k] for k in hit["probe"].tolist()], item_type)
-                    values = [pa.array(hit[k].astype(np.int64)) for k in ("start", "stop", "edits")]
+                    number = index.numbers[hit["probe"]]
+                    values = [pa.array(x.astype(np.int64)) for x in (number, hit["start"], hit["stop"], hit["edits"])]
                     columns = [batch.column("row").take(at), batch.column("id").take(at), item, *values]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "id", "item", "start", "stop", "edits"])
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "id", "item", "probe", "start", "stop", "edits"])
 
         found = found.unionByName(source.mapInArrow(tidy(search), schema))
-    best = F.min(F.struct("edits", "start", "stop")).alias("best")
-    merged = found.groupBy("row", "id", "item").agg(best, F.count_distinct("start").alias("probes"))
+    places = W.partitionBy("row", "item").orderBy("start", "stop", "probe")
+    reached = F.max("stop").over(places.rowsBetween(W.unboundedPreceding, -1))
+    opens = (reached.isNull() | (F.col("start") >= reached)).cast("int")
+    regions = found.withColumn("opens", opens).withColumn("region", F.sum("opens").over(places))
+    merged = regions.groupBy("row", "item", "region").agg(
+        F.first("id").alias("id"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.min("edits").alias("edits"), F.count_distinct("probe").alias("probes"),
+    )
     return merged.select(
-        F.col("id").alias(id_column), F.col("item").alias(item_column), "best.start", "best.stop", "best.edits", "probes"
+        F.col("id").alias(id_column), F.col("item").alias(item_column), "start", "stop", "edits", "probes"
     )
 
 

@@ -59,6 +59,47 @@ def test_leaks_against_whole_alignment(seed, changes, size):
             assert number not in got
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.integers(0, 10_000), st.integers(0, 2), st.integers(1, 24))
+def test_short_items_against_whole_alignment(seed, changes, size):
+    """Probes of any size: exact whole words below ten characters, within the edit budget from there."""
+    rng = np.random.default_rng(seed)
+    probe = prose(seed, 20).lower()[:size].strip()
+    part = list(probe)
+    for _ in range(min(changes, len(part) - 1)):
+        at = int(rng.integers(len(part)))
+        part[at : at + 1] = [[], ["q"], [part[at], "z"]][int(rng.integers(3))]
+    around = prose(seed + 1, 6)
+    texts = [f"{around} {''.join(part)} {around}", f"x{''.join(part)}", f"({probe}).", probe, None, around]
+    found = decontaminate.find_leaks(texts, decontaminate.Probes([7], [probe]))
+    got = defaultdict(lambda: 1 << 30)
+    for text, edits in zip(found["text"].tolist(), found["edits"].tolist(), strict=True):
+        got[text] = min(got[text], edits)
+    for number, text in enumerate(texts):
+        plain = re.sub(r"[ \t\n\v\f\r]+", " ", text or "").lower()
+        if len(probe) < decontaminate.Q:
+            edge = r"[^\W_]"  # a letter or digit
+            assert (number in got) == bool(re.search(f"(?<!{edge}){re.escape(probe)}(?!{edge})", plain))
+            continue
+        wanted = fewest_edits(probe, plain)
+        assert got[number] == (wanted if wanted <= int(len(probe) * decontaminate.EDITS) else 1 << 30)
+
+
+def test_every_region_is_returned(spark):
+    item, other = prose(5, 70), prose(6, 40)
+    near = item[:100] + "#" + item[101:]
+    text = f"{other} {item} {other} {near}\n{item} {other}"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, item), (3, other)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item), (8, "one"), (7, " \n")], "item_id long, text string")
+    rows = decontaminate.leaks(docs, items).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({1: 6, 2: 1}) and {r.item_id for r in rows} == {9}
+    places = sorted({(r.start, r.stop) for r in rows if r.doc_id == 1})
+    assert [text[a:b] for a, b in places] == [item, near, item]
+    assert len({r.probes for r in rows}) == 1 and rows[0].probes > 2
+    one = spark.createDataFrame([(4, "so One, two"), (5, "someone")], "doc_id long, text string")
+    assert [tuple(r) for r in decontaminate.leaks(one, items).collect()] == [(4, 8, 3, 6, 0, 1)]
+
+
 def test_leaks(spark, odd_docs, no_docs):
     inside = prose(2, 300).split()
     items = [(1, " ".join(inside[20:60])), (2, prose(77, 60)), (3, None), (4, ""), (5, "one"), (None, prose(3, 120)),
@@ -66,7 +107,7 @@ def test_leaks(spark, odd_docs, no_docs):
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit(1))
     rows = decontaminate.leaks(odd_docs, benchmark).collect()
     assert Counter((r.doc_id, r.item_id) for r in rows) == Counter(
-        [(k, 1) for k in (1, 2, 3, 4, 200)] + [(None, None), (11, 6)]
+        [(k, 1) for k in (1, 2, 3, 4, 200)] + [(None, None), (11, 6)] + [(k, 5) for k in (8, 9, 10)]
     )
     texts = {r.doc_id: r.text for r in odd_docs.collect()}
     place = next(r for r in rows if r.doc_id == 1)
