@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from regiometric.llm import language_model as lm
 from regiometric.llm import quality, toxicity
@@ -81,17 +83,73 @@ def test_models_of_nothing(spark, no_docs, odd_docs, classify):
     assert len(classify(odd_docs, labels).collect()) == odd_docs.count()
 
 
-def test_grammar():
-    P, I, T, G, N, R = range(6)
+P, I, T, G, N, R = range(6)
+
+
+def readings(part, tape):
+    """Every tape that a transducer writes for a tape, with what counts on the way, by trying all arcs."""
+    found = []
+
+    def go(state, at, out, counts):
+        if at == len(tape):
+            if state not in part.waiting:
+                found.append((tuple(out), counts))
+            return
+        for after, wrote, more in part.moves(state, tape[at]):
+            told = [(kind, at, fixed, scaled) for kind, fixed, scaled in more]
+            go(after, at + 1, [*out, tape[at] if wrote is None else wrote], counts + told)
+
+    go(part.start, 0, [], [])
+    return found
+
+
+@settings(deadline=None, max_examples=150)
+@given(
+    st.lists(st.tuples(st.sampled_from([P, P, I, I, T, G, N, R]), st.sampled_from([1.0, 2.5, 4.0])), max_size=7),
+    st.integers(0, 1000),
+)
+def test_best_path_against_all_paths(clause, seed):
+    """The reading is the best of all that the transducers give one after the other, for any weights of the arcs."""
+    symbols, strengths = [c for c, _ in clause], [s for _, s in clause]
+    prior = np.array(list(toxicity.PRIOR.values()))
+    weights = prior if seed % 3 == 0 else prior + np.random.default_rng(seed).normal(size=len(prior))
+    tapes = [(tuple(symbols), [])]
+    for part in toxicity.PARTS:
+        tapes = [(out, counts + more) for tape, counts in tapes for out, more in readings(part, tape)]
+    of_kind = dict(zip(toxicity.KINDS, weights.tolist(), strict=True))
+    totals = [sum(of_kind[k] * (f + s * strengths[at]) for k, at, f, s in counts) for _, counts in tapes]
+    weight, counted, marks = toxicity.Grammar(weights.tolist()).read(symbols, strengths)
+    assert weight == pytest.approx(max(totals)) == pytest.approx(float(counted @ weights))
+    best = [tape for (tape, _), total in zip(tapes, totals, strict=True) if total > max(totals) - 1e-9]
+    told = [[sum(s for x, s in zip(tape, strengths, strict=True) if toxicity.MARK_OF.get(x) == m) for m in range(5)] for tape in best]
+    assert any(marks.tolist() == pytest.approx(one) for one in told)
 
-    def marks(*symbols):
-        return dict(zip(toxicity.MARKS, toxicity.read_clause(symbols, [2.0 if s == I else 1.0 for s in symbols]), strict=True))
 
-    assert marks(P, P) == dict.fromkeys(toxicity.MARKS, 0)
-    assert marks(G, P, I)["insult"] == 2 and marks(G, P, I)["target"] == 1 and marks(G, P, I)["negated"] == 0
-    assert marks(N, P, I)["negated"] == 2 and marks(N, P, P, P, I)["negated"] == 0
-    assert marks(R, P, P, P, I)["reported"] == 2 and marks(I, R)["reported"] == 0
-    assert marks(T, G)["threat"] == 1
+def test_grammar():
+    machine = toxicity.Grammar()
+
+    def marks(*symbols, strength=3.0):
+        read = machine.read(symbols, [strength if s == I else 1.0 for s in symbols])
+        return {name: n for name, n in zip(toxicity.MARKS, read[2].tolist(), strict=True) if n}
+
+    assert marks() == marks(P, P) == marks(N, R, G) == {}
+    assert marks(P, I) == {"insult": 3} and marks(G, P, I) == marks(I, P, G) == {"abuse": 3}
+    assert marks(G, P, P, P, I) == {"insult": 3} and marks(I, strength=0.5) == {}
+    assert marks(T, G) == marks(G, T) == {"menace": 1} and marks(T, P) == marks(T) == marks(T, P, P, P, P, G) == {}
+    # near a negation a word is denied; a strong word outweighs a negation further off
+    assert marks(N, I) == {"denied": 3} and marks(N, P, P, I) == {"insult": 3} and marks(N, P, P, P, I) == {"insult": 3}
+    assert marks(R, P, I) == {"quoted": 3} and marks(I, R) == {"insult": 3} and marks(N, T, G) == {"denied": 1}
+    assert machine.read([N, I], [1, 3])[0] < machine.read([P, I], [1, 3])[0] < machine.read([G, I], [1, 3])[0]
+
+
+def test_arcs_are_learned():
+    """Denied words in toxic documents raise the weight of their arc, such words in others lower it."""
+    prior = np.array(list(toxicity.PRIOR.values()))
+    at = toxicity.KINDS.index("denied")
+    counted = np.array([toxicity.Grammar().read([N, I], [1.0, 3.0])[1]] * 100 + [np.zeros(len(prior))] * 100)
+    up = toxicity.fit_weights(counted, np.repeat([1.0, 0.0], 100), 1.0, prior)[1]
+    down = toxicity.fit_weights(counted, np.repeat([0.0, 1.0], 100), 1.0, prior)[1]
+    assert up[at] > prior[at] > down[at]
 
 
 def test_language_model(spark, odd_docs):
