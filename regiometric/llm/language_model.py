@@ -32,7 +32,7 @@ HIDDEN = 32
 LISTED = 1 << 17
 LEARNER_TOKENS = 1 << 22
 CHUNK_TOKENS = 1 << 18
-AVERAGED = 32
+AVERAGED = 4
 EPOCHS = 1
 STREAMS, WINDOW = 256, 32
 LANES = 512
@@ -370,17 +370,27 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Means of nets by tokens; no rows give none."""
+def _average(group: pa.Table) -> pa.Table:
+    """Mean of the nets of one group by tokens."""
     sums, total = None, 0
-    for batch in batches:
-        for raw, tokens in zip(batch.column("net"), batch.column("tokens").to_pylist(), strict=True):
-            parts = [p.astype(np.float64) * tokens for p in Net.load(raw.as_py()).parameters()]
-            sums = parts if sums is None else [x + y for x, y in zip(sums, parts, strict=True)]
-            total += tokens
-    if total:
-        net = Net(*[x / total for x in sums])
-        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary()), pa.array([total])], ["net", "tokens"])
+    for raw, tokens in zip(group.column("net"), group.column("tokens").to_pylist(), strict=True):
+        parts = [p.astype(np.float64) * tokens for p in Net.load(raw.as_py()).parameters()]
+        sums = parts if sums is None else [x + y for x, y in zip(sums, parts, strict=True)]
+        total += tokens
+    net = Net(*[x / total for x in sums])
+    return pa.table({
+        "number": group.column("number").slice(0, 1), "net": pa.array([net.dump()], pa.binary()), "tokens": pa.array([total])
+    })
+
+
+def average(nets: DataFrame) -> Net:
+    """Mean of all ``net`` by ``tokens``, through a tree whose every node takes ``AVERAGED`` neighbours by ``number``."""
+    left = nets.agg(F.max("number")).first()[0] + 1
+    while left > 1:
+        left = -(-left // AVERAGED)
+        grouped = nets.withColumn("number", F.floor(F.col("number") / AVERAGED).cast("int")).repartition(left, "number")
+        nets = grouped.groupBy("number").applyInArrow(_average, "number int, net binary, tokens long")
+    return Net.load(nets.select("net").collect()[0].net)
 
 
 def encode(docs: DataFrame, counts: Counts) -> DataFrame:
@@ -444,12 +454,8 @@ def fit(docs: DataFrame, counts: Counts) -> Net:
                 )
 
         dealt = coded.repartition(learners, "mark").sortWithinPartitions("mark").select("ids")
-        nets, left = stage(dealt.mapInArrow(tidy(run), "net binary, tokens long"), "nets"), learners
-        while left > 1:
-            left = -(-left // AVERAGED)
-            nets = nets.repartition(left).mapInArrow(tidy(_average), "net binary, tokens long")
-        last = nets.coalesce(1).mapInArrow(tidy(_average), "net binary, tokens long").collect()
-        net = Net.load(last[0].net)
+        nets = dealt.mapInArrow(tidy(run), "net binary, tokens long").withColumn("number", F.spark_partition_id())
+        net = average(stage(nets, "nets"))
     return net
 
 
