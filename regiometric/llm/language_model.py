@@ -32,10 +32,12 @@ HIDDEN = 32
 LISTED = 1 << 17
 LEARNER_TOKENS = 1 << 22
 CHUNK_TOKENS = 1 << 18
+SCORED_TOKENS = 1 << 22
 AVERAGED = 4
 EPOCHS = 1
 STREAMS, WINDOW = 256, 32
 LANES = 512
+BLOCK = 1024
 END = NEURAL
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -161,15 +163,26 @@ def new_net(counts: Counts, seed: int = 11) -> Net:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    """Logistic function, in place."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Next state, the two gates side by side and the candidate; ``given`` is input and bias of all three."""
-    gates = _sigmoid(given[:, : 2 * HIDDEN] + h @ net.u[:, : 2 * HIDDEN])
+    gates = h @ net.u[:, : 2 * HIDDEN]
+    gates += given[:, : 2 * HIDDEN]
+    _sigmoid(gates)
     update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    candidate = np.tanh(given[:, 2 * HIDDEN :] + (reset * h) @ net.u[:, 2 * HIDDEN :])
-    return h + update * (candidate - h), gates, candidate
+    candidate = (reset * h) @ net.u[:, 2 * HIDDEN :]
+    candidate += given[:, 2 * HIDDEN :]
+    np.tanh(candidate, out=candidate)
+    after = candidate - h
+    after *= update
+    after += h
+    return after, gates, candidate
 
 
 def _calm(weights: np.ndarray, bias: np.ndarray, inputs: int) -> bool:
@@ -200,17 +213,35 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids <= NEURAL, ids // CLASS_WORDS, ids - NEURAL - 1 + WORD_CLASSES)
 
 
-def log_probabilities(net: Net, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _blocks(begin: int, end: int) -> Iterator[slice]:
+    """Ranges of at most ``BLOCK`` rows, whose logits stay in the processor's cache."""
+    for at in range(begin, end, BLOCK):
+        yield slice(at, min(at + BLOCK, end))
+
+
+def calm_outputs(net: Net) -> tuple[bool, bool]:
+    """Of the logits of classes, and of the words in them."""
+    return _calm(net.to_class, net.class_bias, 0), _calm(net.to_word, net.word_bias, 2)
+
+
+def log_probabilities(
+    net: Net, states: np.ndarray, ids: np.ndarray, calm: tuple[bool, bool] | None = None
+) -> np.ndarray:
     """Natural logarithm of the probability of each id given the state before it; of a rare word, of its class."""
+    calm_class, calm_word = calm or calm_outputs(net)
     order = np.argsort(ids, kind="stable")  # classes of frequent words are ranges of ids
     states, sorted_ids = states[order], ids[order]
-    logits = states @ net.to_class + net.class_bias
-    values = _log_share(logits, class_of(sorted_ids), _calm(net.to_class, net.class_bias, 0)).astype(np.float64)
+    kinds, values = class_of(sorted_ids), np.empty(len(ids))
+    for at in _blocks(0, len(ids)):
+        logits = states[at] @ net.to_class
+        logits += net.class_bias
+        values[at] = _log_share(logits, kinds[at], calm_class)
     bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
-    calm = _calm(net.to_word, net.word_bias, 2)
     for k in np.flatnonzero(np.diff(bounds)):
-        at = slice(bounds[k], bounds[k + 1])
-        values[at] += _log_share(states[at] @ net.to_word[k].T + net.word_bias[k], sorted_ids[at] % CLASS_WORDS, calm)
+        for at in _blocks(bounds[k], bounds[k + 1]):
+            logits = states[at] @ net.to_word[k].T
+            logits += net.word_bias[k]
+            values[at] += _log_share(logits, sorted_ids[at] % CLASS_WORDS, calm_word)
     out = np.empty(len(ids))
     out[order] = values
     return out
@@ -223,35 +254,43 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     """
     steps, streams = ids.shape
     befores, gates_of, candidates = [], [], []
+    given = net.embed + net.bias
     for t in range(steps):
         h = h * ~fresh[t][:, None]
         befores.append(h)
-        h, gates, candidate = gated_step(net, net.embed[ids[t]] + net.bias, h)
+        h, gates, candidate = gated_step(net, given[ids[t]], h)
         gates_of.append(gates)
         candidates.append(candidate)
     states, flat = np.concatenate(befores), ids.ravel()
     kinds, scale = class_of(flat), np.float32(1 / flat.size)
     grads = [np.zeros_like(p) for p in net.parameters()]
     g_embed, g_u, g_bias, g_class, g_class_bias, g_word, g_word_bias = grads
-    slope = _softmax(states @ net.to_class + net.class_bias, _calm(net.to_class, net.class_bias, 0))
-    slope[np.arange(len(flat)), kinds] -= 1
-    slope *= scale
-    g_class += states.T @ slope
-    g_class_bias += slope.sum(0)
-    back = slope @ net.to_class.T
+    calm_class, calm_word = calm_outputs(net)
+    back = np.empty_like(states)
+    for at in _blocks(0, len(flat)):
+        slope = states[at] @ net.to_class
+        slope += net.class_bias
+        _softmax(slope, calm_class)
+        slope[np.arange(len(slope)), kinds[at]] -= 1
+        slope *= scale
+        g_class += states[at].T @ slope
+        g_class_bias += slope.sum(0)
+        np.matmul(slope, net.to_class.T, out=back[at])
     # words of one class side by side, and within it by id, which serves the embeddings below as well
     order = np.argsort(flat, kind="stable")
     bounds = np.searchsorted(flat[order], np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
     sorted_states, sorted_ids = states[order], flat[order]
-    sorted_back, calm = back[order], _calm(net.to_word, net.word_bias, 2)
+    sorted_back = back[order]
     for k in np.flatnonzero(np.diff(bounds)):
-        at = slice(bounds[k], bounds[k + 1])
-        slope = _softmax(sorted_states[at] @ net.to_word[k].T + net.word_bias[k], calm)
-        slope[np.arange(len(slope)), sorted_ids[at] % CLASS_WORDS] -= 1
-        slope *= scale
-        g_word[k] += slope.T @ sorted_states[at]
-        g_word_bias[k] += slope.sum(0)
-        sorted_back[at] += slope @ net.to_word[k]
+        for at in _blocks(bounds[k], bounds[k + 1]):
+            slope = sorted_states[at] @ net.to_word[k].T
+            slope += net.word_bias[k]
+            _softmax(slope, calm_word)
+            slope[np.arange(len(slope)), sorted_ids[at] % CLASS_WORDS] -= 1
+            slope *= scale
+            g_word[k] += slope.T @ sorted_states[at]
+            g_word_bias[k] += slope.sum(0)
+            sorted_back[at] += slope @ net.to_word[k]
     back[order] = sorted_back
     back = back.reshape(steps, streams, HIDDEN)
     carried = np.zeros_like(h)
@@ -346,7 +385,7 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """
     out = np.zeros(len(lengths))
     begin = np.cumsum(lengths) - lengths
-    inputs = net.embed + net.bias
+    inputs, calm = net.embed + net.bias, calm_outputs(net)
     longest_first = np.argsort(-lengths, kind="stable")
     for at in range(0, len(lengths), LANES):
         rows = longest_first[at : at + LANES]
@@ -364,7 +403,7 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
                 seen.append(now)
                 lanes.append(n)
                 h = gated_step(net, inputs[now], h)[0]
-            values = log_probabilities(net, np.concatenate(states), np.concatenate(seen))
+            values = log_probabilities(net, np.concatenate(states), np.concatenate(seen), calm)
             lane = np.concatenate([np.arange(n) for n in lanes])
             out[rows] += np.bincount(lane, values, minlength=len(rows))
     return out
@@ -393,32 +432,70 @@ def average(nets: DataFrame) -> Net:
     return Net.load(nets.select("net").collect()[0].net)
 
 
-def encode(docs: DataFrame, counts: Counts) -> DataFrame:
-    """``ids`` (input ids of the words and the end) and ``mark`` (a hash that deals and orders the rows) of every row."""
+def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id") -> DataFrame:
+    """Every row as what learning and scoring need of it; texts are split into words here and not again.
+
+    ``id``, ``held_out``, ``ids`` (input ids of the words and the end), ``known`` (words in the list of frequent ones),
+    ``logs`` (base 10 logarithms of their counts plus one, added up), ``inside`` (shares of rare words in their classes,
+    without the counts of unlisted words), ``unlisted`` (the other words with their times), ``row`` and ``mark`` (a hash
+    that deals and orders the rows).
+    """
+    rest = np.log10(counts.rare_tokens + counts.rare_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                words = find_words(batch.column("text"), lower=True)
-                found = _with_ends(token_ids(words, hash_words(words), counts)[0], words.first)
-                cuts = words.first + np.arange(batch.num_rows + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.astype(np.int16)))], ["ids"]
+                words, n = find_words(batch.column("text"), lower=True), batch.num_rows
+                hashes = hash_words(words)
+                found, at, listed = token_ids(words, hashes, counts)
+                text = words.text_of()
+                logs = np.zeros(len(found))
+                if len(counts.times):
+                    logs[listed] = np.log10(counts.times[at[listed]] + 1.0)
+                rare = found > NEURAL
+                inside = np.where(rare & listed, logs, 0.0)
+                inside[rare] -= rest[found[rare] - NEURAL - 1]
+                values, back = np.unique(hashes[~listed], return_inverse=True)
+                codes, times = np.unique(text[~listed] * max(len(values), 1) + back, return_counts=True)
+                owner = codes // max(len(values), 1)
+                words_of = values[codes - owner * max(len(values), 1)] if len(values) else values
+                cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+                unlisted = pa.StructArray.from_arrays(
+                    [pa.array(words_of.view(np.int64)), pa.array(times.astype(np.int32))], ["word", "n"]
                 )
+                ends = (words.first + np.arange(n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id"),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(_with_ends(found, words.first).astype(np.int16))),
+                        pa.array(np.bincount(text[listed], minlength=n)),
+                        pa.array(np.bincount(text, logs, minlength=n).astype(float)),
+                        pa.array(np.bincount(text, inside, minlength=n).astype(float)),
+                        pa.ListArray.from_arrays(pa.array(cuts), unlisted),
+                    ],
+                    ["id", "ids", "known", "logs", "inside", "unlisted"],
+                )
 
-    coded = docs.select("text").mapInArrow(tidy(run), "ids array<short>")
-    return coded.withColumn("mark", F.xxhash64(F.monotonically_increasing_id(), F.size("ids")))
+    source = docs.select(F.col(id_column).alias("id"), F.col("text").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    parts = "ids array<short>, known long, logs double, inside double, unlisted array<struct<word:long,n:int>>"
+    coded = source.mapInArrow(tidy(run), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
+    return coded.withColumns({"held_out": fold("id", FOLDS) == HELD_OUT, "mark": F.xxhash64("row", F.size("ids"))})
 
 
 def fit(docs: DataFrame, counts: Counts) -> Net:
-    """A net that has learned from every row of ``docs``, ``EPOCHS`` times.
+    """A net that has learned from every row of ``docs``, ``EPOCHS`` times."""
+    return learn_from(stage(encode(docs, counts), "coded"), counts)
+
+
+def learn_from(coded: DataFrame, counts: Counts) -> Net:
+    """A net that has learned from every row of ``coded``, a written result of ``encode``, ``EPOCHS`` times.
 
     Rows are dealt to learners by a hash. Each round every learner goes on from the mean of the last round's nets, which
     is made by a tree of averages; one net a round goes to the driver and back to the tasks.
     """
     learners = max(1, -(-counts.tokens // LEARNER_TOKENS))
     each = -(-counts.tokens // learners)
-    coded = stage(encode(docs, counts), "coded")
     net = new_net(counts)
     for number in range(EPOCHS if counts.tokens else 0):
         given = net.dump()
@@ -459,60 +536,29 @@ def fit(docs: DataFrame, counts: Counts) -> Net:
     return net
 
 
-def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_column: str = "doc_id") -> DataFrame:
-    """One row per document with both scores; see ``score_documents``."""
-    rest = np.log10(counts.rare_tokens + counts.rare_words + 1)
+def score(coded: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_column: str = "doc_id") -> DataFrame:
+    """One row for each of ``coded``, a written result of ``encode``, with both scores; see ``score_documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ids, rows = [], []
-            for batch in slices(whole, "text"):
-                words = find_words(batch.column("text"), lower=True)
-                hashes = hash_words(words)
-                found, at, listed = token_ids(words, hashes, counts)
-                text = words.text_of()
-                logs = np.zeros(len(found))
-                if len(counts.times):
-                    logs[listed] = np.log10(counts.times[at[listed]] + 1.0)
-                rare = found > NEURAL
-                inside = np.where(rare & listed, logs, 0.0)
-                inside[rare] -= rest[found[rare] - NEURAL - 1]
-                n = batch.num_rows
-                values, back = np.unique(hashes[~listed], return_inverse=True)
-                codes, times = np.unique(text[~listed] * max(len(values), 1) + back, return_counts=True)
-                owner = codes // max(len(values), 1)
-                words_of = values[codes - owner * max(len(values), 1)] if len(values) else values
-                cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-                unlisted = pa.StructArray.from_arrays(
-                    [pa.array(words_of.view(np.int64)), pa.array(times.astype(np.int32))], ["word", "n"]
+            sizes = whole.column("ids").value_lengths().to_numpy().astype(np.int64)
+            part_of = (np.cumsum(sizes) - sizes) // SCORED_TOKENS
+            starts = np.flatnonzero(np.diff(part_of, prepend=-1))
+            for begin, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
+                batch, lengths = whole.slice(begin, end - begin), sizes[begin:end]
+                neural = neural_scores(net, batch.column("ids").flatten().to_numpy().astype(np.int32), lengths)
+                neural = neural / np.log(10) + batch.column("inside").to_numpy()
+                kept = [batch.column(name) for name in ("id", "held_out", "row", "known", "logs")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(lengths), pa.array(neural)],
+                    ["id", "held_out", "row", "known", "logs", "n_tokens", "neural"],
                 )
-                rows.append((
-                    batch.column("id"), np.diff(words.first), np.bincount(text[listed], minlength=n),
-                    np.bincount(text, logs, minlength=n).astype(float),
-                    np.bincount(text, inside, minlength=n).astype(float),
-                    pa.ListArray.from_arrays(pa.array(cuts), unlisted),
-                ))
-                ids.append(_with_ends(found, words.first).astype(np.int32))
-            if not rows:
-                continue
-            given, sizes, known, logs, inside, unlisted = zip(*rows, strict=True)
-            lengths = np.concatenate(sizes) + 1
-            neural = neural_scores(net, np.concatenate(ids), lengths) / np.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays(given), pa.array(lengths), pa.array(np.concatenate(known)),
-                    pa.array(np.concatenate(logs)), pa.array(neural + np.concatenate(inside)),
-                    pa.concat_arrays(unlisted),
-                ],
-                ["id", "n_tokens", "known", "logs", "neural", "unlisted"],
-            )
 
-    source = docs.select(F.col(id_column).alias("id"), F.col("text").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    parts = "n_tokens long, known long, logs double, neural double, unlisted array<struct<word:long,n:int>>"
-    scored = source.mapInArrow(tidy(run), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
-    scored = stage(scored, "scored")
-    words = scored.select("row", F.explode("unlisted").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
+    kind = coded.schema["id"].dataType.simpleString()
+    scored = coded.select("id", "held_out", "row", "known", "logs", "inside", "ids").mapInArrow(
+        tidy(run), f"id {kind}, held_out boolean, row long, known long, logs double, n_tokens long, neural double"
+    )
+    words = coded.select("row", F.explode("unlisted").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
     found = words.join(counted.select("word", "n"), "word")
     more = found.groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")
@@ -522,7 +568,7 @@ def score(docs: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_colu
     end_log, spread = float(np.log10(counts.texts + 1)), float(np.log10(counts.tokens + counts.distinct + 1))
     return scored.join(more, "row", "left").select(
         F.col("id").alias(id_column),
-        (fold("id", FOLDS) == HELD_OUT).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(counts.texts > 0))).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
@@ -542,4 +588,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = whole.filter(fold("doc_id", FOLDS) != HELD_OUT)
     counted = stage(count_words(training), "counts")
     counts = summarise(counted, training.select("doc_id").count())
-    return score(whole, counted, counts, fit(training, counts))
+    coded = stage(encode(whole, counts), "coded")
+    return score(coded, counted, counts, learn_from(coded.filter(~F.col("held_out")), counts))
