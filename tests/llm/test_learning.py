@@ -1,5 +1,10 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from regiometric.llm import language_model as lm
 from regiometric.llm.words import find_words, hash_words
@@ -44,3 +49,53 @@ def test_a_learner_takes_every_word_once(monkeypatch):
         taken.clear()
         lm.Learner(net, 0, n).learn(np.arange(n), np.zeros(n, dtype=bool))
         assert sorted(taken) == list(range(n))
+
+
+def test_scores_against_one_word_at_a_time(spark, odd_docs, monkeypatch):
+    """``score`` is the net's share of every word's output, times a rare word's smoothed share of its spelling."""
+    monkeypatch.setattr(lm, "NEURAL", 63)
+    monkeypatch.setattr(lm, "END", 63)
+    monkeypatch.setattr(lm, "WORD_CLASSES", 1)
+    monkeypatch.setattr(lm, "CLASSES", 1 + lm.SPELLINGS)
+    monkeypatch.setattr(lm, "LISTED", 120)  # some rare words are listed, others joined
+    monkeypatch.setattr(lm, "SCORED_TOKENS", 500)
+    nets, learn_from = [], lm.learn_from
+    monkeypatch.setattr(lm, "learn_from", lambda coded, counts: nets.append(learn_from(coded, counts)) or nets[0])
+    extra = spark.createDataFrame([row(9000 + k, prose(k, 40) + " Zq%d" % (k % 4)) for k in range(80)], SCHEMA)
+    docs = odd_docs.unionByName(extra)
+    rows = lm.score_documents(docs).collect()
+    given = [(r.doc_id, r.text or "") for r in docs.collect()]
+
+    def held(doc_id):
+        return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
+
+    def of_words(text):
+        words = find_words(pa.array([text]), lower=True)
+        return list(zip(hash_words(words).view(np.int64).tolist(), lm.spellings(words).tolist(), strict=True))
+
+    split = [(doc_id, of_words(text)) for doc_id, text in given]
+    counts = Counter(w for doc_id, words in split if not held(doc_id) for w in words)
+    frequent = [w for (w, _), _ in sorted(counts.items(), key=lambda x: (-x[1], x[0][0]))][: lm.NEURAL]
+    place = {w: k for k, w in enumerate(frequent)}
+    tokens, distinct = Counter(), Counter()
+    for (w, spelling), n in counts.items():
+        if w not in place:
+            tokens[spelling] += n
+            distinct[spelling] += 1
+    assert len(counts) > 120 and any(counts[w] == 0 for _, words in split for w in words)
+    net, wanted = nets[0], []
+    for doc_id, words in split:
+        h, total = np.zeros((1, lm.HIDDEN), dtype=np.float32), 0.0
+        for word in [*words, None] if len(words) <= 3000 else []:
+            rare = word is not None and word[0] not in place
+            one = lm.END if word is None else lm.NEURAL + 1 + word[1] if rare else place[word[0]]
+            total += lm.log_probabilities(net, h, np.array([one]))[0] / math.log(10)
+            if rare:
+                total += math.log10((counts[word] + 1) / (tokens[word[1]] + distinct[word[1]] + 1))
+            h = lm.gated_step(net, (net.embed + net.bias)[[one]], h)[0]
+        if len(words) <= 3000:
+            wanted.append((doc_id, len(words) + 1, total))
+    got = [(r.doc_id, r.n_tokens, r.score) for r in rows if r.n_tokens <= 3001]
+    order = [sorted(x, key=lambda y: (y[0] is None, y[0] or 0, y[1], y[2])) for x in (wanted, got)]
+    assert [x[:2] for x in order[0]] == [x[:2] for x in order[1]]
+    assert [x[2] for x in order[1]] == pytest.approx([x[2] for x in order[0]], rel=1e-4)
