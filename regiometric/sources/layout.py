@@ -22,11 +22,15 @@ def write_bucketed(
     """Stores ``df`` as table ``name`` in folder ``path``, bucketed and sorted by the first six characters of ``code``.
 
     The characters become the column ``cod6``. Tables with the same number of buckets join on it without a shuffle, and
-    ``partition_by`` (the period) lets a read of one month skip the others. A bucket is read by one task: take so many
-    buckets that one month of the largest fits, and leave the layout out where one code holds a great part of a month.
+    ``partition_by`` (the period) lets a read of one month skip the others. Rows are dealt by period and bucket into
+    partitions of the advisory size, so a writing task is as large for a few buckets as for many; a bucket that is larger
+    becomes several files. A bucket is read by one task: take so many buckets that one month of the largest fits, and
+    leave the layout out where one code holds a great part of a month.
     """
     coded = df.withColumn(CODE, F.substring(text_code(code), 1, 6))
-    dealt = coded.repartition(buckets, CODE)
+    # the bucket as the writer finds it, so that a bucket is spread over no more files than it needs
+    numbered = coded.withColumn("_bucket", F.pmod(F.hash(CODE), F.lit(buckets)))
+    dealt = numbered.hint("rebalance", *partition_by, "_bucket").drop("_bucket")
     writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

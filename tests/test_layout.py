@@ -26,6 +26,29 @@ def test_stored_registry_joins_without_a_shuffle_and_reads_one_month(spark, tmp_
     assert sorted(got, key=str) == sorted(wanted, key=str)
 
 
+def test_writing_tasks_stay_small_however_few_the_buckets(spark, tmp_path):
+    codes = F.format_string("%06d", F.col("id") % 3000)
+    registry = spark.range(0, 120_000, numPartitions=12).select(
+        F.when(F.col("id") % 50 != 0, codes).alias("CODUFMUN"), F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.when(F.col("id") % 2 == 0, "202201").otherwise("202202").alias("COMPETEN"),
+    )
+    for by in ([], ["COMPETEN"]):
+        name, path = f"w_{uuid.uuid4().hex}", str(tmp_path / f"w{len(by)}")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+        try:
+            stored = sources.write_bucketed(registry, name, path, "CODUFMUN", 2, by)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        # the task's number in a file's name: what one task wrote
+        task = F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)
+        written = [row["count"] for row in spark.read.parquet(path).groupBy(task.alias("task")).count().collect()]
+        assert sum(written) == 120_000 and max(written) <= 30_000
+        kept = ["CODUFMUN", "text", "COMPETEN"]
+        assert stored.select(kept).exceptAll(registry.select(kept)).isEmpty()
+        code = stored.filter(F.col("cod6") == "000007").select("CODUFMUN").distinct().collect()
+        assert [row.CODUFMUN for row in code] == ["000007"]
+
+
 def test_a_report_is_replaced_as_a_whole_or_not_at_all(spark, tmp_path):
     path = str(tmp_path)
     with pytest.raises(Exception):
