@@ -13,7 +13,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ def _byte_letters() -> list[str]:
 
 
 BYTE_LETTERS = _byte_letters()
+_NONE, _NO_IDS = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
 
 def binary_pieces(total: int, most: int = MAX_LENGTH) -> np.ndarray:
@@ -47,13 +48,20 @@ def binary_pieces(total: int, most: int = MAX_LENGTH) -> np.ndarray:
     return np.array([most] * whole + bits, dtype=np.int64)
 
 
+def _gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The parts ``flat[begin:begin + length]`` one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+
+
 class WordEncoder:
     """Token ids of texts, with the ids of the words and word parts that were seen lately kept.
 
     Spaces and line feeds always end a token, so a text is encoded word by word with the same result. A new word goes
     through the tokenizer's own normaliser, pre-tokenizer and model; parts that several words share, such as a word with
-    and without a comma, go through the model once. A full store becomes the older one, from which words that turn up
-    again are taken over, and what was not used for a whole turn is forgotten; this changes nothing in the results.
+    and without a comma, go through the model once. Words are numbered over all calls, and the ids of word number n stand
+    in ``flat`` from ``begins[n]`` on. A full store becomes the older one, from which words that turn up again are taken
+    over, and what was not used for a whole turn is forgotten; this changes nothing in the results.
     """
 
     def __init__(self, path: str):
@@ -66,13 +74,14 @@ class WordEncoder:
             raise ValueError("added tokens are expected to hold a vertical bar")
         self.known: dict[str, int] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.flat, self.begins, self.sizes = _NO_IDS, _NONE, _NONE
         self._begin()
 
     def _begin(self) -> None:
-        self.older, self.older_ids = self.known, getattr(self, "ids", [])
-        self.older_parts = self.parts
-        self.known, self.parts = {}, {}
-        self.ids: list[tuple[int, ...]] = []
+        self.older, self.older_parts = self.known, self.parts
+        self.older_flat, self.older_begins, self.older_sizes = self.flat, self.begins, self.sizes
+        self.known, self.parts = defaultdict(count().__next__), {}
+        self.flat, self.begins, self.sizes = _NO_IDS, _NONE, _NONE
 
     def _part(self, piece: str) -> tuple[int, ...]:
         found = self.parts.get(piece)
@@ -110,32 +119,55 @@ class WordEncoder:
             after = self.parts[key] = self._other(tail)
         return self._part(plain) + after
 
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words that no store has; what ``_word`` gives, with the usual case, letters and signs of ASCII, in line."""
+        parts, found = self.parts, []
+        for word, stem in zip(words, [word.rstrip(SIGNS) for word in words], strict=True):
+            if not (stem.isascii() and stem.isalpha()) or "|" in word:
+                found.append(self._word(word))
+                continue
+            plain = stem.lower()
+            ids = parts.get(plain)
+            if ids is None:
+                ids = self._part(plain)
+            if len(stem) < len(word):
+                after = parts.get(" " + word[len(stem) :])
+                ids = self._word(word) if after is None else ids + after
+            found.append(ids)
+        return found
+
     def _learn(self, words: list[str]) -> None:
-        older, older_ids, word_ids = self.older.get, self.older_ids, self._word
-        for at, word in enumerate(words, len(self.ids)):
-            before = older(word)
-            self.ids.append(word_ids(word) if before is None else older_ids[before])
-            self.known[word] = at
+        """Adds words, in the order of their numbers; the older store's ids are copied, others are made."""
+        if not words:
+            return
+        before = np.fromiter(map(self.older.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        fresh = np.flatnonzero(before < 0)
+        made = self._words([words[at] for at in fresh.tolist()])
+        sizes, begins = np.empty_like(before), np.empty_like(before)
+        held = before >= 0
+        sizes[held], begins[held] = self.older_sizes[before[held]], self.older_begins[before[held]]
+        made_sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        sizes[fresh], begins[fresh] = made_sizes, len(self.older_flat) + np.cumsum(made_sizes) - made_sizes
+        made_ids = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(made_sizes.sum()))
+        ids = _gather(np.concatenate([self.older_flat, made_ids]), begins, sizes)
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit numbers."""
+        if len(self.known) > CACHED_WORDS:
+            self._begin()
         split = [text.replace("\n", " ").split(" ") for text in texts]
         counts = np.array([len(words) for words in split])
-        numbers: dict[str, int] = defaultdict(count().__next__)
-        word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
-        distinct = list(numbers)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self._begin()
-            new = distinct
-        self._learn(new)
-        lists = [self.ids[self.known[w]] for w in distinct]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
-        begins, lengths = (np.cumsum(sizes) - sizes)[word], sizes[word]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
-        return np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
+        had = len(self.known)
+        word = np.fromiter(
+            map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum())
+        )
+        self._learn([*islice(reversed(self.known), len(self.known) - had)][::-1])
+        lengths = self.sizes[word]
+        ids = _gather(self.flat, self.begins[word], lengths)
+        return np.split(ids, np.cumsum(lengths)[np.cumsum(counts)[:-1] - 1])
 
 
 def pack_power_of_two(

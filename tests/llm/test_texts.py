@@ -268,6 +268,21 @@ def test_pieces(total):
     assert pieces == sorted(pieces, reverse=True) and all(pieces.count(p) == 1 for p in pieces if p < 2048)
 
 
+def test_usual_words_are_encoded_in_line_and_kept_by_number(monkeypatch):
+    plain = Tokenizer.from_file(TOKENS)
+    encoder, calls, whole = packing.WordEncoder(TOKENS), [], packing.WordEncoder._word
+    monkeypatch.setattr(packing.WordEncoder, "_word", lambda self, word: calls.append(word) or whole(self, word))
+    monkeypatch.setattr(packing, "CACHED_WORDS", 150)
+    for seed in (*range(6), 2, 0):
+        texts = [prose(seed, 120), "", prose(seed + 50, 60).upper() + " Ab, cd, ab| <|x|>\n\u00c9t\u00e9 3a \u03a3\u03a3"]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder.begins) == len(encoder.sizes) == len(encoder.known)
+    # only words of other signs, and the first with each kind of tail, go through the slower way
+    assert not [word for word in calls if word.isascii() and word.isalpha()]
+    assert encoder.older and encoder.known
+
+
 def test_packing(spark, odd_docs, no_docs):
     rows = packing.pack_power_of_two(odd_docs, TOKENS).collect()
     plain = Tokenizer.from_file(TOKENS)
