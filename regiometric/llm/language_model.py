@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.labelled import fold
-from regiometric.llm.words import Words, find_words, hash_words, mix, slices, tidy
+from regiometric.llm.words import Words, find_words, hash_words, mix, slices, text_bytes, tidy
 from regiometric.session import stage
 
 FOLDS, HELD_OUT = 7, 2
@@ -162,22 +162,29 @@ def new_net(counts: Counts, seed: int = 11) -> Net:
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Logistic function, in place."""
-    with np.errstate(over="ignore"):
-        np.exp(np.negative(x, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Weights or inputs of the three gates, side by side in the last axis, as one block a gate."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).swapaxes(0, 1))
 
 
-def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Next state, the two gates side by side and the candidate; ``given`` is input and bias of all three."""
-    gates = h @ net.u[:, : 2 * HIDDEN]
-    gates += given[:, : 2 * HIDDEN]
-    _sigmoid(gates)
-    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    candidate = (reset * h) @ net.u[:, 2 * HIDDEN :]
-    candidate += given[:, 2 * HIDDEN :]
+def _inputs(given: np.ndarray) -> np.ndarray:
+    """Input and bias of the gates as blocks, those of the two logistic gates negated for ``_next_state``."""
+    given = _by_gate(given)
+    np.negative(given[:2], out=given[:2])
+    return given
+
+
+def _next_state(
+    u: np.ndarray, given: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, candidate: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``gated_step`` on blocks by gate; gates and candidate are written into the arrays that are passed for them."""
+    gates = np.matmul(h, u[:2], out=gates)
+    np.subtract(given[:2], gates, out=gates)
+    np.exp(gates, out=gates)  # may be infinite, which gives 0
+    gates += 1
+    update, reset = np.reciprocal(gates, out=gates)
+    candidate = np.matmul(reset * h, u[2], out=candidate)
+    candidate += given[2]
     np.tanh(candidate, out=candidate)
     after = candidate - h
     after *= update
@@ -185,17 +192,32 @@ def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return after, gates, candidate
 
 
+def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Next state, the two gates one after the other and the candidate; ``given`` is input and bias of all three."""
+    with np.errstate(over="ignore"):
+        return _next_state(_by_gate(net.u), _inputs(given), h)
+
+
 def _calm(weights: np.ndarray, bias: np.ndarray, inputs: int) -> bool:
     """Whether no state, whose parts lie between -1 and 1, can give a logit too large for ``exp``; then none is shifted."""
     return bool((np.abs(weights).sum(axis=inputs) + np.abs(bias)).max() < 60)
 
 
-def _softmax(logits: np.ndarray, calm: bool = False) -> np.ndarray:
-    """Probabilities of each row, in place of the logits."""
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], dtype=values.dtype)
+
+
+def _column_sums(values: np.ndarray) -> np.ndarray:
+    return np.ones(len(values), dtype=values.dtype) @ values
+
+
+def _slopes(logits: np.ndarray, picked: np.ndarray, scale: np.float32, calm: bool = False) -> np.ndarray:
+    """``scale`` times the probabilities of each row, less one for the picked column, in place of the logits."""
     if not calm:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits *= (scale / _row_sums(logits))[:, None]
+    logits[np.arange(len(logits)), picked] -= scale
     return logits
 
 
@@ -205,7 +227,7 @@ def _log_share(logits: np.ndarray, picked: np.ndarray, calm: bool = False) -> np
         logits -= logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(logits)), picked]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
+    return own - np.log(_row_sums(logits))
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -213,6 +235,11 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids <= NEURAL, ids // CLASS_WORDS, ids - NEURAL - 1 + WORD_CLASSES)
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Order of input ids, which are small enough to be sorted by their digits."""
+    return np.argsort(ids.astype(np.int16), kind="stable")
+
+
 def _blocks(begin: int, end: int) -> Iterator[slice]:
     """Ranges of at most ``BLOCK`` rows, whose logits stay in the processor's cache."""
     for at in range(begin, end, BLOCK):
@@ -229,7 +256,7 @@ def log_probabilities(
 ) -> np.ndarray:
     """Natural logarithm of the probability of each id given the state before it; of a rare word, of its class."""
     calm_class, calm_word = calm or calm_outputs(net)
-    order = np.argsort(ids, kind="stable")  # classes of frequent words are ranges of ids
+    order = _order(ids)  # classes of frequent words are ranges of ids
     states, sorted_ids = states[order], ids[order]
     kinds, values = class_of(sorted_ids), np.empty(len(ids))
     for at in _blocks(0, len(ids)):
@@ -253,65 +280,79 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     ``fresh`` marks first words of texts, before which the state is zero.
     """
     steps, streams = ids.shape
-    befores, gates_of, candidates = [], [], []
-    given = net.embed + net.bias
+    states, candidates = (np.empty((steps, streams, HIDDEN), dtype=np.float32) for _ in range(2))
+    gates = np.empty((2, steps, streams, HIDDEN), dtype=np.float32)
+    begins = fresh.any(axis=1)
+    u, given = _by_gate(net.u), _inputs(net.embed + net.bias)
     for t in range(steps):
-        h = h * ~fresh[t][:, None]
-        befores.append(h)
-        h, gates, candidate = gated_step(net, given[ids[t]], h)
-        gates_of.append(gates)
-        candidates.append(candidate)
-    states, flat = np.concatenate(befores), ids.ravel()
-    kinds, scale = class_of(flat), np.float32(1 / flat.size)
+        states[t] = h
+        if begins[t]:
+            states[t, fresh[t]] = 0
+        h = _next_state(u, given.take(ids[t], axis=1), states[t], gates[:, t], candidates[t])[0]
+    flat_states, flat = states.reshape(-1, HIDDEN), ids.ravel()
+    scale = np.float32(1 / flat.size)
     grads = [np.zeros_like(p) for p in net.parameters()]
     g_embed, g_u, g_bias, g_class, g_class_bias, g_word, g_word_bias = grads
     calm_class, calm_word = calm_outputs(net)
-    back = np.empty_like(states)
+    # words of one class side by side, and within it by id, which serves the embeddings below as well
+    order = _order(flat)
+    sorted_states, sorted_ids = flat_states[order], flat[order]
+    kinds, sorted_back = class_of(sorted_ids), np.empty_like(sorted_states)
     for at in _blocks(0, len(flat)):
-        slope = states[at] @ net.to_class
+        slope = sorted_states[at] @ net.to_class
         slope += net.class_bias
-        _softmax(slope, calm_class)
-        slope[np.arange(len(slope)), kinds[at]] -= 1
-        slope *= scale
-        g_class += states[at].T @ slope
-        g_class_bias += slope.sum(0)
-        np.matmul(slope, net.to_class.T, out=back[at])
-    # words of one class side by side, and within it by id, which serves the embeddings below as well
-    order = np.argsort(flat, kind="stable")
-    bounds = np.searchsorted(flat[order], np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
-    sorted_states, sorted_ids = states[order], flat[order]
-    sorted_back = back[order]
+        _slopes(slope, kinds[at], scale, calm_class)
+        g_class += sorted_states[at].T @ slope
+        g_class_bias += _column_sums(slope)
+        np.matmul(slope, net.to_class.T, out=sorted_back[at])
+    bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
     for k in np.flatnonzero(np.diff(bounds)):
         for at in _blocks(bounds[k], bounds[k + 1]):
             slope = sorted_states[at] @ net.to_word[k].T
             slope += net.word_bias[k]
-            _softmax(slope, calm_word)
-            slope[np.arange(len(slope)), sorted_ids[at] % CLASS_WORDS] -= 1
-            slope *= scale
+            _slopes(slope, sorted_ids[at] % CLASS_WORDS, scale, calm_word)
             g_word[k] += slope.T @ sorted_states[at]
-            g_word_bias[k] += slope.sum(0)
+            g_word_bias[k] += _column_sums(slope)
             sorted_back[at] += slope @ net.to_word[k]
+    back = np.empty_like(sorted_back)
     back[order] = sorted_back
     back = back.reshape(steps, streams, HIDDEN)
     carried = np.zeros_like(h)
-    inputs = np.empty((steps, streams, 3 * HIDDEN), dtype=np.float32)
+    inputs = np.empty((3, steps, streams, HIDDEN), dtype=np.float32)
+    back_u = np.ascontiguousarray(u.swapaxes(1, 2))
     for t in range(steps - 1, -1, -1):
-        before, candidate = befores[t], candidates[t]
-        update, reset = gates_of[t][:, :HIDDEN], gates_of[t][:, HIDDEN:]
-        d_candidate = carried * update * (1 - candidate**2)
-        d_update = carried * (candidate - before) * update * (1 - update)
-        d_mixed = d_candidate @ net.u[:, 2 * HIDDEN :].T
-        d_reset = d_mixed * before * reset * (1 - reset)
-        d_gates = np.concatenate([d_update, d_reset], axis=1)
-        g_u[:, : 2 * HIDDEN] += before.T @ d_gates
-        g_u[:, 2 * HIDDEN :] += (reset * before).T @ d_candidate
-        inputs[t] = np.concatenate([d_gates, d_candidate], axis=1)
-        carried = carried * (1 - update) + d_mixed * reset + d_gates @ net.u[:, : 2 * HIDDEN].T + back[t]
-        carried = carried * ~fresh[t][:, None]
-    flat_inputs = inputs.reshape(-1, 3 * HIDDEN)
+        before, candidate, update, reset = states[t], candidates[t], gates[0, t], gates[1, t]
+        d_update, d_reset, d_candidate = inputs[:, t]
+        keep = 1 - update
+        through = carried * update
+        np.multiply(candidate, candidate, out=d_candidate)
+        np.subtract(1, d_candidate, out=d_candidate)
+        d_candidate *= through
+        np.subtract(candidate, before, out=d_update)
+        d_update *= through
+        d_update *= keep
+        d_mixed = d_candidate @ back_u[2]
+        d_mixed *= reset
+        np.subtract(1, reset, out=d_reset)
+        d_reset *= before
+        d_reset *= d_mixed
+        carried *= keep
+        carried += d_mixed
+        carried += d_update @ back_u[0]
+        carried += d_reset @ back_u[1]
+        carried += back[t]
+        if begins[t]:
+            carried[fresh[t]] = 0
     used, first = np.unique(sorted_ids, return_index=True)
-    g_embed[used] = np.add.reduceat(flat_inputs[order], first, axis=0)
-    g_bias += flat_inputs.sum(0)
+    for gate, rows in enumerate(inputs.reshape(3, -1, HIDDEN)):
+        part = slice(gate * HIDDEN, (gate + 1) * HIDDEN)
+        for at in _blocks(0, len(flat)):
+            before = flat_states[at]
+            g_u[:, part] += (gates[1].reshape(-1, HIDDEN)[at] * before if gate == 2 else before).T @ rows[at]
+        # two numbers as one complex number, which halves the sums
+        sums = np.add.reduceat(rows[order].view(np.complex64), first, axis=0).view(np.float32)
+        g_embed[used, part] = sums
+        g_bias[part] = _column_sums(sums)
     return grads, h
 
 
@@ -340,19 +381,39 @@ class Learner:
             self._window(ids[place], fresh[place], h[:longer])
 
     def _window(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        grads, h = _window_gradients(self.net, ids, fresh, h)
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
+        with np.errstate(over="ignore"):
+            grads, h = _window_gradients(self.net, ids, fresh, h)
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         self.step += 1
         self.done += ids.size
         step = self.step
         rate = 0.01 * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, step / 20)
-        for p, g, a, b in zip(self.net.parameters(), grads, self.first, self.second, strict=True):
-            g *= min(1.0, 1.0 / max(norm, 1e-9))
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            p -= (rate / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        # sqrt(b / (1 - 0.99**step)) + 1e-8, with the root of the divisor taken out
+        spread = (1 - 0.99**step) ** 0.5
+        length, least = np.float32(rate * spread / (1 - 0.9**step)), np.float32(1e-8 * spread)
+        for whole in zip(self.net.parameters(), grads, self.first, self.second, strict=True):
+            for p, g, a, b in self._parts(*whole):
+                g *= np.float32(0.1) * clip
+                a *= np.float32(0.9)
+                a += g
+                g *= g  # a hundredth of the square
+                b *= np.float32(0.99)
+                b += g
+                np.sqrt(b, out=g)
+                g += least
+                np.divide(a, g, out=g)
+                g *= length
+                p -= g
         return h
 
+    @staticmethod
+    def _parts(*arrays: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """The arrays' numbers in parts that stay in the processor's cache, as views."""
+        flat = [x.reshape(-1) for x in arrays]
+        for at in range(0, len(flat[0]), 1 << 14):
+            yield [x[at : at + (1 << 14)] for x in flat]
+
 
 def train(net: Net, ids: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS) -> Net:
     """One learner over all of ``ids``, ``epochs`` times."""
@@ -385,7 +446,7 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """
     out = np.zeros(len(lengths))
     begin = np.cumsum(lengths) - lengths
-    inputs, calm = net.embed + net.bias, calm_outputs(net)
+    u, inputs, calm = _by_gate(net.u), _inputs(net.embed + net.bias), calm_outputs(net)
     longest_first = np.argsort(-lengths, kind="stable")
     for at in range(0, len(lengths), LANES):
         rows = longest_first[at : at + LANES]
@@ -402,7 +463,8 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
                 states.append(h)
                 seen.append(now)
                 lanes.append(n)
-                h = gated_step(net, inputs[now], h)[0]
+                with np.errstate(over="ignore"):
+                    h = _next_state(u, inputs.take(now, axis=1), h)[0]
             values = log_probabilities(net, np.concatenate(states), np.concatenate(seen), calm)
             lane = np.concatenate([np.arange(n) for n in lanes])
             out[rows] += np.bincount(lane, values, minlength=len(rows))
@@ -432,13 +494,26 @@ def average(nets: DataFrame) -> Net:
     return Net.load(nets.select("net").collect()[0].net)
 
 
-def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id") -> DataFrame:
+def _pack(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Input ids of texts as one run of bytes each, which Spark copies as a whole; ``ends``: n + 1 offsets of the texts."""
+    offsets = (ends * 2).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<i2"))]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Input ids of all texts one after the other, and how many each has."""
+    data, offsets = text_bytes(column)
+    return data.view("<i2"), np.diff(offsets) // 2
+
+
+def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id", packed: bool = False) -> DataFrame:
     """Every row as what learning and scoring need of it; texts are split into words here and not again.
 
     ``id``, ``held_out``, ``ids`` (input ids of the words and the end), ``known`` (words in the list of frequent ones),
     ``logs`` (base 10 logarithms of their counts plus one, added up), ``inside`` (shares of rare words in their classes,
     without the counts of unlisted words), ``unlisted`` (the other words with their times), ``row`` and ``mark`` (a hash
-    that deals and orders the rows).
+    that deals and orders the rows). With ``packed`` the ids are bytes, two for each, as learning and scoring read them.
     """
     rest = np.log10(counts.rare_tokens + counts.rare_words + 1)
 
@@ -464,10 +539,11 @@ def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id") -> DataFr
                     [pa.array(words_of.view(np.int64)), pa.array(times.astype(np.int32))], ["word", "n"]
                 )
                 ends = (words.first + np.arange(n + 1)).astype(np.int32)
+                ids = _with_ends(found, words.first).astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(_with_ends(found, words.first).astype(np.int16))),
+                        _pack(ids, ends) if packed else pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
                         pa.array(np.bincount(text[listed], minlength=n)),
                         pa.array(np.bincount(text, logs, minlength=n).astype(float)),
                         pa.array(np.bincount(text, inside, minlength=n).astype(float)),
@@ -478,18 +554,20 @@ def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id") -> DataFr
 
     source = docs.select(F.col(id_column).alias("id"), F.col("text").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    parts = "ids array<short>, known long, logs double, inside double, unlisted array<struct<word:long,n:int>>"
+    parts = f"ids {'binary' if packed else 'array<short>'}, known long, logs double, inside double"
+    parts += ", unlisted array<struct<word:long,n:int>>"
     coded = source.mapInArrow(tidy(run), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
-    return coded.withColumns({"held_out": fold("id", FOLDS) == HELD_OUT, "mark": F.xxhash64("row", F.size("ids"))})
+    size = (F.octet_length("ids") / 2).cast("int") if packed else F.size("ids")
+    return coded.withColumns({"held_out": fold("id", FOLDS) == HELD_OUT, "mark": F.xxhash64("row", size)})
 
 
 def fit(docs: DataFrame, counts: Counts) -> Net:
     """A net that has learned from every row of ``docs``, ``EPOCHS`` times."""
-    return learn_from(stage(encode(docs, counts), "coded"), counts)
+    return learn_from(stage(encode(docs, counts, packed=True), "coded"), counts)
 
 
 def learn_from(coded: DataFrame, counts: Counts) -> Net:
-    """A net that has learned from every row of ``coded``, a written result of ``encode``, ``EPOCHS`` times.
+    """A net that has learned from every row of ``coded``, a written result of ``encode`` (packed), ``EPOCHS`` times.
 
     Rows are dealt to learners by a hash. Each round every learner goes on from the mean of the last round's nets, which
     is made by a tree of averages; one net a round goes to the driver and back to the tasks.
@@ -507,8 +585,8 @@ def learn_from(coded: DataFrame, counts: Counts) -> Net:
             held, have, total = [], 0, 0
 
             def learn() -> None:
-                sizes = np.concatenate([x.value_lengths().to_numpy() for x in held])
-                ids = np.concatenate([x.flatten().to_numpy() for x in held]).astype(np.int64)
+                sizes = np.concatenate([sizes for _, sizes in held])
+                ids = np.concatenate([ids for ids, _ in held]).astype(np.int64)
                 fresh = np.zeros(len(ids), dtype=bool)
                 fresh[np.cumsum(sizes) - sizes] = True
                 learner.learn(ids, fresh)
@@ -516,9 +594,9 @@ def learn_from(coded: DataFrame, counts: Counts) -> Net:
             for whole in batches:
                 lists = whole.column("ids")
                 for at in range(0, len(lists), 64):
-                    part = lists.slice(at, 64)
+                    part = _unpack(lists.slice(at, 64))
                     held.append(part)
-                    have += len(part.flatten())
+                    have += len(part[0])
                     if have >= CHUNK_TOKENS:
                         learn()
                         held, have, total = [], 0, total + have
@@ -537,16 +615,18 @@ def learn_from(coded: DataFrame, counts: Counts) -> Net:
 
 
 def score(coded: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_column: str = "doc_id") -> DataFrame:
-    """One row for each of ``coded``, a written result of ``encode``, with both scores; see ``score_documents``."""
+    """One row for each of ``coded``, a written result of ``encode`` (packed), with both scores; see ``score_documents``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sizes = whole.column("ids").value_lengths().to_numpy().astype(np.int64)
-            part_of = (np.cumsum(sizes) - sizes) // SCORED_TOKENS
+            ids, sizes = _unpack(whole.column("ids"))
+            ends = np.cumsum(sizes)
+            part_of = (ends - sizes) // SCORED_TOKENS
             starts = np.flatnonzero(np.diff(part_of, prepend=-1))
             for begin, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
                 batch, lengths = whole.slice(begin, end - begin), sizes[begin:end]
-                neural = neural_scores(net, batch.column("ids").flatten().to_numpy().astype(np.int32), lengths)
+                given = ids[ends[begin] - sizes[begin] : ends[end - 1]].astype(np.int64)
+                neural = neural_scores(net, given, lengths)
                 neural = neural / np.log(10) + batch.column("inside").to_numpy()
                 kept = [batch.column(name) for name in ("id", "held_out", "row", "known", "logs")]
                 yield pa.RecordBatch.from_arrays(
@@ -588,5 +668,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = whole.filter(fold("doc_id", FOLDS) != HELD_OUT)
     counted = stage(count_words(training), "counts")
     counts = summarise(counted, training.select("doc_id").count())
-    coded = stage(encode(whole, counts), "coded")
+    coded = stage(encode(whole, counts, packed=True), "coded")
     return score(coded, counted, counts, learn_from(coded.filter(~F.col("held_out")), counts))

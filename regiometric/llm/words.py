@@ -64,10 +64,10 @@ class Words:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and the n + 1 offsets of its texts; a null text is empty."""
+    """Bytes of a string or binary column and the n + 1 offsets of its texts; a null text is empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
     offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if len(column) == 0 or column.buffers()[2] is None:
