@@ -41,6 +41,30 @@ def test_every_training_token_is_learned_from(spark, monkeypatch):
     assert lm.neural_scores(net, ids, lengths).sum() > lm.neural_scores(lm.new_net(counts), ids, lengths).sum()
 
 
+def test_packed_ids_are_the_ids(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text")
+    counts = lm.summarise(lm.count_words(docs), docs.count())
+    plain, packed = lm.encode(docs, counts).toArrow(), lm.encode(docs, counts, packed=True).toArrow()
+    assert plain.drop_columns("ids") == packed.drop_columns("ids")
+    for part in (slice(0, None), slice(3, 7)):
+        wanted, column = plain.column("ids")[part].to_pylist(), packed.column("ids").combine_chunks()[part]
+        ids, sizes = lm._unpack(column)
+        assert sizes.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
+
+
+def test_a_step_by_blocks_is_the_gated_unit():
+    rng = np.random.default_rng(3)
+    net = lm.Net(*[rng.normal(0, 1, shape).astype(np.float32) for shape in ((9, 96), (32, 96), (96,), (1,), (1,), (1,), (1,))])
+    h, given = rng.uniform(-1, 1, (5, 32)).astype(np.float32), rng.normal(0, 1, (5, 96)).astype(np.float32)
+    given[0, :64], given[1, :64] = 500, -500
+    gate = 1 / (1 + np.exp(-np.clip((h @ net.u[:, :64] + given[:, :64]).astype(float), -80, 80)))
+    update, reset = gate[:, :32], gate[:, 32:]
+    candidate = np.tanh((reset * h) @ net.u[:, 64:] + given[:, 64:])
+    after, gates, found = lm.gated_step(net, given, h)
+    assert gates.shape == (2, 5, 32) and all(x.flags.c_contiguous for x in gates)
+    assert np.allclose(after, h + update * (candidate - h), atol=1e-5) and np.allclose(found, candidate, atol=1e-5)
+
+
 def test_a_learner_takes_every_word_once(monkeypatch):
     taken = []
     monkeypatch.setattr(lm.Learner, "_window", lambda self, ids, fresh, h: taken.extend(ids.ravel().tolist()) or h)
