@@ -13,19 +13,21 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice, repeat
+from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiometric.llm.words import slices, tidy
+from regiometric.llm.words import Words, find_words, slices, tidy
 
 MAX_LENGTH = 2048
 END_ID = 1
 CACHED_WORDS = 300_000
-SIGNS = string.punctuation + string.digits
+ADDED = 1 << 16
+MOST_SIGNS = 8
 SIGMA = "\u03a3"  # its lower case depends on its place in a word
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -38,6 +40,14 @@ def _byte_letters() -> list[str]:
 
 
 BYTE_LETTERS = _byte_letters()
+WORD_ENDS, IS_SIGN, IS_LETTER = (np.zeros(256, dtype=bool) for _ in range(3))
+WORD_ENDS[[10, 32]] = True
+IS_SIGN[[*(string.punctuation + string.digits).encode()]] = True
+IS_LETTER[[*string.ascii_letters.encode()]] = True
+LATIN, TIMES, DIVIDED = 0xC3, 0x97, 0xB7  # after the first, bytes above 127 are letters but for the other two
+BYTES_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # the first n of eight bytes
+_PRIME, _PRIME_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_HIGH, _FROM_A, _BEYOND_Z = (np.uint64(0x0101010101010101 * n) for n in (0x80, 0x80 - ord("A"), 0x7F - ord("Z")))
 _NONE, _NO_IDS = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
 
@@ -51,44 +61,143 @@ def binary_pieces(total: int, most: int = MAX_LENGTH) -> np.ndarray:
 def _gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The parts ``flat[begin:begin + length]`` one after the other."""
     ends = np.cumsum(lengths)
-    return flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+    return flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class WordTable:
+    """Numbers of words from 0 on, in the order in which they were added; open addressing on whole arrays.
+
+    A word is two unsigned 64-bit numbers, which hold its bytes (see ``WordEncoder._keys``), so that words are told
+    apart exactly.
+    """
+
+    def __init__(self):
+        self.slots, self.used = np.full(1 << 12, -1, dtype=np.int32), 0
+        self.left, self.right = (np.zeros(1 << 11, dtype=np.uint64) for _ in range(2))
+
+    def __len__(self) -> int:
+        return self.used
+
+    def _home(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = left * _PRIME
+        code ^= code >> np.uint64(29)
+        code += right
+        code *= _PRIME_2
+        code ^= code >> np.uint64(32)
+        code *= _PRIME
+        code >>= np.uint64(65 - len(self.slots).bit_length())
+        return code.astype(np.int64)
+
+    def _room(self, more: int) -> None:
+        """At most half of the slots are taken once ``more`` words have been added."""
+        need = self.used + more
+        if need > len(self.left):
+            more = np.zeros(max(need, 2 * len(self.left)) - len(self.left), dtype=np.uint64)
+            self.left, self.right = np.concatenate([self.left, more]), np.concatenate([self.right, more])
+        if 2 * need > len(self.slots):
+            self.slots = np.full(1 << (2 * need).bit_length(), -1, dtype=np.int32)
+            numbers = np.arange(self.used, dtype=np.int32)
+            at = self._home(self.left[: self.used], self.right[: self.used])
+            while len(numbers):
+                free = self.slots[at] < 0
+                self.slots[at[free]] = numbers[free]
+                going = self.slots[at] != numbers
+                numbers, at = numbers[going], (at[going] + 1) & (len(self.slots) - 1)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those that the table does not hold."""
+        out, going, at = np.full(len(left), -1, dtype=np.int64), np.arange(len(left)), self._home(left, right)
+        while len(going):
+            entry = self.slots[at]
+            same = (entry >= 0) & (self.left[entry] == left[going]) & (self.right[entry] == right[going])
+            out[going[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            going, at = going[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and where those stand that were not held before, in the order of their numbers."""
+        out, fresh = np.empty(len(left), dtype=np.int64), [_NONE]
+        for begin in range(0, len(left), ADDED):
+            part = slice(begin, begin + ADDED)
+            out[part], found = self._add(left[part], right[part])
+            fresh.append(found + begin)
+        return out, np.concatenate(fresh)
+
+    def _add(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._room(len(left))
+        out, fresh = np.empty(len(left), dtype=np.int64), [_NONE]
+        going, at = np.arange(len(left)), self._home(left, right)
+        while len(going):
+            entry = self.slots[at]
+            free = np.flatnonzero(entry < 0)
+            if len(free):  # of the words that want a free slot, the one that is written last gets it
+                self.slots[at[free]] = going[free]
+                free = free[self.slots[at[free]] == going[free]]
+                won, numbers = going[free], self.used + np.arange(len(free))
+                self.slots[at[free]] = numbers
+                self.left[numbers], self.right[numbers] = left[won], right[won]
+                self.used += len(won)
+                fresh.append(won)
+                entry = self.slots[at]
+            same = self.left[entry] == left[going]
+            same &= self.right[entry] == right[going]
+            out[going[same]] = entry[same]
+            on = ~same
+            going, at = going[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out, np.concatenate(fresh)
+
+
+def _lower(codes: np.ndarray) -> np.ndarray:
+    """Eight ASCII bytes in each number, A to Z in lower case."""
+    capital = ((codes + _FROM_A) ^ (codes + _BEYOND_Z)) & _HIGH
+    return codes + (capital >> np.uint64(2))
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer of a file; a Python worker reads it once."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
     """Token ids of texts, with the ids of the words and word parts that were seen lately kept.
 
-    Spaces and line feeds always end a token, so a text is encoded word by word with the same result. A new word goes
-    through the tokenizer's own normaliser, pre-tokenizer and model; parts that several words share, such as a word with
-    and without a comma, go through the model once. Words are numbered over all calls, and the ids of word number n stand
-    in ``flat`` from ``begins[n]`` on. A full store becomes the older one, from which words that turn up again are taken
-    over, and what was not used for a whole turn is forgotten; this changes nothing in the results.
+    Spaces and line feeds always end a token, so a text is encoded word by word with the same result. So does a letter
+    before signs, which therefore are looked up as a word of their own, and ASCII words are looked up in lower case. A
+    new word goes through the tokenizer's own normaliser, pre-tokenizer and model. Words are found by their bytes, many
+    at a time; the ids of word number n of ``known`` stand in ``flat`` from ``begins[n]`` on. A full store becomes the
+    older one, from which words that turn up again are taken over, and what was not used for a whole turn is forgotten;
+    this changes nothing in the results.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marks = [str(token.content) for token in added]
         if any("|" not in mark for mark in self.marks):
             raise ValueError("added tokens are expected to hold a vertical bar")
-        self.known: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.known, self.parts = WordTable(), {}
         self.flat, self.begins, self.sizes = _NO_IDS, _NONE, _NONE
+        self.serial = count()
         self._begin()
 
     def _begin(self) -> None:
         self.older, self.older_parts = self.known, self.parts
         self.older_flat, self.older_begins, self.older_sizes = self.flat, self.begins, self.sizes
-        self.known, self.parts = defaultdict(count().__next__), {}
+        self.known, self.parts = WordTable(), {}
         self.flat, self.begins, self.sizes = _NO_IDS, _NONE, _NONE
+        self.long: dict[bytes, int] = defaultdict(self.serial.__next__)
 
     def _part(self, piece: str) -> tuple[int, ...]:
         found = self.parts.get(piece)
         if found is None:
             found = self.older_parts.get(piece)
             if found is None:
-                found = tuple([token.id for token in self.tokenizer.model.tokenize(piece)])
+                found = tuple([token.id for token in self.model.tokenize(piece)])
             self.parts[piece] = found
         return found
 
@@ -101,50 +210,81 @@ class WordEncoder:
     def _word(self, word: str) -> tuple[int, ...]:
         if "|" in word and any(mark in word for mark in self.marks):
             return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        stem = word.rstrip(SIGNS)
-        if not stem.isalpha() or SIGMA in stem:
+        plain = word.lower()
+        if not word.isalpha() or not plain.isalpha() or SIGMA in word or not unicodedata.is_normalized("NFC", word):
             return self._other(word)
-        plain = stem.lower()
-        if not stem.isascii():
-            if not plain.isalpha() or not unicodedata.is_normalized("NFC", word):
-                return self._other(word)
-            plain = "".join(map(BYTE_LETTERS.__getitem__, plain.encode()))
         # letters only: one piece, as bytes in the tokenizer's alphabet
-        if len(stem) == len(word):
-            return self._part(plain)
-        tail = word[len(stem) :]
-        key = " " + tail  # no piece holds a space
-        after = self.parts.get(key)
-        if after is None:
-            after = self.parts[key] = self._other(tail)
-        return self._part(plain) + after
-
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words that no store has; what ``_word`` gives, with the usual case, letters and signs of ASCII, in line."""
-        parts, found = self.parts, []
-        for word, stem in zip(words, [word.rstrip(SIGNS) for word in words], strict=True):
-            if not (stem.isascii() and stem.isalpha()) or "|" in word:
-                found.append(self._word(word))
-                continue
-            plain = stem.lower()
-            ids = parts.get(plain)
-            if ids is None:
-                ids = self._part(plain)
-            if len(stem) < len(word):
-                after = parts.get(" " + word[len(stem) :])
-                ids = self._word(word) if after is None else ids + after
-            found.append(ids)
-        return found
-
-    def _learn(self, words: list[str]) -> None:
+        return self._part("".join(map(BYTE_LETTERS.__getitem__, plain.encode())))
+
+    def _words(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
+        """Ids of words that no store has; what ``_word`` gives, with the usual case, letters of ASCII, in line."""
+        tokenize = self.model.tokenize
+        return [
+            [token.id for token in tokenize(word.lower())] if word.isascii() and word.isalpha() else self._word(word)
+            for word in words
+        ]
+
+    def _split(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begins and ends of all words, signs after a last letter apart; which of them hold a vertical bar; and the n + 1
+        places at which the texts begin."""
+        data, starts, ends = words.data, words.starts, words.ends
+        barred = np.zeros(len(starts), dtype=bool)
+        barred[np.searchsorted(starts, np.flatnonzero(data == ord("|")), side="right") - 1] = True
+        stems, going = ends.copy(), np.flatnonzero(IS_SIGN[data[ends - 1]] & ~barred)
+        for _ in range(MOST_SIGNS):  # words that end in more signs stay whole
+            stems[going] -= 1
+            going = going[stems[going] > starts[going]]
+            going = going[IS_SIGN[data[stems[going] - 1]]]
+        cut = np.flatnonzero((stems < ends) & (stems > starts))
+        last, before = data[stems[cut] - 1], data[np.maximum(stems[cut] - 2, starts[cut])]
+        cut = cut[IS_LETTER[last] | ((before == LATIN) & (last != TIMES) & (last != DIVIDED) & (last >= 128))]
+        extra = np.zeros(len(starts), dtype=np.int64)
+        extra[cut] = 1
+        place = np.arange(len(starts)) + np.cumsum(extra) - extra
+        begins, stops = (np.empty(len(starts) + len(cut), dtype=np.int64) for _ in range(2))
+        begins[place], stops[place] = starts, ends
+        begins[place[cut] + 1], stops[place[cut] + 1], stops[place[cut]] = stems[cut], ends[cut], stems[cut]
+        held = np.zeros(len(begins), dtype=bool)
+        held[place[barred]] = True
+        return begins, stops, held, np.append(place, len(begins))[words.first]
+
+    def _keys(
+        self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, barred: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two numbers of each word, and which words are long ones.
+
+        Words of at most 16 bytes, none of them 0, are their bytes, those of ASCII in lower case unless they hold a bar. Any
+        others are a number of their own beside eight bytes that UTF-8 does not have.
+        """
+        padded = np.zeros(len(data) + 16, dtype=np.uint8)
+        padded[: len(data)] = data
+        eights = np.ndarray(len(data) + 9, dtype="<u8", buffer=padded, strides=(1,))
+        sizes = ends - begins
+        long = sizes > 16
+        long[np.searchsorted(begins, np.flatnonzero(data == 0), side="right") - 1] = True
+        left, right = eights[begins], np.zeros(len(begins), dtype=np.uint64)
+        left &= BYTES_KEPT[np.minimum(sizes, 8)]
+        more = np.flatnonzero(sizes > 8)
+        right[more] = eights[begins[more] + 8] & BYTES_KEPT[np.minimum(sizes[more] - 8, 8)]
+        ascii_ = ((left | right) & _HIGH) == 0
+        ascii_ &= ~(barred | long)
+        left, right = np.where(ascii_, _lower(left), left), np.where(ascii_, _lower(right), right)
+        long = np.flatnonzero(long)
+        whole = [data[b:e].tobytes() for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True)]
+        left[long] = np.fromiter(map(self.long.__getitem__, whole), dtype=np.uint64, count=len(whole))
+        right[long] = BYTES_KEPT[8]
+        return left, right, long
+
+    def _learn(self, left: np.ndarray, right: np.ndarray, long: dict[int, bytes]) -> None:
         """Adds words, in the order of their numbers; the older store's ids are copied, others are made."""
-        if not words:
-            return
-        before = np.fromiter(map(self.older.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        before = self.older.find(left, right)
         fresh = np.flatnonzero(before < 0)
-        made = self._words([words[at] for at in fresh.tolist()])
-        sizes, begins = np.empty_like(before), np.empty_like(before)
         held = before >= 0
+        words = np.stack([left[fresh], right[fresh]], axis=1).astype("<u8").view("S16").ravel().tolist()
+        for at in np.flatnonzero(right[fresh] == BYTES_KEPT[8]).tolist():
+            words[at] = long[int(left[fresh[at]])]
+        made = self._words([word.decode() for word in words])
+        sizes, begins = np.empty_like(before), np.empty_like(before)
         sizes[held], begins[held] = self.older_sizes[before[held]], self.older_begins[before[held]]
         made_sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
         sizes[fresh], begins[fresh] = made_sizes, len(self.older_flat) + np.cumsum(made_sizes) - made_sizes
@@ -154,20 +294,27 @@ class WordEncoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts as unsigned 32-bit numbers."""
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, as unsigned 32-bit numbers, and how many each text has."""
         if len(self.known) > CACHED_WORDS:
             self._begin()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        counts = np.array([len(words) for words in split])
-        had = len(self.known)
-        word = np.fromiter(
-            map(self.known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum())
-        )
-        self._learn([*islice(reversed(self.known), len(self.known) - had)][::-1])
+        words = find_words(column, spaces=WORD_ENDS)
+        if not len(words.starts):
+            return _NO_IDS, np.zeros(len(column), dtype=np.int64)
+        begins, ends, barred, first = self._split(words)
+        left, right, long = self._keys(words.data, begins, ends, barred)
+        word, fresh = self.known.add(left, right)
+        if len(fresh):
+            pairs = zip(left[long].tolist(), begins[long].tolist(), ends[long].tolist(), strict=True)
+            self._learn(left[fresh], right[fresh], {key: words.data[b:e].tobytes() for key, b, e in pairs})
         lengths = self.sizes[word]
-        ids = _gather(self.flat, self.begins[word], lengths)
-        return np.split(ids, np.cumsum(lengths)[np.cumsum(counts)[:-1] - 1])
+        totals = np.append(0, np.cumsum(lengths))[first]
+        return _gather(self.flat, self.begins[word], lengths), np.diff(totals)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts as unsigned 32-bit numbers."""
+        ids, sizes = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(sizes)[:-1])
 
 
 def pack_power_of_two(
@@ -200,9 +347,11 @@ def pack_power_of_two(
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 rows, starts, lengths, checks, totals, parts = [], [], [], [], [], []
-                texts = [value or "" for value in batch.column("text").to_pylist()]
-                for row, found in enumerate(encoder.encode(texts)):
-                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                found, counts = encoder.encode_column(batch.column("text"))
+                stops = np.cumsum(counts)
+                found = np.insert(found, stops, np.uint32(end_id)).astype("<u4", copy=False)
+                for row, stop in enumerate((stops + np.arange(1, len(stops) + 1)).tolist()):
+                    ids = found[stop - 1 - int(counts[row]) : stop]
                     sizes = binary_pieces(len(ids), most)
                     begin = 0
                     for size in sizes.tolist():

@@ -107,17 +107,20 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         start = stop
 
 
-def find_words(column: pa.Array, lower: bool = False, through: np.ndarray | None = None) -> Words:
+def find_words(
+    column: pa.Array, lower: bool = False, through: np.ndarray | None = None, spaces: np.ndarray = SPACES
+) -> Words:
     """The words of every text, in order; ``lower`` lower-cases the letters A to Z.
 
-    ``through`` gives another byte for each byte before words are looked for, such as a space for every separator.
+    ``through`` gives another byte for each byte before words are looked for, such as a space for every separator;
+    ``spaces`` marks other bytes than usual as separators.
     """
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
     if through is not None:
         data = through[data]
-    inside = ~SPACES[data]
+    inside = ~spaces[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     borders = offsets[1:-1]

@@ -283,6 +283,23 @@ def test_usual_words_are_encoded_in_line_and_kept_by_number(monkeypatch):
     assert encoder.older and encoder.known
 
 
+def test_words_are_looked_up_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "ADDED", 3)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)
+    encoder, plain = packing.WordEncoder(TOKENS), Tokenizer.from_file(TOKENS)
+    encoder.encode(["Word word, WORD!\nword, \u00e9t\u00e9 \u00e9t\u00e9."])
+    assert len(encoder.known) == 5  # two words and three signs, in every case and before any sign
+    odd = ["a", "a\0", "\0", "a\0b", "A\0,", "x" * 8, "x" * 9, "X" * 16, "x" * 17, "Y" * 17 + "...", "z!" * 30, "1" * 9]
+    odd += ["ab" + "9" * 12, "\u00d7.", "\u00f7,", "\u00e9" * 8, "\u00c9" * 8 + "x", "\u00c9,", "don't,", "'s.", "a'S!", "e\u0301."]
+    odd += ["<|endoftext|>", "<|ENDOFTEXT|>,", "A|B", "\u65e5,", "\u03a3.", "\u0391\u03a3\u0301'", "\x01A.", "\tB,", "", "|"]
+    texts = [" ".join(odd), *odd, " ".join(odd[::-1]).upper(), prose(1, 90), *odd]
+    for begin in (0, 1, 5):
+        column = pa.array([None, *texts, ""])[begin:]
+        ids, sizes = encoder.encode_column(column)
+        wanted = [plain.encode(text or "", add_special_tokens=False).ids for text in column.to_pylist()]
+        assert ids.tolist() == [x for found in wanted for x in found] and sizes.tolist() == [len(x) for x in wanted]
+
+
 def test_packing(spark, odd_docs, no_docs):
     rows = packing.pack_power_of_two(odd_docs, TOKENS).collect()
     plain = Tokenizer.from_file(TOKENS)
