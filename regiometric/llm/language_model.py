@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regiometric.llm.labelled import fold
-from regiometric.llm.words import Words, find_words, hash_words, mix, slices, text_bytes, tidy
+from regiometric.llm.words import Words, WordTable, find_words, hash_words, mix, slices, text_bytes, tidy
 from regiometric.session import stage
 
 FOLDS, HELD_OUT = 7, 2
@@ -30,6 +31,8 @@ SPELLINGS = 64
 CLASSES = WORD_CLASSES + SPELLINGS
 HIDDEN = 32
 LISTED = 1 << 17
+RANGES = 18
+COUNTED = 1 << 20
 LEARNER_TOKENS = 1 << 22
 CHUNK_TOKENS = 1 << 18
 SCORED_TOKENS = 1 << 22
@@ -57,35 +60,62 @@ class Counts:
     distinct: int
     texts: int
 
+    @cached_property
+    def ranges(self) -> np.ndarray:
+        """The first word of each range of hashes that begin with the same ``RANGES`` bits."""
+        begins = np.arange(1 << RANGES, dtype=np.uint64) << np.uint64(64 - RANGES)
+        return np.searchsorted(self.words, begins)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash among ``words`` and whether it is there."""
         if not len(self.words):
             return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = self.ranges[(hashes >> np.uint64(64 - RANGES)).view(np.int64)]
+        at = np.minimum(at, len(self.words) - 1, out=at)
+        going = np.flatnonzero(self.words[at] < hashes)
+        while len(going):
+            at[going] += 1
+            going = going[at[going] < len(self.words) - 1]
+            going = going[self.words[at[going]] < hashes[going]]
+        at = np.minimum(at, len(self.words) - 1, out=at)
         return at, self.words[at] == hashes
 
 
-def spellings(words: Words) -> np.ndarray:
-    """Class of each word by its last two letters and whether a sign follows them."""
-    last = words.ends - 1
+def spellings(words: Words, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Class of each word, or of the chosen ones, by its last two letters and whether a sign follows them."""
+    starts, last = words.starts[chosen], words.ends[chosen] - 1
     if not len(last):
         return np.zeros(0, dtype=np.int64)
     sign = ~_LETTERS[words.data[last]]
-    a = np.maximum(last - sign, words.starts)
-    b = np.maximum(a - 1, words.starts)
+    a = np.maximum(last - sign, starts)
+    b = np.maximum(a - 1, starts)
     code = words.data[a].astype(np.uint64) * np.uint64(512) + words.data[b] * np.uint64(2) + sign.astype(np.uint64)
     return (mix(code + np.uint64(1)) % np.uint64(SPELLINGS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of the batches with their times, given out whenever there are ``COUNTED`` of them."""
+    table, spelling, times = WordTable(), [], np.zeros(0, dtype=np.int64)
+
+    def counted() -> pa.RecordBatch:
+        found = pa.array(table.left[: len(table)].view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [found, pa.array(np.concatenate(spelling)), pa.array(times)], ["word", "spelling", "n"]
+        )
+
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             words = find_words(batch.column("text"), lower=True)
-            found, first, times = np.unique(hash_words(words), return_index=True, return_counts=True)
-            spelling = spellings(words)[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), pa.array(spelling), pa.array(times)], ["word", "spelling", "n"]
-            )
+            hashes = hash_words(words)
+            numbers, fresh = table.add(hashes, np.zeros_like(hashes))
+            spelling.append(spellings(words, fresh))
+            before, times = times, np.bincount(numbers, minlength=len(table))
+            times[: len(before)] += before
+            if len(table) >= COUNTED:
+                yield counted()
+                table, spelling, times = WordTable(), [], np.zeros(0, dtype=np.int64)
+    if len(table):
+        yield counted()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -211,28 +241,47 @@ def _column_sums(values: np.ndarray) -> np.ndarray:
     return np.ones(len(values), dtype=values.dtype) @ values
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """``states`` times ``weights``, written into the first numbers of ``room``."""
+    out = room[: len(states) * weights.shape[1]].reshape(len(states), -1)
+    return np.matmul(states, weights, out=out)
+
+
+def _room() -> np.ndarray:
+    """Room for the logits of ``BLOCK`` rows, which is used again from block to block."""
+    return np.empty(BLOCK * max(CLASSES, CLASS_WORDS), dtype=np.float32)
+
+
 def _slopes(logits: np.ndarray, picked: np.ndarray, scale: np.float32, calm: bool = False) -> np.ndarray:
     """``scale`` times the probabilities of each row, less one for the picked column, in place of the logits."""
     if not calm:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits *= (scale / _row_sums(logits))[:, None]
-    logits[np.arange(len(logits)), picked] -= scale
+    logits.reshape(-1)[_flat(logits, picked)] -= scale
     return logits
 
 
-def _log_share(logits: np.ndarray, picked: np.ndarray, calm: bool = False) -> np.ndarray:
-    """Logarithm of the picked column's probability in each row; the logits are used up."""
+def _flat(values: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Place of the picked column of each row among all values."""
+    return np.arange(0, values.size, values.shape[1]) + picked
+
+
+def _log_share(logits: np.ndarray, bias: np.ndarray, picked: np.ndarray, calm: bool = False) -> np.ndarray:
+    """Logarithm of the picked column's probability in each row of logits without bias, which are used up."""
     if not calm:
+        logits += bias
         logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(logits)), picked]
+        bias = np.zeros_like(bias)
+    own = logits.reshape(-1)[_flat(logits, picked)] + bias[picked]
     np.exp(logits, out=logits)
-    return own - np.log(_row_sums(logits))
+    return own - np.log(logits @ np.exp(bias))
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
     """Output class of an input id."""
-    return np.where(ids <= NEURAL, ids // CLASS_WORDS, ids - NEURAL - 1 + WORD_CLASSES)
+    every = np.arange(NEURAL + 1 + SPELLINGS)
+    return np.where(every <= NEURAL, every // CLASS_WORDS, every - NEURAL - 1 + WORD_CLASSES)[ids]
 
 
 def _order(ids: np.ndarray) -> np.ndarray:
@@ -257,18 +306,15 @@ def log_probabilities(
     """Natural logarithm of the probability of each id given the state before it; of a rare word, of its class."""
     calm_class, calm_word = calm or calm_outputs(net)
     order = _order(ids)  # classes of frequent words are ranges of ids
-    states, sorted_ids = states[order], ids[order]
-    kinds, values = class_of(sorted_ids), np.empty(len(ids))
+    states, sorted_ids = states.take(order, axis=0), ids[order]
+    kinds, values, room = class_of(sorted_ids), np.empty(len(ids)), _room()
     for at in _blocks(0, len(ids)):
-        logits = states[at] @ net.to_class
-        logits += net.class_bias
-        values[at] = _log_share(logits, kinds[at], calm_class)
+        values[at] = _log_share(_logits(states[at], net.to_class, room), net.class_bias, kinds[at], calm_class)
     bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
     for k in np.flatnonzero(np.diff(bounds)):
         for at in _blocks(bounds[k], bounds[k + 1]):
-            logits = states[at] @ net.to_word[k].T
-            logits += net.word_bias[k]
-            values[at] += _log_share(logits, sorted_ids[at] % CLASS_WORDS, calm_word)
+            logits = _logits(states[at], net.to_word[k].T, room)
+            values[at] += _log_share(logits, net.word_bias[k], sorted_ids[at] - k * CLASS_WORDS, calm_word)
     out = np.empty(len(ids))
     out[order] = values
     return out
@@ -296,27 +342,30 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     calm_class, calm_word = calm_outputs(net)
     # words of one class side by side, and within it by id, which serves the embeddings below as well
     order = _order(flat)
-    sorted_states, sorted_ids = flat_states[order], flat[order]
-    kinds, sorted_back = class_of(sorted_ids), np.empty_like(sorted_states)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    sorted_states, sorted_ids = flat_states.take(order, axis=0), flat[order]
+    kinds, sorted_back, room = class_of(sorted_ids), np.empty_like(sorted_states), _room()
+    class_rows = np.ascontiguousarray(net.to_class.T)
+    g_class_rows = np.zeros_like(class_rows)
     for at in _blocks(0, len(flat)):
-        slope = sorted_states[at] @ net.to_class
+        slope = _logits(sorted_states[at], net.to_class, room)
         slope += net.class_bias
         _slopes(slope, kinds[at], scale, calm_class)
-        g_class += sorted_states[at].T @ slope
+        g_class_rows += slope.T @ sorted_states[at]
         g_class_bias += _column_sums(slope)
-        np.matmul(slope, net.to_class.T, out=sorted_back[at])
+        np.matmul(slope, class_rows, out=sorted_back[at])
+    g_class += g_class_rows.T
     bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
     for k in np.flatnonzero(np.diff(bounds)):
         for at in _blocks(bounds[k], bounds[k + 1]):
-            slope = sorted_states[at] @ net.to_word[k].T
+            slope = _logits(sorted_states[at], net.to_word[k].T, room)
             slope += net.word_bias[k]
-            _slopes(slope, sorted_ids[at] % CLASS_WORDS, scale, calm_word)
+            _slopes(slope, sorted_ids[at] - k * CLASS_WORDS, scale, calm_word)
             g_word[k] += slope.T @ sorted_states[at]
             g_word_bias[k] += _column_sums(slope)
             sorted_back[at] += slope @ net.to_word[k]
-    back = np.empty_like(sorted_back)
-    back[order] = sorted_back
-    back = back.reshape(steps, streams, HIDDEN)
+    back = sorted_back.take(place, axis=0).reshape(steps, streams, HIDDEN)
     carried = np.zeros_like(h)
     inputs = np.empty((3, steps, streams, HIDDEN), dtype=np.float32)
     back_u = np.ascontiguousarray(u.swapaxes(1, 2))
@@ -343,14 +392,15 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
         carried += back[t]
         if begins[t]:
             carried[fresh[t]] = 0
-    used, first = np.unique(sorted_ids, return_index=True)
+    first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+    used = sorted_ids[first]
     for gate, rows in enumerate(inputs.reshape(3, -1, HIDDEN)):
         part = slice(gate * HIDDEN, (gate + 1) * HIDDEN)
         for at in _blocks(0, len(flat)):
             before = flat_states[at]
-            g_u[:, part] += (gates[1].reshape(-1, HIDDEN)[at] * before if gate == 2 else before).T @ rows[at]
+            g_u[:, part] += (rows[at].T @ (gates[1].reshape(-1, HIDDEN)[at] * before if gate == 2 else before)).T
         # two numbers as one complex number, which halves the sums
-        sums = np.add.reduceat(rows[order].view(np.complex64), first, axis=0).view(np.float32)
+        sums = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
         g_embed[used, part] = sums
         g_bias[part] = _column_sums(sums)
     return grads, h
@@ -426,12 +476,9 @@ def train(net: Net, ids: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS) ->
 def token_ids(words: Words, hashes: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input id of each word, its place in the list of frequent words and whether it is there."""
     at, listed = counts.find(hashes)
-    neural = listed.copy()
-    if len(counts.rank):
-        neural &= counts.rank[at] < NEURAL
-        ids = np.where(neural, counts.rank[at], NEURAL + 1 + spellings(words))
-    else:
-        ids = NEURAL + 1 + spellings(words)
+    ids = np.where(listed, counts.rank[at], NEURAL) if len(counts.rank) else np.full(len(at), NEURAL)
+    rare = np.flatnonzero(ids >= NEURAL)
+    ids[rare] = NEURAL + 1 + spellings(words, rare)
     return ids, at, listed
 
 
@@ -515,7 +562,7 @@ def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id", packed: b
     without the counts of unlisted words), ``unlisted`` (the other words with their times), ``row`` and ``mark`` (a hash
     that deals and orders the rows). With ``packed`` the ids are bytes, two for each, as learning and scoring read them.
     """
-    rest = np.log10(counts.rare_tokens + counts.rare_words + 1)
+    rest, log_times = np.log10(counts.rare_tokens + counts.rare_words + 1), np.log10(counts.times + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -525,11 +572,10 @@ def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id", packed: b
                 found, at, listed = token_ids(words, hashes, counts)
                 text = words.text_of()
                 logs = np.zeros(len(found))
-                if len(counts.times):
-                    logs[listed] = np.log10(counts.times[at[listed]] + 1.0)
-                rare = found > NEURAL
-                inside = np.where(rare & listed, logs, 0.0)
-                inside[rare] -= rest[found[rare] - NEURAL - 1]
+                if len(log_times):
+                    logs[listed] = log_times[at[listed]]
+                rare, inside = np.flatnonzero(found > NEURAL), np.zeros(len(found))
+                inside[rare] = logs[rare] - rest[found[rare] - NEURAL - 1]  # of unlisted words the logarithm is 0 here
                 values, back = np.unique(hashes[~listed], return_inverse=True)
                 codes, times = np.unique(text[~listed] * max(len(values), 1) + back, return_counts=True)
                 owner = codes // max(len(values), 1)

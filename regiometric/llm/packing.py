@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiometric.llm.words import Words, find_words, slices, tidy
+from regiometric.llm.words import Words, WordTable, find_words, slices, tidy
 
 MAX_LENGTH = 2048
 END_ID = 1
 CACHED_WORDS = 300_000
-ADDED = 1 << 16
 MOST_SIGNS = 8
 SIGMA = "\u03a3"  # its lower case depends on its place in a word
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
@@ -46,7 +45,6 @@ IS_SIGN[[*(string.punctuation + string.digits).encode()]] = True
 IS_LETTER[[*string.ascii_letters.encode()]] = True
 LATIN, TIMES, DIVIDED = 0xC3, 0x97, 0xB7  # after the first, bytes above 127 are letters but for the other two
 BYTES_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # the first n of eight bytes
-_PRIME, _PRIME_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _HIGH, _FROM_A, _BEYOND_Z = (np.uint64(0x0101010101010101 * n) for n in (0x80, 0x80 - ord("A"), 0x7F - ord("Z")))
 _NONE, _NO_IDS = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
@@ -64,90 +62,6 @@ def _gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-class WordTable:
-    """Numbers of words from 0 on, in the order in which they were added; open addressing on whole arrays.
-
-    A word is two unsigned 64-bit numbers, which hold its bytes (see ``WordEncoder._keys``), so that words are told
-    apart exactly.
-    """
-
-    def __init__(self):
-        self.slots, self.used = np.full(1 << 12, -1, dtype=np.int32), 0
-        self.left, self.right = (np.zeros(1 << 11, dtype=np.uint64) for _ in range(2))
-
-    def __len__(self) -> int:
-        return self.used
-
-    def _home(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = left * _PRIME
-        code ^= code >> np.uint64(29)
-        code += right
-        code *= _PRIME_2
-        code ^= code >> np.uint64(32)
-        code *= _PRIME
-        code >>= np.uint64(65 - len(self.slots).bit_length())
-        return code.astype(np.int64)
-
-    def _room(self, more: int) -> None:
-        """At most half of the slots are taken once ``more`` words have been added."""
-        need = self.used + more
-        if need > len(self.left):
-            more = np.zeros(max(need, 2 * len(self.left)) - len(self.left), dtype=np.uint64)
-            self.left, self.right = np.concatenate([self.left, more]), np.concatenate([self.right, more])
-        if 2 * need > len(self.slots):
-            self.slots = np.full(1 << (2 * need).bit_length(), -1, dtype=np.int32)
-            numbers = np.arange(self.used, dtype=np.int32)
-            at = self._home(self.left[: self.used], self.right[: self.used])
-            while len(numbers):
-                free = self.slots[at] < 0
-                self.slots[at[free]] = numbers[free]
-                going = self.slots[at] != numbers
-                numbers, at = numbers[going], (at[going] + 1) & (len(self.slots) - 1)
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The number of each word, -1 for those that the table does not hold."""
-        out, going, at = np.full(len(left), -1, dtype=np.int64), np.arange(len(left)), self._home(left, right)
-        while len(going):
-            entry = self.slots[at]
-            same = (entry >= 0) & (self.left[entry] == left[going]) & (self.right[entry] == right[going])
-            out[going[same]] = entry[same]
-            on = (entry >= 0) & ~same
-            going, at = going[on], (at[on] + 1) & (len(self.slots) - 1)
-        return out
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each word, and where those stand that were not held before, in the order of their numbers."""
-        out, fresh = np.empty(len(left), dtype=np.int64), [_NONE]
-        for begin in range(0, len(left), ADDED):
-            part = slice(begin, begin + ADDED)
-            out[part], found = self._add(left[part], right[part])
-            fresh.append(found + begin)
-        return out, np.concatenate(fresh)
-
-    def _add(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self._room(len(left))
-        out, fresh = np.empty(len(left), dtype=np.int64), [_NONE]
-        going, at = np.arange(len(left)), self._home(left, right)
-        while len(going):
-            entry = self.slots[at]
-            free = np.flatnonzero(entry < 0)
-            if len(free):  # of the words that want a free slot, the one that is written last gets it
-                self.slots[at[free]] = going[free]
-                free = free[self.slots[at[free]] == going[free]]
-                won, numbers = going[free], self.used + np.arange(len(free))
-                self.slots[at[free]] = numbers
-                self.left[numbers], self.right[numbers] = left[won], right[won]
-                self.used += len(won)
-                fresh.append(won)
-                entry = self.slots[at]
-            same = self.left[entry] == left[going]
-            same &= self.right[entry] == right[going]
-            out[going[same]] = entry[same]
-            on = ~same
-            going, at = going[on], (at[on] + 1) & (len(self.slots) - 1)
-        return out, np.concatenate(fresh)
-
-
 def _lower(codes: np.ndarray) -> np.ndarray:
     """Eight ASCII bytes in each number, A to Z in lower case."""
     capital = ((codes + _FROM_A) ^ (codes + _BEYOND_Z)) & _HIGH

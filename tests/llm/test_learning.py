@@ -52,6 +52,36 @@ def test_packed_ids_are_the_ids(spark, odd_docs):
         assert sizes.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
 
 
+def test_a_task_counts_a_word_once(monkeypatch):
+    texts = [*[prose(k % 3, 4000) for k in range(160)], None, "", *[prose(k) for k in range(9)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert batch.nbytes > 4 << 20  # several slices
+    words = find_words(batch.column("text"), lower=True)
+    hashes, spelling = hash_words(words), lm.spellings(words)
+    wanted = Counter(zip(hashes.view(np.int64).tolist(), spelling.tolist(), strict=True))
+    rows = [tuple(x.values()) for part in lm._count([batch, batch]) for x in part.to_pylist()]
+    assert len(rows) == len(wanted) and {(w, s): n for w, s, n in rows} == {k: 2 * n for k, n in wanted.items()}
+    monkeypatch.setattr(lm, "COUNTED", 50)
+    parts, found = list(lm._count([batch, batch])), Counter()
+    for part in parts:
+        for x in part.to_pylist():
+            found[x["word"], x["spelling"]] += x["n"]
+    assert len(parts) > 2 and found == {k: 2 * n for k, n in wanted.items()}
+    assert list(lm._count([batch.slice(160, 2)])) == []
+
+
+def test_words_are_found_in_the_list():
+    rng = np.random.default_rng(5)
+    far = np.array([0, 1, (1 << 64) - 1, (1 << 64) - 2, 1 << 63], dtype=np.uint64)
+    near = np.uint64(7 << 50) + rng.integers(0, 300, 200).astype(np.uint64)  # many with the same first bits
+    for words in (near[:0], far[:1], far[2:3], np.concatenate([near, far, rng.integers(0, 1 << 63, 5000).astype(np.uint64)])):
+        words = np.unique(words)
+        counts = lm.Counts(words, np.ones(len(words)), np.arange(len(words)), np.zeros(64), np.zeros(64), 1, 1, 1)
+        asked = np.concatenate([words, words + np.uint64(1), words - np.uint64(1), near + np.uint64(1), far])
+        at, listed = counts.find(asked)
+        assert listed.tolist() == np.isin(asked, words).tolist() and (words[at[listed]] == asked[listed]).all()
+
+
 def test_a_step_by_blocks_is_the_gated_unit():
     rng = np.random.default_rng(3)
     net = lm.Net(*[rng.normal(0, 1, shape).astype(np.float32) for shape in ((9, 96), (32, 96), (96,), (1,), (1,), (1,), (1,))])

@@ -284,7 +284,7 @@ def test_usual_words_are_encoded_in_line_and_kept_by_number(monkeypatch):
 
 
 def test_words_are_looked_up_by_their_bytes(monkeypatch):
-    monkeypatch.setattr(packing, "ADDED", 3)
+    monkeypatch.setattr("regiometric.llm.words.ADDED", 3)
     monkeypatch.setattr(packing, "CACHED_WORDS", 60)
     encoder, plain = packing.WordEncoder(TOKENS), Tokenizer.from_file(TOKENS)
     encoder.encode(["Word word, WORD!\nword, \u00e9t\u00e9 \u00e9t\u00e9."])
