@@ -41,6 +41,7 @@ EPOCHS = 1
 STREAMS, WINDOW = 256, 32
 LANES = 512
 BLOCK = 1024
+LONG_RUN = 12
 END = NEURAL
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -120,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``word`` (a 64-bit hash), ``spelling`` and ``n`` of every distinct word of ``docs``."""
-    rows = docs.select("text").mapInArrow(tidy(_count), "word long, spelling long, n long")
+    rows = docs.select("text").mapInArrow(tidy(_count, steady=True), "word long, spelling long, n long")
     return rows.groupBy("word").agg(F.min("spelling").alias("spelling"), F.sum("n").alias("n"))
 
 
@@ -197,25 +198,36 @@ def _by_gate(weights: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).swapaxes(0, 1))
 
 
-def _inputs(given: np.ndarray) -> np.ndarray:
-    """Input and bias of the gates as blocks, those of the two logistic gates negated for ``_next_state``."""
-    given = _by_gate(given)
-    np.negative(given[:2], out=given[:2])
-    return given
+def _for_exp(weights: np.ndarray) -> np.ndarray:
+    """``_by_gate`` for ``_next_state``: those of the logistic gates negated, those of the candidate also doubled."""
+    out = _by_gate(weights)
+    np.negative(out, out=out)
+    out[2] *= 2  # tanh(x) is 2 / (1 + exp(-2 x)) - 1
+    return out
+
+
+def _logistic(values: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(values)), in place."""
+    np.exp(values, out=values)  # may be infinite, which gives 0
+    values += 1
+    return np.reciprocal(values, out=values)
 
 
 def _next_state(
-    u: np.ndarray, given: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, candidate: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``gated_step`` on blocks by gate; gates and candidate are written into the arrays that are passed for them."""
+    u: np.ndarray, given: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, mixed: np.ndarray | None = None,
+    candidate: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``gated_step`` on blocks by gate made by ``_for_exp``; gates, the state times the reset gate and the candidate are
+    written into the arrays that are passed for them."""
     gates = np.matmul(h, u[:2], out=gates)
-    np.subtract(given[:2], gates, out=gates)
-    np.exp(gates, out=gates)  # may be infinite, which gives 0
-    gates += 1
-    update, reset = np.reciprocal(gates, out=gates)
-    candidate = np.matmul(reset * h, u[2], out=candidate)
+    gates += given[:2]
+    update, reset = _logistic(gates)
+    mixed = np.multiply(reset, h, out=mixed)
+    candidate = np.matmul(mixed, u[2], out=candidate)
     candidate += given[2]
-    np.tanh(candidate, out=candidate)
+    _logistic(candidate)
+    candidate *= 2
+    candidate -= 1
     after = candidate - h
     after *= update
     after += h
@@ -225,7 +237,7 @@ def _next_state(
 def gated_step(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Next state, the two gates one after the other and the candidate; ``given`` is input and bias of all three."""
     with np.errstate(over="ignore"):
-        return _next_state(_by_gate(net.u), _inputs(given), h)
+        return _next_state(_for_exp(net.u), _for_exp(given), h)
 
 
 def _calm(weights: np.ndarray, bias: np.ndarray, inputs: int) -> bool:
@@ -295,6 +307,54 @@ def _blocks(begin: int, end: int) -> Iterator[slice]:
         yield slice(at, min(at + BLOCK, end))
 
 
+def _word_blocks(sorted_ids: np.ndarray) -> Iterator[tuple[slice, list[tuple[int, slice]], np.ndarray]]:
+    """Blocks of the frequent words among ids in order: the rows, those of each class in them, and places in the class."""
+    bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
+    class_at = np.repeat(np.arange(WORD_CLASSES), np.diff(bounds))
+    picked = sorted_ids[: bounds[-1]] - class_at * CLASS_WORDS
+    for at in _blocks(0, int(bounds[-1])):
+        pieces = [
+            (k, slice(max(int(bounds[k]), at.start), min(int(bounds[k + 1]), at.stop)))
+            for k in range(class_at[at.start], class_at[at.stop - 1] + 1)
+        ]
+        yield at, [(k, rows) for k, rows in pieces if rows.stop > rows.start], picked[at]
+
+
+def _word_logits(states: np.ndarray, net: Net, at: slice, pieces: list[tuple[int, slice]], room: np.ndarray) -> np.ndarray:
+    """Logits without bias of the words in its class for each row of a block, written into ``room``."""
+    out = room[: (at.stop - at.start) * CLASS_WORDS].reshape(-1, CLASS_WORDS)
+    for k, rows in pieces:
+        np.matmul(states[rows], net.to_word[k].T, out=out[rows.start - at.start : rows.stop - at.start])
+    return out
+
+
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left.T @ right`` of many rows, as the sum over blocks."""
+    whole = len(left) // BLOCK * BLOCK
+    blocks = (x[:whole].reshape(-1, BLOCK, x.shape[1]) for x in (left, right))
+    return np.matmul(next(blocks).swapaxes(1, 2), next(blocks)).sum(axis=0) + left[whole:].T @ right[whole:]
+
+
+def _run_sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` (gate by row) over runs of ``order``, of which ``first`` has the first places.
+
+    A long run is added up at once; of the short ones the first rows of all runs, then their second rows and so on.
+    """
+    sizes = np.diff(first, append=len(order))
+    out = rows.take(order[first], axis=1)
+    by_size = np.argsort(-sizes, kind="stable")
+    many = np.searchsorted(-sizes[by_size], -np.arange(LONG_RUN + 1), side="left")  # runs longer than each number
+    for k in range(1, LONG_RUN):
+        runs = by_size[many[LONG_RUN] : many[k]]
+        if len(runs):
+            out[:, runs] += rows.take(order[first[runs] + k], axis=1)
+    ones = np.ones(int(sizes.max(initial=0)), dtype=rows.dtype)
+    for run in by_size[: many[LONG_RUN]]:
+        begin, size = first[run], sizes[run]
+        np.matmul(ones[:size], rows.take(order[begin : begin + size], axis=1), out=out[:, run])
+    return out
+
+
 def calm_outputs(net: Net) -> tuple[bool, bool]:
     """Of the logits of classes, and of the words in them."""
     return _calm(net.to_class, net.class_bias, 0), _calm(net.to_word, net.word_bias, 2)
@@ -310,11 +370,11 @@ def log_probabilities(
     kinds, values, room = class_of(sorted_ids), np.empty(len(ids)), _room()
     for at in _blocks(0, len(ids)):
         values[at] = _log_share(_logits(states[at], net.to_class, room), net.class_bias, kinds[at], calm_class)
-    bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
-    for k in np.flatnonzero(np.diff(bounds)):
-        for at in _blocks(bounds[k], bounds[k + 1]):
-            logits = _logits(states[at], net.to_word[k].T, room)
-            values[at] += _log_share(logits, net.word_bias[k], sorted_ids[at] - k * CLASS_WORDS, calm_word)
+    for at, pieces, picked in _word_blocks(sorted_ids):
+        logits = _word_logits(states, net, at, pieces, room)
+        for k, rows in pieces:
+            part = slice(rows.start - at.start, rows.stop - at.start)
+            values[rows] += _log_share(logits[part], net.word_bias[k], picked[part], calm_word)
     out = np.empty(len(ids))
     out[order] = values
     return out
@@ -326,15 +386,15 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
     ``fresh`` marks first words of texts, before which the state is zero.
     """
     steps, streams = ids.shape
-    states, candidates = (np.empty((steps, streams, HIDDEN), dtype=np.float32) for _ in range(2))
+    states, mixed, candidates = (np.empty((steps, streams, HIDDEN), dtype=np.float32) for _ in range(3))
     gates = np.empty((2, steps, streams, HIDDEN), dtype=np.float32)
     begins = fresh.any(axis=1)
-    u, given = _by_gate(net.u), _inputs(net.embed + net.bias)
+    u, given = _for_exp(net.u), _for_exp(net.embed + net.bias)
     for t in range(steps):
         states[t] = h
         if begins[t]:
             states[t, fresh[t]] = 0
-        h = _next_state(u, given.take(ids[t], axis=1), states[t], gates[:, t], candidates[t])[0]
+        h = _next_state(u, given.take(ids[t], axis=1), states[t], gates[:, t], mixed[t], candidates[t])[0]
     flat_states, flat = states.reshape(-1, HIDDEN), ids.ravel()
     scale = np.float32(1 / flat.size)
     grads = [np.zeros_like(p) for p in net.parameters()]
@@ -356,19 +416,21 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
         g_class_bias += _column_sums(slope)
         np.matmul(slope, class_rows, out=sorted_back[at])
     g_class += g_class_rows.T
-    bounds = np.searchsorted(sorted_ids, np.arange(WORD_CLASSES + 1) * CLASS_WORDS)
-    for k in np.flatnonzero(np.diff(bounds)):
-        for at in _blocks(bounds[k], bounds[k + 1]):
-            slope = _logits(sorted_states[at], net.to_word[k].T, room)
-            slope += net.word_bias[k]
-            _slopes(slope, sorted_ids[at] - k * CLASS_WORDS, scale, calm_word)
-            g_word[k] += slope.T @ sorted_states[at]
-            g_word_bias[k] += _column_sums(slope)
-            sorted_back[at] += slope @ net.to_word[k]
+    for at, pieces, picked in _word_blocks(sorted_ids):
+        slope = _word_logits(sorted_states, net, at, pieces, room)
+        for k, rows in pieces:
+            slope[rows.start - at.start : rows.stop - at.start] += net.word_bias[k]
+        _slopes(slope, picked, scale, calm_word)
+        for k, rows in pieces:
+            part = slope[rows.start - at.start : rows.stop - at.start]
+            g_word[k] += part.T @ sorted_states[rows]
+            g_word_bias[k] += _column_sums(part)
+            sorted_back[rows] += part @ net.to_word[k]
     back = sorted_back.take(place, axis=0).reshape(steps, streams, HIDDEN)
     carried = np.zeros_like(h)
     inputs = np.empty((3, steps, streams, HIDDEN), dtype=np.float32)
-    back_u = np.ascontiguousarray(u.swapaxes(1, 2))
+    back_u = np.ascontiguousarray(_by_gate(net.u).swapaxes(1, 2))
+    through_gates = np.empty((2, streams, HIDDEN), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
         before, candidate, update, reset = states[t], candidates[t], gates[0, t], gates[1, t]
         d_update, d_reset, d_candidate = inputs[:, t]
@@ -382,27 +444,25 @@ def _window_gradients(net: Net, ids: np.ndarray, fresh: np.ndarray, h: np.ndarra
         d_update *= keep
         d_mixed = d_candidate @ back_u[2]
         d_mixed *= reset
-        np.subtract(1, reset, out=d_reset)
-        d_reset *= before
+        np.subtract(before, mixed[t], out=d_reset)
         d_reset *= d_mixed
         carried *= keep
         carried += d_mixed
-        carried += d_update @ back_u[0]
-        carried += d_reset @ back_u[1]
+        np.matmul(inputs[:2, t], back_u[:2], out=through_gates)
+        carried += through_gates[0]
+        carried += through_gates[1]
         carried += back[t]
         if begins[t]:
             carried[fresh[t]] = 0
     first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
     used = sorted_ids[first]
-    for gate, rows in enumerate(inputs.reshape(3, -1, HIDDEN)):
+    rows, flat_mixed = inputs.reshape(3, -1, HIDDEN), mixed.reshape(-1, HIDDEN)
+    sums = _run_sums(rows, order, first)
+    for gate, seen in enumerate((flat_states, flat_states, flat_mixed)):
         part = slice(gate * HIDDEN, (gate + 1) * HIDDEN)
-        for at in _blocks(0, len(flat)):
-            before = flat_states[at]
-            g_u[:, part] += (rows[at].T @ (gates[1].reshape(-1, HIDDEN)[at] * before if gate == 2 else before)).T
-        # two numbers as one complex number, which halves the sums
-        sums = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
-        g_embed[used, part] = sums
-        g_bias[part] = _column_sums(sums)
+        g_u[:, part] = _product(rows[gate], seen).T
+        g_embed[used, part] = sums[gate]
+        g_bias[part] = _column_sums(sums[gate])
     return grads, h
 
 
@@ -493,7 +553,7 @@ def neural_scores(net: Net, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """
     out = np.zeros(len(lengths))
     begin = np.cumsum(lengths) - lengths
-    u, inputs, calm = _by_gate(net.u), _inputs(net.embed + net.bias), calm_outputs(net)
+    u, inputs, calm = _for_exp(net.u), _for_exp(net.embed + net.bias), calm_outputs(net)
     longest_first = np.argsort(-lengths, kind="stable")
     for at in range(0, len(lengths), LANES):
         rows = longest_first[at : at + LANES]
@@ -602,7 +662,7 @@ def encode(docs: DataFrame, counts: Counts, id_column: str = "doc_id", packed: b
     kind = source.schema["id"].dataType.simpleString()
     parts = f"ids {'binary' if packed else 'array<short>'}, known long, logs double, inside double"
     parts += ", unlisted array<struct<word:long,n:int>>"
-    coded = source.mapInArrow(tidy(run), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
+    coded = source.mapInArrow(tidy(run, steady=True), f"id {kind}, {parts}").withColumn("row", F.monotonically_increasing_id())
     size = (F.octet_length("ids") / 2).cast("int") if packed else F.size("ids")
     return coded.withColumns({"held_out": fold("id", FOLDS) == HELD_OUT, "mark": F.xxhash64("row", size)})
 
@@ -655,7 +715,7 @@ def learn_from(coded: DataFrame, counts: Counts) -> Net:
                 )
 
         dealt = coded.repartition(learners, "mark").sortWithinPartitions("mark").select("ids")
-        nets = dealt.mapInArrow(tidy(run), "net binary, tokens long").withColumn("number", F.spark_partition_id())
+        nets = dealt.mapInArrow(tidy(run, steady=True), "net binary, tokens long").withColumn("number", F.spark_partition_id())
         net = average(stage(nets, "nets"))
     return net
 
@@ -682,7 +742,7 @@ def score(coded: DataFrame, counted: DataFrame, counts: Counts, net: Net, id_col
 
     kind = coded.schema["id"].dataType.simpleString()
     scored = coded.select("id", "held_out", "row", "known", "logs", "inside", "ids").mapInArrow(
-        tidy(run), f"id {kind}, held_out boolean, row long, known long, logs double, n_tokens long, neural double"
+        tidy(run, steady=True), f"id {kind}, held_out boolean, row long, known long, logs double, n_tokens long, neural double"
     )
     words = coded.select("row", F.explode("unlisted").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
     found = words.join(counted.select("word", "n"), "word")

@@ -21,6 +21,7 @@ ADDED = 1 << 16
 _PRIME = 0x9E3779B97F4A7C15
 _PRIME_2 = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # as in malloc.h
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -77,20 +78,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], steady: bool = False):
     """``run`` for ``mapInArrow``, with the memory it has freed given back to the system at its end.
 
     Python workers outlive their tasks, so what the allocators keep for later would add up over stages and workers.
+    With ``steady`` up to 64 MB of freed memory are kept meanwhile, for tasks that take and free arrays of some megabytes
+    again and again: given back each time, they would be cleared by the system page by page for each new array.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
         import gc
 
+        library = ctypes.CDLL(None)
+        if steady and hasattr(library, "mallopt"):
+            library.mallopt(_MMAP_THRESHOLD, 32 << 20)
+            library.mallopt(_TRIM_THRESHOLD, 64 << 20)  # the highest that the C library would choose by itself
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        trim = getattr(library, "malloc_trim", None)
         if trim is not None:
             trim(0)
 
