@@ -83,7 +83,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], st
 
     Python workers outlive their tasks, so what the allocators keep for later would add up over stages and workers.
     With ``steady`` up to 64 MB of freed memory are kept meanwhile, for tasks that take and free arrays of some megabytes
-    again and again: given back each time, they would be cleared by the system page by page for each new array.
+    again and again: given back each time, they would be cleared by the system page by page for each new array. The worker
+    keeps the setting.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
